@@ -123,7 +123,7 @@ def j12(v):
 
 
 _BOOST = """b AS (SELECT s.task_id, s.id, s.ord, round(s.score + CASE WHEN contains(lower(s.task_type), p.lang)
-    THEN 0.5 * coalesce(nullif(max(s.score) OVER (PARTITION BY s.task_id), 0), 1.0) ELSE 0 END, 6) AS score
+    THEN 1.0 * coalesce(nullif(max(s.score) OVER (PARTITION BY s.task_id), 0), 1.0) ELSE 0 END, 6) AS score
     FROM v_scores s JOIN v_pool p ON p.id = s.id),
     ranked AS (SELECT task_id, id, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, ord)
     AS rank FROM b)"""
@@ -132,7 +132,7 @@ _BOOST = """b AS (SELECT s.task_id, s.id, s.ord, round(s.score + CASE WHEN conta
 @check("j12_type_boost", _BOOST + "--- SELECT * FROM ranked WHERE rank <= 5")
 def j12_boost(v):
     p = pool(v)
-    return r.lexical_seeds(v.tasks, p, plan.pool_index(p), 5, type_boost=0.5).select(
+    return r.lexical_seeds(v.tasks, p, plan.pool_index(p), 5, type_boost=1.0).select(
         "task_id", "id", "score", "rank")
 
 

@@ -29,7 +29,8 @@ class Views:
             F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.col("source").alias("name"),
             F.col("lang").alias("description"), F.col("text").alias("body"),
             F.array("lang").alias("task_types"), F.lit(0).cast("long").alias("token_cost"),
-            status.alias("status"))
+            status.alias("status"), F.lit(0).cast("long").alias("success_count"),
+            F.lit(0).cast("long").alias("failure_count"))
 
     @cached_property
     def tasks(self) -> DataFrame:

@@ -47,8 +47,9 @@ def similar(left: DataFrame, right: DataFrame, dim: int, threshold: float | None
     """
     payload = ["buckets", "tf"] if "buckets" in left.columns else ["vec"]
     cols = ["id", "ord", *payload]
-    lt, ln = _tiles(left.select(*cols), tile)
-    rt, rn = _tiles(right.select(*cols), tile)
+    # toDF gives fresh column identities: the two sides are often cuts of one table
+    lt, ln = _tiles(left.select(*cols).toDF(*cols), tile)
+    rt, rn = _tiles(right.select(*cols).toDF(*cols), tile)
     lt = lt.select("*", F.explode(F.sequence(F.lit(0), F.lit(rn - 1))).alias("_rt"))
     lt = lt.withColumnRenamed("_tile", "_lt")
     rt = rt.select("*", F.explode(F.sequence(F.lit(0), F.lit(ln - 1))).alias("_lt"))
