@@ -1 +1,303 @@
-"""todo"""
+"""Curation over documents (near copies), embeddings (vectors) and parts (merge groups)."""
+
+from pyspark.sql import functions as F
+
+from ropewalk.operators import curation as c
+
+from .registry import check
+
+# exact pair similarities by sparse dot products
+_PAIRS = """tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
+  cnt AS (SELECT id, CAST(('0x' || right(md5(t), 8)) AS BIGINT) % 256 AS bucket, count(*) AS tf FROM tok
+    GROUP BY 1, 2),
+  nrm AS (SELECT id, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM cnt),
+  sims AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 6) AS sim FROM nrm x JOIN nrm y USING (bucket)
+    WHERE x.id > y.id GROUP BY 1, 2)"""
+
+
+def doc_vectors(v):
+    d = v.table("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), "text")
+    return c.embed(d)
+
+
+@check("j10_similarity_edges", _PAIRS + """, r AS (SELECT a AS src, b AS dst, sim AS weight, row_number() OVER
+    (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM sims WHERE sim >= 0.9)
+    --- SELECT src, dst, weight, rank FROM r WHERE rank <= 8 AND dst <> src // 2""")
+def j10(v):
+    d = v.table("documents").select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst"))
+    return c.similarity_edges(doc_vectors(v), d, 0.9, 8).select("src", "dst", "weight", "rank")
+
+
+@check("j10_similarity_edges_dense", """s AS (SELECT x.vec_id AS src, y.vec_id AS dst, round(list_sum(list_transform(
+    list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS weight
+    FROM embeddings x JOIN embeddings y ON x.vec_id > y.vec_id)
+    --- SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst)
+    AS rank FROM s WHERE weight >= 0.25) WHERE rank <= 8""")
+def j10_dense(v):
+    return c.similarity_edges(v.vec.drop("block"), None, 0.25, 8, dim=64).select(
+        "src", "dst", "weight")
+
+
+@check("j11_nearest", """s AS (SELECT x.item_id AS id, y.vec_id AS node, 0.0 AS z FROM benchmark x, embeddings y LIMIT 0),
+  t AS (SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM documents),
+  tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM t),
+  cnt AS (SELECT id, CAST(('0x' || right(md5(t), 8)) AS BIGINT) % 256 AS bucket, count(*) AS tf FROM tok GROUP BY 1, 2),
+  nrm AS (SELECT id, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM cnt),
+  sims AS (SELECT x.id, CAST(y.id[2:] AS BIGINT) AS node, round(sum(x.w * y.w), 6) AS sim FROM nrm x JOIN nrm y
+    USING (bucket) WHERE x.id[1] = 'q' AND y.id[1] = 'd' GROUP BY 1, 2),
+  best AS (SELECT id, node, sim FROM sims WHERE sim >= 0.6 QUALIFY row_number() OVER (PARTITION BY id
+    ORDER BY sim DESC, node) = 1)
+  --- SELECT item_id AS query, coalesce(node, -1) AS node, coalesce(sim, 0.0) AS sim FROM benchmark b
+    LEFT JOIN best ON best.id = 'q' || b.item_id""")
+def j11(v):
+    q = c.embed(v.table("benchmark").select(
+        F.col("item_id").alias("id"), (-1 - F.col("item_id")).alias("ord"), "text"))
+    return c.nearest(q, doc_vectors(v), 0.6).select(
+        F.col("id").alias("query"), F.coalesce("node", F.lit(-1)).cast("long").alias("node"),
+        F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
+# Greedy in order: a fragment is kept iff no kept earlier one is near. The recursion walks ids one by one.
+_GREEDY = _PAIRS + """, near AS (SELECT a, b, sim FROM sims WHERE sim >= 0.9),
+  ids AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+  walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL
+    SELECT i.n, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.a = i.id AND list_contains(w.kept, near.b))
+      THEN w.kept ELSE list_append(w.kept, i.id) END FROM walk w JOIN ids i ON i.n = w.n + 1),
+  stay AS (SELECT unnest(kept) AS id FROM walk WHERE n = (SELECT max(n) FROM ids)),
+  pick AS (SELECT a AS id, b AS target, sim FROM near JOIN stay ON stay.id = near.b
+    WHERE a NOT IN (SELECT id FROM stay)
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)"""
+
+
+@check("g11_fold_assignments", _GREEDY + """--- SELECT d.doc_id AS id, CASE WHEN s.id IS NOT NULL THEN 'insert'
+    ELSE 'merge' END AS action, coalesce(p.target, -1) AS target, coalesce(p.sim, 0.0) AS sim
+    FROM documents d LEFT JOIN stay s ON s.id = d.doc_id LEFT JOIN pick p ON p.id = d.doc_id""")
+def g11_assign(v):
+    frags = doc_vectors(v)
+    return c.fold_assignments(frags, frags.limit(0), 0.9).select(
+        "id", "action", F.coalesce("target", F.lit(-1)).cast("long").alias("target"),
+        F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
+def fragments(v):
+    """Every document as a fragment on top of the deployed ones as skills."""
+    d = v.skills
+    base = 1 << 40
+    frags = d.filter("status <> 'deployed'").select(
+        F.col("id").cast("string").alias("frag"), (F.col("ord") + base).alias("ord"), "name",
+        "description", "body", "task_types", F.array(F.concat(F.lit("t"), "id")).alias("evidence"))
+    skills = d.filter("status = 'deployed'").select(
+        F.concat(F.lit("doc"), F.col("id")).alias("id"), "ord", "name", "description", "body", "status",
+        "task_types")
+    return frags, skills
+
+
+@check("g11_fold_fragments")
+def g11(v):
+    frags, skills = fragments(v)
+    out = c.fold_fragments(frags, skills, 3, 0.95)
+    return out["inserted"].select("id", "frag", F.lit("insert").alias("action")).unionByName(
+        out["merged"].select("id", "frag", F.lit("merge").alias("action")))
+
+
+def _patches(v):
+    """Conversations as patches: a turn is an edit of the section its role and length name."""
+    t = v.table("conversations")
+    return t.select(
+        "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("patch"),
+        F.concat(F.lit("c"), "conv_id").alias("task_id"), F.col("role").alias("task_type"),
+        F.array(F.struct(
+            F.lit("SKILL.md").alias("file"),
+            F.concat(F.lit("## "), "role", F.lit(" "), F.expr("length(text) div 200")
+                     ).alias("target_section"),
+            F.lit("").alias("after_section"), F.col("text").alias("content"))).alias("edits"))
+
+
+@check("g12_absorb_patches")
+def g12(v):
+    skills = v.skills.filter("status = 'deployed'").select(
+        F.concat(F.lit("doc"), F.col("id")).alias("id"), "ord", "name", "description", "body", "status")
+    out = c.absorb_edits(c.patch_edits(_patches(v)), skills)
+    return out["assigned"].groupBy("id").agg(F.count("*").alias("n_edits"), F.min("seq").alias("first"))
+
+
+# every edit's slug is known here, so the routing is exact by name and SQL can say it
+@check("g12_absorb_known", """--- SELECT role || '_' || (length(text) // 200) AS id, count(*) AS n_edits,
+    count(DISTINCT nullif(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '')) AS n_bodies,
+    count(DISTINCT conv_id) AS n_evidence FROM conversations GROUP BY 1""")
+def g12_known(v):
+    p = _patches(v)
+    names = c.patch_edits(p).select("slug").distinct()
+    skills = names.select(F.col("slug").alias("id"), F.xxhash64("slug").alias("ord"),
+                          F.col("slug").alias("name"), F.lit("").alias("description"),
+                          F.lit("seed text").alias("body"), F.lit("deployed").alias("status"))
+    out = c.absorb_edits(c.patch_edits(p), skills)
+    n = out["assigned"].groupBy("id").agg(F.count("*").alias("n_edits"))
+    b = out["bodies"].groupBy("id").agg(F.count("*").alias("n_bodies"))
+    e = out["evidence"].groupBy("id").agg(F.count("*").alias("n_evidence"))
+    return n.join(b, "id", "left").join(e, "id").select(
+        "id", "n_edits", F.coalesce("n_bodies", F.lit(0)).alias("n_bodies"), "n_evidence")
+
+
+@check("g13_split", """k AS (SELECT p.id, p.name, p.description, t.task_type, row_number() OVER (PARTITION BY p.id
+    ORDER BY t.task_type) - 1 AS n FROM v_parts p JOIN v_part_types t USING (id) WHERE length(p.body) >= 25
+    AND p.n_types >= 5 AND p.status <> 'retired')
+    --- SELECT CAST(id AS VARCHAR) AS parent, '# ' || name || chr(10) || description || chr(10) || chr(10) ||
+    '## Sub-skills' || chr(10) || string_agg('- **' || name || ' (' || task_type || ')**: ' || description || ' ['
+    || task_type || ']', chr(10) ORDER BY n) AS stub, 'SPLIT ' || id || ' into [' || string_agg('''' || id || '--'
+    || lower(replace(task_type, ' ', '_')) || '''', ', ' ORDER BY n) || ']' AS statement
+    FROM k GROUP BY id, name, description""")
+def g13(v):
+    from ropewalk.operators.lifecycle import divergent
+    out = c.split(v.parts, c.propose_children(divergent(v.parts, 5, 25), "copies"), 4)
+    rules = out["rules"].select(F.col("targets")[0].alias("parent"), "statement")
+    return out["parents"].select("parent", "stub").join(rules, "parent")
+
+
+@check("g13_split_children", """--- SELECT id || '--' || lower(replace(task_type, ' ', '_')) AS id,
+    CAST(id AS VARCHAR) AS parent, name || ' (' || task_type || ')' AS name, 'candidate' AS status, body
+    FROM v_parts JOIN v_part_types USING (id) WHERE length(body) >= 25 AND n_types >= 5 AND status <> 'retired'""")
+def g13_children(v):
+    from ropewalk.operators.lifecycle import divergent
+    out = c.split(v.parts, c.propose_children(divergent(v.parts, 5, 25), "copies"), 4)
+    return out["children"].select("id", "parent", "name", "status", "body")
+
+
+@check("g14_propose_children", r"""p AS (SELECT id, name, description, list_filter(list_transform(string_split(
+    replace(body, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10) ||
+    chr(9) || chr(13))), lambda x: x <> '') AS ps FROM v_skills),
+    k AS (SELECT *, unnest(['cell', 'sheet', 'data']) AS tt, unnest([1, 2, 3]) AS n FROM p)
+    --- SELECT id AS parent, n - 1 AS child_no, name || ' for ' || tt AS name, name || ' specialised for ' || tt
+    || ' tasks' AS description, md5(coalesce(ps[n], ps[1], description)) AS body FROM k""")
+def g14(v):
+    s = v.skills.withColumn("body", F.replace("body", F.lit(". "), F.lit(".\n\n"))).withColumn(
+        "task_types", F.array(F.lit("cell"), F.lit("sheet"), F.lit("data")))
+    return c.propose_children(s).select("parent", "child_no", "name", "description",
+                                        F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+_MERGE = """m AS (SELECT name AS grp, *, row_number() OVER (PARTITION BY name ORDER BY success_count DESC, id) AS rn
+    FROM v_parts), t AS (SELECT name AS grp, count(DISTINCT task_type) AS cov FROM v_parts JOIN v_part_types
+    USING (id) GROUP BY 1)"""
+
+
+def _groups(v):
+    return c.merge_groups(v.parts, v.parts.select(F.col("name").alias("group"), "id"))
+
+
+@check("a18_merge_groups", _MERGE + """--- SELECT m.grp AS "group", max(id) FILTER (rn = 1) AS survivor,
+    count(*) AS members, CAST(sum(success_count) AS BIGINT) AS success_count, CAST(sum(failure_count) AS BIGINT)
+    AS failure_count, CAST(sum(n_visit) AS BIGINT) AS n_visit, coalesce(max(cov), 0) AS coverage
+    FROM m LEFT JOIN t ON t.grp = m.grp GROUP BY 1 HAVING count(*) >= 2""")
+def a18(v):
+    return _groups(v)["survivors"]
+
+
+@check("a18_merge_edges", _MERGE + """--- SELECT a.id AS src, b.id AS dst, 'alternative_to' AS type FROM m a
+    JOIN m b ON a.grp = b.grp AND b.rn = 1 WHERE a.rn > 1""")
+def a18_edges(v):
+    return _groups(v)["edges"]
+
+
+@check("a18_merge_lists", _MERGE + """--- SELECT DISTINCT b.id AS survivor, x.task_type AS value FROM m a JOIN m b
+    ON a.grp = b.grp AND b.rn = 1 JOIN v_part_types x ON x.id = a.id""")
+def a18_lists(v):
+    return c.merge_lists(v.parts, _groups(v)["members"], "task_types")
+
+
+def _seq_edges(v):
+    """Edges as they arrived: splits link a pair twice, and conflicts reuse pairs."""
+    d = v.dep.select("src", "dst")
+    first = d.select("src", "dst", F.lit("parent_child").alias("type"), F.lit(1.0).alias("weight"),
+                     (F.col("src") * 2).alias("seq"))
+    later = d.filter("src % 3 = 0").select("src", "dst", F.lit("depends_on").alias("type"),
+                                           F.lit(0.5).alias("weight"), (F.col("src") * 2 + 1).alias("seq"))
+    return first, later
+
+
+_E = """one AS (SELECT src, dst, 'parent_child' AS type, 1.0::DOUBLE AS weight, src * 2 AS seq FROM v_dep),
+    two AS (SELECT src, dst, 'depends_on' AS type, 0.5::DOUBLE AS weight, src * 2 + 1 AS seq FROM v_dep
+    WHERE src % 3 = 0)"""
+
+
+@check("j16_link", _E + """, u AS (SELECT * FROM one UNION ALL SELECT t.* FROM two t JOIN v_parts a ON a.id = t.src
+    JOIN v_parts b ON b.id = t.dst WHERE a.status <> 'retired' AND b.status <> 'retired')
+    --- SELECT 'capability' AS layer, src, dst, max_by(type, seq) AS type, max_by(weight, seq) AS weight,
+    max(seq) AS seq FROM u GROUP BY 2, 3""")
+def j16(v):
+    first, later = _seq_edges(v)
+    return c.link(first, later, v.parts.filter("status <> 'retired'"))
+
+
+@check("j16_declared_links", """--- SELECT DISTINCT src AS id, CASE type WHEN 'depends_on' THEN 'dependencies'
+    ELSE 'conflicts' END AS field, dst AS value FROM v_edges WHERE type IN ('depends_on', 'conflicts_with')""")
+def j16_lists(v):
+    return c.declared_links(v.edges)
+
+
+@check("j19_unlink", """--- SELECT 'capability' AS layer, src, dst, type FROM v_edges e WHERE NOT EXISTS (SELECT 1
+    FROM part WHERE p_partkey % 2 = 0 AND p_partkey = e.src AND p_partkey // 2 = e.dst)""")
+def j19(v):
+    pairs = v.table("part").filter("p_partkey % 2 = 0").select(
+        F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"),
+        F.lit("composes_with").alias("type"))
+    return c.unlink(v.edges, pairs).select("layer", "src", "dst", "type")
+
+
+@check("j17_insert", """n AS (SELECT source AS id, min(doc_id) AS ord FROM documents GROUP BY 1)
+    --- SELECT id, ord, 'document' AS kind FROM n UNION ALL SELECT DISTINCT 'part ' || p_name, 0, 'part' FROM part""")
+def j17(v):
+    have = v.table("part").select(F.concat(F.lit("part "), "p_name").alias("id"),
+                                  F.lit(0).cast("long").alias("ord"), F.lit("part").alias("kind")).distinct()
+    new = v.table("documents").select(F.col("source").alias("id"), F.col("doc_id").alias("ord"),
+                                      F.lit("document").alias("kind"))
+    again = have.withColumn("kind", F.lit("refused"))
+    return c.insert(have, new.unionByName(again))[0]
+
+
+@check("j17_insert_refused", """--- SELECT source AS id, doc_id AS ord FROM documents QUALIFY row_number() OVER
+    (PARTITION BY source ORDER BY doc_id) > 1""")
+def j17_refused(v):
+    have = v.table("part").select(F.concat(F.lit("part "), "p_name").alias("id"),
+                                  F.lit(0).cast("long").alias("ord")).distinct()
+    new = v.table("documents").select(F.col("source").alias("id"), F.col("doc_id").alias("ord"))
+    return c.insert(have, new)[1]
+
+
+@check("g26_monolith_rollup", """r AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY id) - 1 AS n
+    FROM v_skills) --- SELECT description, n // 256 AS part, md5(string_agg(body, chr(10) || chr(10) ORDER BY id))
+    AS body, count(*) AS n_skills, CAST(sum(greatest(1, length(body) // 4)) AS BIGINT) AS tokens FROM r GROUP BY 1, 2""")
+def g26(v):
+    return c.monolith_rollup(v.skills, "description").withColumn(
+        "body", F.md5(F.col("body").cast("binary")))
+
+
+@check("u01_union_lists", """--- SELECT p.id, array_to_string(list_sort(list_distinct(coalesce(t.l, []) || [p.description,
+    p.name])), ',') AS merged FROM v_parts p LEFT JOIN (SELECT id, list(task_type) AS l FROM v_part_types GROUP BY 1) t
+    ON t.id = p.id""")
+def u01(v):
+    return v.parts.select("id", F.array_join(F.array_sort(c.union_lists(
+        "task_types", F.array("description", "name"))), ",").alias("merged"))
+
+
+@check("u02_minus_per_task", "--- SELECT task_id, id FROM v_seeds WHERE id NOT IN (SELECT id FROM v_blocked)")
+def u02(v):
+    b = v.block_edges.select(F.col("dst").alias("id"))
+    return c.minus_per_task(v.seeds.select("task_id", "id"), v.seeds.join(b, "id", "left_semi"))
+
+
+@check("u03_both_per_task", """--- SELECT s.task_id, s.id FROM v_seeds s WHERE EXISTS (SELECT 1 FROM lineitem JOIN orders
+    ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_custkey = s.task_id AND l_partkey = s.id)""")
+def u03(v):
+    f = v.table("lineitem").join(v.table("orders").filter("o_orderstatus = 'F'"),
+                                 F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("task_id"), F.col("l_partkey").alias("id"))
+    return c.both_per_task(v.seeds.select("task_id", "id"), f)
+
+
+@check("u04_id_differences", """--- SELECT p_partkey AS id, 'not_found' AS side FROM part WHERE p_partkey NOT IN
+    (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'not_requested' FROM documents
+    WHERE doc_id NOT IN (SELECT p_partkey FROM part)""")
+def u04(v):
+    return c.id_differences(v.table("part").select(F.col("p_partkey").alias("id")),
+                            v.table("documents").select(F.col("doc_id").alias("id")))

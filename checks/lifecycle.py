@@ -56,10 +56,9 @@ def p08(v):
     return lc.error_prone(v.parts, v.guard_edges).select("id")
 
 
-@check("p09_cold", """--- SELECT doc_id AS id FROM documents d JOIN labels USING (doc_id) WHERE quality = 1 AND
-    doc_id NOT IN (SELECT l_partkey FROM lineitem)""")
+@check("p09_cold", """--- SELECT id FROM v_skills WHERE status NOT IN ('candidate', 'retired') AND id NOT IN (SELECT skill FROM v_inv)""")
 def p09(v):
-    use = v.part_use.groupBy("id").agg(F.count("*").alias("n_visit"))
+    use = v.inv.groupBy(F.col("skill").alias("id")).agg(F.count("*").alias("n_visit"))
     s = v.skills.join(use, "id", "left").withColumn("n_visit", F.coalesce("n_visit", F.lit(0)))
     return lc.cold(s, NOW).select("id")
 
@@ -71,7 +70,7 @@ def p10(v):
 
 
 _GATE = """g AS (SELECT id, {r} AS bs, (success_count + 1) / (n_visit + 2) AS "as", CAST(token_cost AS DOUBLE) AS bt,
-    CAST(coverage AS DOUBLE) AS at, failure_count / 40.0 AS bn, coverage / 80.0 AS an FROM v_parts)"""
+    CAST(coverage AS DOUBLE) AS att, failure_count / 40.0 AS bn, coverage / 80.0 AS an FROM v_parts)"""
 
 
 def _changes(v):
@@ -88,15 +87,15 @@ def _changes(v):
 _G = _GATE.format(r=_R)
 
 
-@check("p11_verify_gate", _G + """--- SELECT id, "as" >= bs - 0.01 AND (at < bt OR an < bn) AS accept,
+@check("p11_verify_gate", _G + """--- SELECT id, "as" >= bs - 0.01 AND (att < bt OR an < bn) AS accept,
     CASE WHEN NOT ("as" >= bs - 0.01) THEN 'reject: success regressed'
-         WHEN at < bt AND an < bn THEN 'accept: tokens↓+neg-transfer↓' WHEN at < bt THEN 'accept: tokens↓'
+         WHEN att < bt AND an < bn THEN 'accept: tokens↓+neg-transfer↓' WHEN att < bt THEN 'accept: tokens↓'
          WHEN an < bn THEN 'accept: neg-transfer↓' ELSE 'reject: no cost/transfer gain' END AS reason FROM g""")
 def p11(v):
     return lc.verify_gate(_changes(v)).select("id", "accept", "reason")
 
 
-@check("p11_verify_gate_non_worse", _G + """--- SELECT id, "as" >= bs AND at <= bt AND an <= bn AS accept FROM g""")
+@check("p11_verify_gate_non_worse", _G + """--- SELECT id, "as" >= bs AND att <= bt AND an <= bn AS accept FROM g""")
 def p11_non_worse(v):
     return lc.verify_gate(_changes(v), mode="non_worse").select("id", "accept")
 

@@ -82,10 +82,10 @@ def a26(v):
 @check("g10_gap_fill", _COOC.format(src="seeds", w=3, m=6) + """,
     ok AS (SELECT t.*, e.body, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS r2 FROM top t
       JOIN v_evidence e ON e.atom = t.partner JOIN v_parts p ON p.id = t.partner WHERE p.status <> 'deployed')
-    --- SELECT task_id, partner AS id, weight, r2 AS rank, greatest(1, length(body) // 4) AS tokens
+    --- SELECT task_id, partner AS id, weight, r2 AS rank, body, greatest(1, length(body) // 4) AS tokens
     FROM ok WHERE r2 <= 3""")
 def g10(v):
     from ropewalk.operators.routing import candidate_pool
     ev = m.atom_evidence(v.evidence_rows)
     return m.gap_fill(v.seeds, m.cooccurrence(v.trace_atoms), ev, candidate_pool(v.parts)).select(
-        "task_id", "id", "weight", "rank", "tokens")
+        "task_id", "id", "weight", "rank", "body", "tokens")

@@ -145,8 +145,8 @@ class Views:
         """(atom, body, seq): the text of the order line that shows a part at work."""
         return self.table("lineitem").select(
             F.col("l_partkey").alias("atom"),
-            F.concat(F.lit("order "), F.col("l_orderkey"), F.lit(" flag "), F.col("l_returnflag"))
-            .alias("body"), F.col("l_orderkey").alias("seq")).distinct()
+            F.concat(F.lit("seen in order "), F.col("l_orderkey")).alias("body"),
+            F.col("l_orderkey").alias("seq")).distinct()
 
     @cached_property
     def inv(self) -> DataFrame:
@@ -324,8 +324,8 @@ SQL = {
         sum(CASE WHEN x.success THEN 2.0 ELSE 0.5 END)::DOUBLE AS weight
         FROM v_trace_atoms x JOIN v_trace_atoms y ON x.trace = y.trace AND x.atom < y.atom
         GROUP BY 1, 2""",
-    "v_evidence": """SELECT l_partkey AS atom, min_by('order ' || l_orderkey || ' flag ' ||
-        l_returnflag, (l_orderkey, l_returnflag)) AS body FROM lineitem GROUP BY 1""",
+    "v_evidence": """SELECT l_partkey AS atom, 'seen in order ' || min(l_orderkey) AS body
+        FROM lineitem GROUP BY 1""",
     "v_inv": """SELECT event_id AS step, ts, user_id, value,
         CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS skill, event_type AS task_type,
         event_id % 3 <> 0 AS success, event_type = 'purchase' AS ood FROM events""",

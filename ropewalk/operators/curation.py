@@ -26,13 +26,12 @@ def embed(df: DataFrame, text: Column | str = "text", dim: int = 256,
 def _fold_copies(vectors: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add ``gid`` (ord of the first copy of the same vector)."""
     payload = ["buckets", "tf"] if "buckets" in vectors.columns else ["vec"]
-    groups = vectors.groupBy(*payload).agg(F.min("ord").alias("gid"))
-    on = [vectors[c].eqNullSafe(groups[c]) for c in payload]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return vectors.join(groups, cond).select(
-        *[vectors[c] for c in vectors.columns], "gid"), payload
+    groups = vectors.groupBy(*[F.col(c).alias(f"_g_{c}") for c in payload]).agg(
+        F.min("ord").alias("gid"))
+    same = F.lit(True)
+    for c in payload:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return vectors.join(groups, same).select(*vectors.columns, "gid"), payload
 
 
 def similarity_edges(vectors: DataFrame, existing: DataFrame | None = None,
