@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ropewalk.operators import chains as ch
+from ropewalk.session import durable
 from ropewalk.sources.sinks import render_chain_procedure
 
 from .registry import check
@@ -74,8 +75,9 @@ _SEEDS = _NODES + "," + _EX + r""",
 
 
 def _seeds(v):
-    nodes = ch.chain_nodes(v.chain)
-    return nodes, ch.chain_seeds(v.chain_tasks, nodes, ch.examples_per_node(v.chain))
+    # the merged graph is a stored table, steps and examples included
+    nodes = durable(ch.chain_nodes(v.chain))
+    return nodes, ch.chain_seeds(v.chain_tasks, nodes, durable(ch.examples_per_node(v.chain)))
 
 
 @check("g20_chain_seeds", _SEEDS + """--- SELECT task_id, id, score, rank FROM (SELECT *, row_number() OVER
@@ -86,7 +88,7 @@ def g20(v):
 
 def _paths(v):
     nodes, seeds = _seeds(v)
-    return nodes, ch.consensus_path(seeds, nodes, ch.chain_edges(v.chain))
+    return nodes, ch.consensus_path(durable(seeds), nodes, durable(ch.chain_edges(v.chain)))
 
 
 # The walk as a recursion over states: seed number, direction, current step, chosen steps.

@@ -184,12 +184,12 @@ _Q = """req AS (SELECT task_id, id FROM v_closure), dir AS (SELECT task_id, id F
       LEFT JOIN ld ON ld.task_id = u.task_id AND ld.id = u.id LEFT JOIN req ON req.task_id = u.task_id AND req.id = u.id
       LEFT JOIN dir ON dir.task_id = u.task_id AND dir.id = u.id LEFT JOIN an ON an.task_id = u.task_id AND an.id = u.id),
     t AS (SELECT task_id, count(*) FILTER (l) AS loaded, count(*) FILTER (r) AS required, count(*) FILTER (l AND r) AS hit,
-      count(*) FILTER (l AND NOT r AND a) AS anti, count(*) FILTER (l AND NOT r AND NOT a) AS irr,
+      count(*) FILTER (l AND NOT r AND a) AS bad, count(*) FILTER (l AND NOT r AND NOT a) AS irr,
       count(*) FILTER (l AND p) AS poi, count(*) FILTER (l AND d) AS dh FROM f GROUP BY 1)"""
 
 
 @check("a12_route_quality", _Q + """--- SELECT task_id, loaded, required, round(CASE WHEN required > 0 THEN hit / required
-    ELSE 1.0 END, 4) AS covered, round(least(1.0, (anti + poi + 0.2::DOUBLE * irr) / greatest(1, loaded + poi)), 4)
+    ELSE 1.0 END, 4) AS covered, round(least(1.0, (bad + poi + 0.2::DOUBLE * irr) / greatest(1, loaded + poi)), 4)
     AS negative_transfer, round(CASE WHEN loaded > 0 THEN dh / loaded ELSE 0.0 END, 4) AS precision FROM t""")
 def a12(v):
     n = v.table("part").count()

@@ -203,7 +203,7 @@ def f16(v):
                              F.md5(F.col("s.desc").cast("binary")).alias("descr"))
 
 
-@check("f17_rule_step", """--- SELECT seq, round + 1 AS step, 0.51::DOUBLE AS succ, seq % 50 AS trials
+@check("f17_rule_step", """--- SELECT seq, target AS step, 0.51::DOUBLE AS succ, seq % 50 AS trials
     FROM v_rules""")
 def f17(v):
     st = fn.rule_stats("statement")

@@ -233,7 +233,7 @@ class Views:
             kind.alias("kind"), F.concat(F.lit("guard (succ 0.51 over "), F.col("o_orderkey") % 50,
                                          F.lit(" trials)")).alias("statement"),
             F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("seq"),
-            rnd.alias("round"))
+            rnd.alias("round"), (rnd + 1).alias("step"))
 
     @cached_property
     def rule_skills(self) -> DataFrame:

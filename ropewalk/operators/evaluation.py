@@ -395,10 +395,18 @@ def lifecycle_spans(ledger: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------- history
+def with_parsed_step(rules: DataFrame) -> DataFrame:
+    """Rules of old exports with the step their id ends in. A name that ends in a number makes that
+    number the step, which is why new tables carry the step as a column."""
+    return rules.withColumn("step", rule_step("id"))
+
+
 def ledger(skills: DataFrame, rules: DataFrame) -> DataFrame:
     """Per skill: round it was minted in, its checkpoint round and stats, trials, rate, status.
-    ``rules(id, kind, statement, target, seq)``; the first insert and the last checkpoint count."""
-    r = rules.withColumn("_step", rule_step("id")).withColumn("_st", rule_stats("statement"))
+
+    ``rules(id, kind, statement, target, seq, step)``; the first insert and the last checkpoint
+    count. Old exports have no step, see ``with_parsed_step``."""
+    r = rules.withColumn("_step", F.col("step")).withColumn("_st", rule_stats("statement"))
     mint = r.filter(F.col("kind") == "insert_decision").groupBy(F.col("target").alias("id")).agg(
         F.min_by("_step", "seq").alias("_m"))
     guard = r.filter(F.col("kind") == "checkpoint").groupBy(F.col("target").alias("id")).agg(
@@ -413,9 +421,8 @@ def ledger(skills: DataFrame, rules: DataFrame) -> DataFrame:
 
 def round_decisions(rules: DataFrame) -> DataFrame:
     """accept or reject per round, the last rule of a round counting."""
-    r = rules.filter(F.col("kind").isin("accept", "rejected_edit")).withColumn(
-        "_step", rule_step("id"))
-    return r.groupBy((F.col("_step") - 1).alias("round")).agg(
+    r = rules.filter(F.col("kind").isin("accept", "rejected_edit"))
+    return r.groupBy((F.col("step") - 1).alias("round")).agg(
         F.max_by(F.when(F.col("kind") == "accept", "accept").otherwise("reject"), "seq")
         .alias("decision"))
 
