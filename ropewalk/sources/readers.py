@@ -93,13 +93,21 @@ def nav_records(lines: DataFrame) -> DataFrame:
                     F.coalesce("r.note", F.lit("")).alias("note")))
 
 
-def read_nav_log(spark: SparkSession, path) -> DataFrame:
-    """(instance, pos, action, cursor, task, note); the instance is the file name.
+def folder_key(path=None):
+    """Value of the last ``name=value`` folder, or its plain name, of the current input file."""
+    folder = F.element_at(F.split(F.input_file_name() if path is None else path, "/"), -2)
+    return F.regexp_replace(folder, "^[^=]*=", "")
+
+
+def read_nav_log(spark: SparkSession, path, instance=None) -> DataFrame:
+    """(instance, pos, action, cursor, task, note); the instance is the file name, or the given
+    Column, such as ``folder_key()``.
 
     Text files are read in order within a split, and the increasing id orders splits of one file.
     """
+    name = _file_stem(F.input_file_name()) if instance is None else instance
     lines = (spark.read.option("recursiveFileLookup", True).text(path)
-             .select("value", _file_stem(F.input_file_name()).alias("instance"),
+             .select("value", name.alias("instance"),
                      F.monotonically_increasing_id().alias("line")))
     return nav_records(lines)
 
@@ -125,9 +133,9 @@ def _conversation_text(messages: F.col) -> F.col:
 
 def read_trajectories(spark: SparkSession, path) -> DataFrame:
     """(run, trace) from one conversation.json per run folder."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
            .select("value", F.input_file_name().alias("_f")))
-    run = F.element_at(F.split("_f", "/"), -2)
+    run = folder_key(F.col("_f"))
     msgs = F.from_json("value", "array<struct<role:string,content:string>>")
     return raw.select(run.alias("run"), msgs.alias("m")).filter(F.col("m").isNotNull()).select(
         "run", _conversation_text(F.col("m")).alias("trace"))
@@ -135,7 +143,7 @@ def read_trajectories(spark: SparkSession, path) -> DataFrame:
 
 def read_step_logs(spark: SparkSession, path) -> DataFrame:
     """(run, trace) from step logs: one line per step with thought, action and feedback."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
            .select("value", F.input_file_name().alias("_f")))
     steps = F.from_json("value", "array<struct<step:string,action:string,reasoning:string,"
                                  "env_feedback:string,done:boolean>>")
@@ -148,15 +156,15 @@ def read_step_logs(spark: SparkSession, path) -> DataFrame:
             F.trim(F.coalesce(s["env_feedback"], F.lit(""))),
             F.when(s["done"], "  <<DONE>>").otherwise(""))
 
-    return raw.select(F.element_at(F.split("_f", "/"), -2).alias("run"), steps.alias("s")).filter(
+    return raw.select(folder_key(F.col("_f")).alias("run"), steps.alias("s")).filter(
         F.col("s").isNotNull()).select(
         "run", F.array_join(F.transform("s", line), "\n").alias("trace"))
 
 
-def read_eval(spark: SparkSession, path) -> dict[str, DataFrame]:
-    """results and summary of evaluation documents, with the run folder or file they came from."""
+def read_eval(spark: SparkSession, path, run=None) -> dict[str, DataFrame]:
+    """results and summary of evaluation documents, with the run (file name) they came from."""
     doc = _json(spark, path, EVAL_DOCUMENT).withColumn(
-        "run", _file_stem(F.input_file_name()))
+        "run", _file_stem(F.input_file_name()) if run is None else run)
     return {"results": doc.select("run", F.inline("results")).withColumn(
                 "success", F.coalesce("success", F.lit(False))),
             "summary": doc.filter(F.col("summary").isNotNull()).select("run", "summary.*")}
@@ -169,10 +177,11 @@ def read_result_lines(spark: SparkSession, path) -> DataFrame:
                       is_hard("hard").alias("hard"))
 
 
-def read_routes(spark: SparkSession, path) -> DataFrame:
-    """(task_id, pos, id, guarded) from route dumps; unreadable files are skipped."""
+def read_routes(spark: SparkSession, path, multi: bool = True) -> DataFrame:
+    """(task_id, pos, id, guarded) from route dumps, one per file or, with ``multi=False``, one
+    per line; unreadable dumps are skipped."""
     raw = (spark.read.schema(ROUTE_DUMP).option("mode", "DROPMALFORMED")
-           .option("multiLine", True).option("recursiveFileLookup", True).json(path))
+           .option("multiLine", multi).option("recursiveFileLookup", True).json(path))
     return raw.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("task_id"), F.coalesce("guarded", F.lit(False)).alias("guarded"),
         F.posexplode("nodes").alias("pos", "id"))
@@ -199,10 +208,10 @@ def parse_skill_docs(docs: DataFrame) -> DataFrame:
         after.alias("body")).filter(F.length("name") > 0)
 
 
-def read_skill_docs(spark: SparkSession, path: str) -> DataFrame:
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "SKILL.md").text(path)
-           .select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("path")))
+def read_skill_docs(spark: SparkSession, path: str, files: str = "SKILL.md") -> DataFrame:
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files)
+           .text(path, wholetext=True)
+           .select("value", folder_key().alias("path")))
     return parse_skill_docs(raw)
 
 
@@ -224,7 +233,7 @@ def read_capability_manifest(rows: DataFrame, docs: DataFrame) -> dict[str, Data
     return {"skills": skills, "edges": edges}
 
 
-def read_history(spark: SparkSession, path) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return raw.select(_file_stem(F.input_file_name()).alias("run"),
-                      F.inline(F.from_json("value", HISTORY)))
+def read_history(spark: SparkSession, path, run=None) -> DataFrame:
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name = _file_stem(F.input_file_name()) if run is None else run
+    return raw.select(name.alias("run"), "value").select("run", F.inline(F.from_json("value", HISTORY)))

@@ -24,8 +24,11 @@ def _shards(df: DataFrame, order: str, name: str, rows: int, value: Column) -> D
     """(shard, name): arrays of at most ``rows`` structs each."""
     at = row_index(df, [], order, "_at")
     shard = F.floor(F.col("_at") / F.lit(rows)).cast("long")
-    return at.groupBy(shard.alias("shard")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("_v"))))
+    def by_order(a, b):  # values may hold maps, which have no order of their own
+        return (a["_o"] - b["_o"]).cast("int")
+
+    return at.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct(
+        (F.col("_at") % F.lit(rows)).alias("_o"), value.alias("_v"))), by_order)
         .alias("_l")).select("shard", F.transform("_l", lambda e: e["_v"]).alias(name))
 
 
