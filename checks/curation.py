@@ -92,7 +92,30 @@ def fragments(v):
     return frags, skills
 
 
-@check("g11_fold_fragments")
+_FOLD = """src AS (SELECT id, CASE WHEN status = 'deployed' THEN 0 ELSE 1 END AS late, name,
+    lower(name || '. ' || description || ' ' || body) AS text FROM v_skills),
+  tok AS (SELECT id, late, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS t FROM src),
+  cnt AS (SELECT id, late, CAST(('0x' || right(md5(t), 8)) AS BIGINT) % 256 AS bucket, count(*) AS tf FROM tok
+    GROUP BY 1, 2, 3),
+  nrm AS (SELECT id, late, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM cnt),
+  near AS (SELECT x.id AS a, y.id AS b, y.late AS bl, round(sum(x.w * y.w), 6) AS sim FROM nrm x
+    JOIN nrm y USING (bucket) WHERE x.late = 1 AND (y.late, y.id) < (x.late, x.id) GROUP BY 1, 2, 3
+    HAVING round(sum(x.w * y.w), 6) >= 0.95),
+  fr AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM src WHERE late = 1),
+  walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL
+    SELECT f.n, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.a = f.id AND (bl = 0 OR list_contains(w.kept, near.b)))
+      THEN w.kept ELSE list_append(w.kept, f.id) END FROM walk w JOIN fr f ON f.n = w.n + 1),
+  new AS (SELECT unnest(kept) AS id FROM walk WHERE n = (SELECT max(n) FROM fr)),
+  num AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g') AS slug, row_number() OVER (PARTITION BY
+    regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g') ORDER BY id) AS k FROM new JOIN src USING (id)),
+  ids AS (SELECT id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS nid FROM num UNION ALL
+    SELECT id, 'doc' || id FROM src WHERE late = 0),
+  pick AS (SELECT a, b, sim FROM near WHERE a NOT IN (SELECT id FROM new) AND (bl = 0 OR b IN (SELECT id FROM new))
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, bl, b) = 1)"""
+
+
+@check("g11_fold_fragments", _FOLD + """--- SELECT nid AS id, CAST(new.id AS VARCHAR) AS frag, 'insert' AS action FROM new
+    JOIN ids USING (id) UNION ALL SELECT nid, CAST(a AS VARCHAR), 'merge' FROM pick JOIN ids ON ids.id = pick.b""")
 def g11(v):
     frags, skills = fragments(v)
     out = c.fold_fragments(frags, skills, 3, 0.95)
@@ -301,3 +324,61 @@ def u03(v):
 def u04(v):
     return c.id_differences(v.table("part").select(F.col("p_partkey").alias("id")),
                             v.table("documents").select(F.col("doc_id").alias("id")))
+
+
+def _round(v, **kw):
+    from ropewalk.plans.curate import curate_round
+    frags, skills = fragments(v)
+    zero = {c: F.lit(0).cast("long") for c in
+            ("success_count", "failure_count", "n_visit", "coverage", "token_cost")}
+    skills = skills.select("*", *[x.alias(n) for n, x in zero.items()],
+                           F.lit(-1).cast("long").alias("last_used_step"))
+    edges = skills.select(F.col("id").alias("src"), F.col("id").alias("dst"),
+                          F.lit("depends_on").alias("type")).limit(0)
+    score = v.table("labels").agg(F.avg("quality").alias("val"), F.avg("toxic").alias("baseline"))
+    return curate_round(skills, edges, skills.select("id").limit(0), frags, score, 5, 4, **kw)
+
+
+@check("g19_curate_round", _FOLD.replace("0.95", "0.8") + """--- SELECT 4::BIGINT AS round, (SELECT count(*) FROM new) AS inserted,
+    (SELECT count(*) FROM pick) AS merged, (SELECT avg(quality) > avg(toxic) FROM labels) AS accepted,
+    round((SELECT greatest(avg(quality), avg(toxic)) FROM labels), 4) AS val, (SELECT count(*) FROM src WHERE late = 0)
+    + (SELECT count(*) FROM new) AS deployed, 0::BIGINT AS retired_total, 0::BIGINT AS checkpoints""")
+def g19(v):
+    return _round(v)["history"].drop("split")
+
+
+@check("g19_curate_round_no_merge", """--- SELECT 4::BIGINT AS round, count(*) FILTER (status <> 'deployed') AS inserted,
+    0::BIGINT AS merged, 0::BIGINT AS split, true AS accepted, round((SELECT avg(quality) FROM labels), 4) AS val,
+    count(*) AS deployed, 0::BIGINT AS retired_total, 0::BIGINT AS checkpoints FROM v_skills""")
+def g19_no_merge(v):
+    return _round(v, do_merge=False, do_gate=False)["history"]
+
+
+_OFF = """f AS (SELECT skill, min(pos) AS p, count(*) AS n FROM v_nav WHERE action = 'go_off_graph' GROUP BY 1),
+  tok AS (SELECT skill, unnest(regexp_extract_all('note ' || skill || '. off graph howto k' || skill || ' k' || skill
+    || ' k' || skill || ' k' || skill, '[a-z0-9]+')) AS t FROM f),
+  cnt AS (SELECT skill, CAST(('0x' || right(md5(t), 8)) AS BIGINT) % 256 AS bucket, count(*) AS tf FROM tok GROUP BY 1, 2),
+  nrm AS (SELECT skill, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY skill)) AS w FROM cnt),
+  near AS (SELECT x.skill AS a, y.skill AS b FROM nrm x JOIN nrm y USING (bucket) JOIN f fa ON fa.skill = x.skill
+    JOIN f fb ON fb.skill = y.skill WHERE fb.p < fa.p GROUP BY 1, 2 HAVING round(sum(x.w * y.w), 6) >= 0.8),
+  o AS (SELECT skill, row_number() OVER (ORDER BY p) AS n FROM f),
+  walk AS (SELECT 0::BIGINT AS n, []::INTEGER[] AS kept UNION ALL SELECT o.n, CASE WHEN EXISTS (SELECT 1 FROM near
+    WHERE near.a = o.skill AND list_contains(w.kept, near.b)) THEN w.kept ELSE list_append(w.kept, o.skill) END
+    FROM walk w JOIN o ON o.n = w.n + 1)"""
+
+
+@check("g22_navlog_curation", _OFF + """--- SELECT (SELECT count(DISTINCT cursor) FROM v_nav WHERE action IN ('locate', 'step_to') AND
+    skill % 10 <> 9) AS attributed_nodes, (SELECT CAST(sum(n) AS BIGINT) FROM f) AS offgraph_fragments,
+    max(len(kept)) AS inserted FROM walk""")
+def g22(v):
+    from ropewalk.plans.curate import navlog_curation
+    k = F.concat(F.lit("k"), F.substring("note", 6, 10))
+    frags = v.nav.filter("action = 'go_off_graph'").select(
+        "instance", "note", (F.col("pos") + (1 << 40)).alias("ord"), F.col("note").alias("name"),
+        F.lit("off graph").alias("description"),
+        F.concat_ws(" ", F.lit("howto"), k, k, k, k).alias("body"),
+        F.array(F.lit("cell")).alias("task_types"))
+    skills = v.nav_skills.select(
+        "id", F.expr("cast(substring(id, 2) as bigint)").alias("ord"), F.col("id").alias("name"),
+        F.lit("").alias("description"), F.lit("x").alias("body"), F.lit("deployed").alias("status"))
+    return navlog_curation(v.nav, v.nav_outcomes, frags, skills, 2)["summary"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import loaded_tokens, paragraphs, section_name, slugify
+from ..functions.text import (loaded_tokens, paragraphs, section_name, slugify,
+                              vector_text)
 from ..functions.vectors import hash_embed_packed
 from ..session import durable
 from .ordered import first_k, prefix, row_index
@@ -170,11 +171,15 @@ def fold_fragments(fragments: DataFrame, skills: DataFrame, step: int, threshold
     Fragment ord continues after the skills' ord. Returns ``inserted`` rows, ``merged`` rows
     (fragment -> target), and long tables ``types``, ``evidence`` and ``rules``.
     """
-    text = F.concat(F.col("name"), F.lit(". "), F.col("description"), F.lit(" "), F.col("body"))
-    nodes = embed(skills.filter(F.col("status") != "retired"), text, dim)
-    frags = embed(fragments.withColumn("id", F.concat(F.lit("\x00"), F.col("frag")
-                                                      .cast("string"))), text, dim)
-    decided = durable(fold_assignments(frags, nodes, threshold, dim))
+    keyed = fragments.withColumn("id", F.concat(F.lit("\x00"), F.col("frag").cast("string")))
+    if threshold > 1.0:  # no cosine gets there: everything is new
+        decided = keyed.select("id", "ord", F.lit("insert").alias("action"),
+                               F.lit(None).cast("string").alias("target"),
+                               F.lit(None).cast("double").alias("sim"))
+    else:
+        text = vector_text("name", "description", "body")
+        nodes = embed(skills.filter(F.col("status") != "retired"), text, dim)
+        decided = durable(fold_assignments(embed(keyed, text, dim), nodes, threshold, dim))
     f = fragments.withColumn("_fid", F.concat(F.lit("\x00"), F.col("frag").cast("string")))
     new = decided.filter("action = 'insert'").select(F.col("id").alias("_fid")).join(f, "_fid")
     inserted = durable(suffixed_ids(new, skills))
@@ -248,7 +253,7 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
     asking = embed(reps, F.concat("name", F.lit(" "), "body"), dim)
     own = embed(reps, F.concat("name", F.lit(". "), "name", F.lit(" "), "body"), dim)
     there = embed(skills.filter(F.col("status") != "retired"),
-                  F.concat("name", F.lit(". "), "description", F.lit(" "), "body"), dim)
+                  vector_text("name", "description", "body"), dim)
     near = similar(asking, there.unionByName(own), dim, threshold)
     near = durable(near.join(reps.select(F.col("id").alias("left_id"), F.col("ord").alias("e")),
                              "left_id").select("e", F.col("right_ord").alias("h"),
