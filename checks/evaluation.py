@@ -196,7 +196,7 @@ def a12(v):
     odd = v.part_tasks.select("task_id", F.expr(f"(task_id * 13 + 1) % {n}").alias("id"))
     from ropewalk.operators.routing import dependency_closure
     loaded = part_routes(v).nodes.select("task_id", "id").union(odd)
-    req = dependency_closure(v.seeds, v.dep, v.parts)
+    req = dependency_closure(v.stored_seeds, v.dep, v.stored_parts)
     poison = v.parts.filter("id % 23 = 0")
     return e.route_quality(loaded, req, v.seeds, odd.filter("task_id % 2 = 0"), poison)
 
@@ -224,13 +224,13 @@ def a14(v):
     --- SELECT round(avg(t), 6) AS mean_tokens, round(avg(k), 6) AS mean_nodes, (SELECT CAST(sum(c) AS BIGINT) FROM c)
     AS full_tokens, round((SELECT sum(c) FROM c) / avg(t), 6) AS ratio FROM t""")
 def a15(v):
-    return e.token_load(part_routes(v).nodes, v.parts)
+    return e.token_load(part_routes(v).nodes, v.stored_parts)
 
 
 @check("a16_usage", """--- SELECT p.id, count(r.id) AS n_routed FROM v_parts p LEFT JOIN v_route r ON r.id = p.id
     WHERE p.status = 'deployed' GROUP BY 1""")
 def a16(v):
-    return e.usage(part_routes(v).nodes, v.parts)
+    return e.usage(part_routes(v).nodes, v.stored_parts)
 
 
 @check("a16_usage_summary", """u AS (SELECT p.id, count(r.id) AS n FROM v_parts p LEFT JOIN v_route r ON r.id = p.id
@@ -240,7 +240,7 @@ def a16(v):
     count(*) AS n_tasks, round(avg(k), 6) AS mean_nodes, min(k) AS min_nodes, max(k) AS max_nodes,
     count(*) FILTER (g = 1) AS n_guarded FROM t""")
 def a16_summary(v):
-    return e.usage_summary(part_routes(v).nodes, v.parts, v.guard_edges)
+    return e.usage_summary(part_routes(v).nodes, v.stored_parts, v.guard_edges)
 
 
 @check("a17_theme_usage", """--- SELECT split_part(name, ' ', 1) AS theme, CAST(sum(success_count + failure_count) AS BIGINT)

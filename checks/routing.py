@@ -35,13 +35,13 @@ def p04(v):
 
 @check("g06_dependency_closure", "--- SELECT task_id, id FROM v_closure")
 def g06(v):
-    return r.dependency_closure(v.seeds, v.dep, v.parts)
+    return r.dependency_closure(v.stored_seeds, v.dep, v.stored_parts)
 
 
 @check("g06_dependency_closure_cyclic", """c AS (SELECT task_id, id FROM v_seeds UNION
     SELECT c.task_id, d.dst FROM c JOIN v_dep_cyc d ON c.id = d.src) --- SELECT task_id, id FROM c""")
 def g06_cyc(v):
-    return r.dependency_closure(v.seeds, v.dep_cyc, v.parts)
+    return r.dependency_closure(v.stored_seeds, v.dep_cyc, v.stored_parts)
 
 
 @check("g07_k_hop", """u AS (SELECT src, dst FROM v_edges WHERE type <> 'conflicts_with' UNION
@@ -49,33 +49,33 @@ def g06_cyc(v):
     h AS (SELECT task_id, id, 0 AS d FROM v_seeds UNION SELECT h.task_id, u.dst, h.d + 1 FROM h
     JOIN u ON h.id = u.src WHERE h.d < 2) --- SELECT DISTINCT task_id, id FROM h""")
 def g07(v):
-    return r.k_hop(v.seeds, v.edges, 2)
+    return r.k_hop(v.stored_seeds, v.edges, 2)
 
 
 @check("j05_drop_blocked", "--- SELECT task_id, id FROM v_open")
 def j05(v):
-    return r.drop_blocked(r.dependency_closure(v.seeds, v.dep, v.parts), v.block_edges).select(
+    return r.drop_blocked(r.dependency_closure(v.stored_seeds, v.dep, v.stored_parts), v.block_edges).select(
         "task_id", "id")
 
 
 @check("j13_resolve_conflicts", """--- SELECT o.task_id, o.id FROM v_open o LEFT JOIN v_fights f
     ON f.task_id = o.task_id AND f.id = o.id WHERE f.id IS NULL""")
 def j13(v):
-    open_ = r.drop_blocked(r.dependency_closure(v.seeds, v.dep, v.parts), v.block_edges)
-    return r.resolve_conflicts(open_, v.seeds, v.conflict, v.parts).select("task_id", "id")
+    open_ = r.drop_blocked(r.dependency_closure(v.stored_seeds, v.dep, v.stored_parts), v.block_edges)
+    return r.resolve_conflicts(open_, v.stored_seeds, v.conflict, v.stored_parts).select("task_id", "id")
 
 
 @check("p13_route_status_filter", """--- SELECT s.task_id, s.id FROM v_seeds s JOIN v_parts p ON p.id = s.id
     WHERE p.status IN ('deployed', 'validated')""")
 def p13(v):
-    return r.route_status_filter(v.seeds, v.parts).select("task_id", "id")
+    return r.route_status_filter(v.stored_seeds, v.stored_parts).select("task_id", "id")
 
 
 def part_routes(v, **kw):
     """Routes of the customers' seeds over the part graph."""
-    nodes = plan.expand(v.seeds, v.parts, v.edges, v.block_edges, **kw)
-    return plan.Routes(v.part_tasks, r.candidate_pool(v.parts), v.parts, v.edges, v.guard_edges,
-                       v.seeds, plan.durable(nodes.select("task_id", "id")))
+    nodes = plan.expand(v.stored_seeds, v.stored_parts, v.edges, v.block_edges, **kw)
+    return plan.Routes(v.part_tasks, r.candidate_pool(v.stored_parts), v.stored_parts, v.edges, v.guard_edges,
+                       v.stored_seeds, plan.durable(nodes.select("task_id", "id")))
 
 
 @check("g08_route", "--- SELECT task_id, id FROM v_route")
@@ -145,7 +145,7 @@ def j18(v):
     ext = v.table("customer").filter("c_nationkey % 2 = 0").select(
         F.col("c_custkey").alias("task_id"), (F.col("c_custkey") * 7).alias("id"),
         F.lit(1).alias("rank"))
-    return r.seed_override(v.part_tasks, ext, v.parts, v.seeds, 3)
+    return r.seed_override(v.part_tasks, ext, v.stored_parts, v.stored_seeds, 3)
 
 
 _DOC = """d AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0),
@@ -189,7 +189,7 @@ def g08_text(v):
     --- SELECT o.task_id, o.id FROM o JOIN v_parts p ON p.id = o.id LEFT JOIN f
     ON f.task_id = o.task_id AND f.id = o.id WHERE f.id IS NULL AND p.status IN ('deployed', 'validated')""")
 def g08_hop2(v):
-    return plan.expand(v.seeds, v.parts, v.edges, v.block_edges, hop=2).select("task_id", "id")
+    return plan.expand(v.stored_seeds, v.stored_parts, v.edges, v.block_edges, hop=2).select("task_id", "id")
 
 
 @check("g09_role_routes", """rt AS (SELECT task_id || '/' || role AS task_id, role, text FROM v_tasks CROSS JOIN

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ropewalk.operators.ordered import first_k, row_index
+from ropewalk.session import durable
 
 
 class Views:
@@ -74,6 +75,15 @@ class Views:
             zero("last_used_step", -1),
             F.coalesce("task_types", F.array().cast("array<string>")).alias("task_types"))
 
+    @cached_property
+    def stored_parts(self) -> DataFrame:
+        """Parts as a stored skills table, for plans that read it at several stages."""
+        return durable(self.parts)
+
+    @cached_property
+    def stored_seeds(self) -> DataFrame:
+        return durable(self.seeds)
+
     def _part_edges(self, extra: bool = False) -> DataFrame:
         p = self.table("part").select(F.col("p_partkey").alias("src")).filter("src > 0")
         half = p.select("src", F.expr("src div 2").alias("dst"))
@@ -121,7 +131,7 @@ class Views:
 
     @cached_property
     def part_tasks(self) -> DataFrame:
-        return self.seeds.select("task_id").distinct()
+        return self.stored_seeds.select("task_id").distinct()
 
     @cached_property
     def seeds(self) -> DataFrame:

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import loaded_tokens, ws_tokens
-from ..functions.vectors import hash_embed
+from ..functions.vectors import hash_embed, hash_embed_packed
+from ..session import durable
 from .ordered import first_k
+from .similarity import similar
 
 # Published Okapi defaults.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,12 +22,15 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Bm25Index:
-    """``postings(token, id, ord, tf, len)``, ``terms(token, df, idf)``, ``head`` (first docs)."""
+    """``postings(token, id, ord, len, tf)``, ``terms(token, df, idf)`` and the two corpus numbers.
+
+    ``docs(id, ord)`` is every record, including those without a token.
+    """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
-    stats: DataFrame
+    avg_len: float
     k1: float = K1
     b: float = B
 
@@ -34,34 +39,41 @@ class Bm25Index:
         (self.postings.repartitionByRange("token").sortWithinPartitions("token")
          .write.mode("overwrite").parquet(f"{path}/postings"))
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.docs.select("id", "ord").write.mode("overwrite").parquet(f"{path}/docs")
+        stats = self.docs.sparkSession.range(1).select(F.lit(self.avg_len).alias("avg_len"))
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def read(cls, spark, path: str, **kw) -> "Bm25Index":
         def part(n):
             return spark.read.parquet(f"{path}/{n}")
-        return cls(part("docs"), part("postings"), part("terms"), part("stats"), **kw)
+        return cls(part("docs"), part("postings"), part("terms"),
+                   part("stats").first()["avg_len"], **kw)
 
 
 def bm25_index(docs: DataFrame, k1: float = K1, b: float = B,
                epsilon: float = EPSILON) -> Bm25Index:
-    """Token statistics over the whole texts, built once for any number of searches."""
+    """Token statistics over the whole texts, built once for any number of searches.
+
+    The postings are materialized: everything else is derived from them, and a search reads them
+    instead of the texts. Counting combines on the map side, since a record's tokens start out in
+    one partition. Only three corpus-wide numbers come to the driver.
+    """
     tok = docs.select("id", "ord", ws_tokens("text").alias("_t"))
     tok = tok.select("id", "ord", F.size("_t").cast("long").alias("len"), "_t")
-    postings = (tok.select("id", "ord", "len", F.explode("_t").alias("token"))
-                .groupBy("token", "id", "ord", "len").agg(F.count("*").alias("tf")))
-    stats = tok.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    postings = durable(tok.select("id", "ord", "len", F.explode("_t").alias("token"))
+                       .groupBy("token", "id", "ord", "len").agg(F.count("*").alias("tf")))
+    ids = docs.select("id", "ord")
+    n_docs = ids.count()
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first()["n"]
+    df = F.col("df")
     raw = (postings.groupBy("token").agg(F.count("*").alias("df"))
-           .crossJoin(F.broadcast(stats.select("n_docs")))  # one row
-           .select("token", "df",
-                   (F.log(F.col("n_docs") - F.col("df") + 0.5)
-                    - F.log(F.col("df") + 0.5)).alias("_raw")))
-    floor = raw.agg((F.avg("_raw") * epsilon).alias("_floor"))
-    terms = raw.crossJoin(F.broadcast(floor)).select(  # one row
-        "token", "df", F.when(F.col("_raw") < 0, F.col("_floor")).otherwise(F.col("_raw"))
-        .alias("idf"))
-    return Bm25Index(docs, postings, terms, stats, k1, b)
+           .select("token", "df", (F.log(F.lit(n_docs) - df + 0.5) - F.log(df + 0.5)).alias("_r")))
+    terms = durable(raw)
+    floor = terms.agg(F.avg("_r").alias("m")).first()["m"]
+    terms = terms.select("token", "df", F.when(
+        F.col("_r") < 0, F.lit((floor or 0.0) * epsilon)).otherwise(F.col("_r")).alias("idf"))
+    return Bm25Index(ids, postings, terms, total / n_docs if n_docs else 0.0, k1, b)
 
 
 def query_terms(tasks: DataFrame, text: Column | str = "text") -> DataFrame:
@@ -79,10 +91,9 @@ def bm25_scores(tasks: DataFrame, index: Bm25Index, text: Column | str = "text")
     """
     weighted = query_terms(tasks, text).join(index.terms.select("token", "idf"), "token")
     norm = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("len")
-                              / F.col("avg_len"))
-    hits = (index.postings.crossJoin(F.broadcast(index.stats.select("avg_len")))  # one row
-            .select("token", "id", "ord",
-                    (F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)).alias("_part")))
+                              / F.lit(index.avg_len or 1.0))
+    hits = index.postings.select(
+        "token", "id", "ord", (F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)).alias("_part"))
     return (hits.join(weighted, "token")
             .groupBy("task_id", "id", "ord")
             .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("_part")).alias("_s"))
@@ -110,7 +121,7 @@ def topk_per_task(scores: DataFrame, k: int) -> DataFrame:
 def bm25_search(tasks: DataFrame, index: Bm25Index, k: int,
                 text: Column | str = "text") -> DataFrame:
     """Top k by Okapi BM25, always k rows per task while the pool has that many."""
-    best = topk_per_task(bm25_scores(tasks, index, text), k).drop("rank")
+    best = durable(topk_per_task(bm25_scores(tasks, index, text), k).drop("rank"))
     return topk_per_task(pad_with_zero(tasks, best, index.docs, k), k)
 
 
@@ -129,8 +140,15 @@ def vector_scores(tasks: DataFrame, docs: DataFrame, dim: int = 256,
 def vector_search(tasks: DataFrame, docs: DataFrame, k: int, dim: int = 256,
                   task_text: Column | str = "text",
                   doc_text: Column | str = "text") -> DataFrame:
-    best = topk_per_task(vector_scores(tasks, docs, dim, task_text, doc_text), k).drop("rank")
-    return topk_per_task(pad_with_zero(tasks, best, docs, k), k)
+    """Top k by cosine of hashed vectors. A tile of tasks meets a tile of records as two matrices
+    and gives k rows per task, so scores that cannot win are never written out."""
+    q = hash_embed_packed(tasks, "task_id", task_text, dim).select(
+        F.col("task_id").alias("id"), F.lit(-1).cast("long").alias("ord"), "buckets", "tf")
+    d = hash_embed_packed(docs, "id", doc_text, dim).join(docs.select("id", "ord"), "id")
+    found = similar(q, d, dim, k=k).select(
+        F.col("left_id").alias("task_id"), F.col("right_id").alias("id"),
+        F.col("right_ord").alias("ord"), F.col("sim").alias("score"))
+    return topk_per_task(found, k)
 
 
 def full_load(tasks: DataFrame, pool: DataFrame) -> DataFrame:

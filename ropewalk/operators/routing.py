@@ -94,6 +94,7 @@ def boost(tasks: DataFrame, scores: DataFrame, pool: DataFrame, weight: float,
 
 def boosted_search(tasks: DataFrame, pool: DataFrame, scores: DataFrame, weight: float,
                    k: int) -> DataFrame:
+    scores = durable(scores)  # read four times below
     lifted, ref, scoped = boost(tasks, scores, pool, weight, k)
     best = topk_per_task(lifted, k).drop("rank")
     # unmatched records: per scope the first k that the task did not match
@@ -115,7 +116,7 @@ def boosted_search(tasks: DataFrame, pool: DataFrame, scores: DataFrame, weight:
             .join(scores.select("task_id", "id"), ["task_id", "id"], "left_anti")
             .select("task_id", "id", "ord", F.round(F.lit(weight) * F.col("_ref"), 6)
                     .alias("score")))
-    first = topk_per_task(best.unionByName(lone), k).drop("rank")
+    first = durable(topk_per_task(best.unionByName(lone), k).drop("rank"))
     return topk_per_task(pad_with_zero(tasks, first, pool, k), k)
 
 
@@ -126,7 +127,7 @@ def lexical_seeds(tasks: DataFrame, pool: DataFrame, index: Bm25Index, k: int =
               else vector_scores(tasks, index.docs))
     if type_boost:
         return boosted_search(tasks, pool, scores, type_boost, k)
-    best = topk_per_task(scores, k).drop("rank")
+    best = durable(topk_per_task(scores, k).drop("rank"))
     return topk_per_task(pad_with_zero(tasks, best, index.docs, k), k)
 
 
@@ -157,19 +158,22 @@ def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
         "task_id", F.col("dst").alias("id")).distinct()
 
 
-def _reach(seeds: DataFrame, edges: DataFrame, hops_per_round: int) -> DataFrame:
-    """Per-task breadth-first reach. A round unrolls several hops in one plan, then keeps the
-    newly seen pairs in reliable storage; the only action on the driver is an emptiness test."""
-    new = durable(seeds.select("task_id", "id").distinct())
+def _reach(starts: DataFrame, edges: DataFrame, hops_per_round: int) -> DataFrame:
+    """(start, id) for everything reachable. A round walks several hops in one plan over edges
+    that also lead back to their own node, so its result holds all nearer nodes too; what is new
+    goes to reliable storage. The only action on the driver is an emptiness test per round."""
+    stay = edges.select("src", F.col("src").alias("dst")).union(
+        edges.select("dst", F.col("dst").alias("dst2"))).distinct()
+    hop = durable(edges.union(stay))
+    new = durable(starts.select(F.col("id").alias("start"), "id").distinct())
     found = [new]
     while True:
-        layers, current = [], new
+        current = new
         for _ in range(hops_per_round):
-            current = _step(current, edges)
-            layers.append(current)
+            current = current.join(hop, current["id"] == hop["src"]).select(
+                "start", F.col("dst").alias("id")).distinct()
         seen = reduce(DataFrame.union, found)
-        reached = reduce(DataFrame.union, layers).distinct()
-        new = durable(reached.join(seen, ["task_id", "id"], "left_anti"))
+        new = durable(current.join(seen, ["start", "id"], "left_anti"))
         if new.isEmpty():
             return seen
         found.append(new)
@@ -178,13 +182,20 @@ def _reach(seeds: DataFrame, edges: DataFrame, hops_per_round: int) -> DataFrame
 def dependency_closure(seeds: DataFrame, edges: DataFrame, skills: DataFrame,
                        hops_per_round: int = 4) -> DataFrame:
     """Seeds plus everything they need, per task. Cycles end because seen pairs never re-enter;
-    ids without a record drop out."""
-    known = skills.select("id")
+    ids without a record drop out.
+
+    The loop runs over distinct seeds, so its size follows the graph and not the number of tasks;
+    tasks join the finished closure once.
+    """
+    known = durable(skills.select("id"))
     deps = (edges.filter(F.col("type") == "depends_on").select("src", "dst")
             .join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
             .select("src", "dst").distinct())
-    start = seeds.join(known, "id", "left_semi")
-    return _reach(start, deps, hops_per_round)
+    wanted = durable(seeds.select("task_id", "id").distinct().join(known, "id", "left_semi")
+                     .select("task_id", "id"))
+    reach = _reach(wanted, deps, hops_per_round)
+    return wanted.join(reach, wanted["id"] == reach["start"]).select(
+        "task_id", reach["id"]).distinct()
 
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hop: int) -> DataFrame:

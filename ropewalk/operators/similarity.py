@@ -12,11 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import durable
+
 TILE = 2048
 
 
 def _tiles(df: DataFrame, tile: int) -> tuple[DataFrame, int]:
-    n = df.count()  # a count, so that the number of tiles follows the data
+    df = durable(df)  # counted here, read again by every tile pair
+    n = df.count()
     parts = max(1, -(-n // tile))
     return df.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts
 
