@@ -187,7 +187,7 @@ def dependency_closure(seeds: DataFrame, edges: DataFrame, skills: DataFrame,
     The loop runs over distinct seeds, so its size follows the graph and not the number of tasks;
     tasks join the finished closure once.
     """
-    known = durable(skills.select("id"))
+    known = skills.select("id")
     deps = (edges.filter(F.col("type") == "depends_on").select("src", "dst")
             .join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
             .select("src", "dst").distinct())
@@ -251,25 +251,23 @@ def resolve_conflicts(activated: DataFrame, seeds: DataFrame, edges: DataFrame,
 def _settle(fights: DataFrame) -> DataFrame:
     """Apply conflicts in (src, dst) order by rounds: an edge is decided once no undecided edge
     of the same task that comes before it shares a record with it."""
-    empty = fights.limit(0)
-    lost, todo = empty, fights
-    while True:
+    lost, todo = fights.limit(0), fights
+    while not todo.isEmpty():
         ends = todo.select("task_id", "src", "dst", "_loser",
                            F.explode(F.array("src", "dst")).alias("_end"))
         first = ends.groupBy("task_id", "_end").agg(F.min(F.struct("src", "dst")).alias("_f"))
-        ready = (ends.join(first, ["task_id", "_end"])
-                 .groupBy("task_id", "src", "dst", "_loser")
-                 .agg(F.min((F.struct("src", "dst") == F.col("_f")).cast("int")).alias("_ok"))
-                 .filter("_ok = 1").drop("_ok"))
-        ready = durable(ready)
-        if ready.isEmpty():
-            return lost
+        ready = durable(
+            ends.join(first, ["task_id", "_end"])
+            .groupBy("task_id", "src", "dst", "_loser")
+            .agg(F.min((F.struct("src", "dst") == F.col("_f")).cast("int")).alias("_ok"))
+            .filter("_ok = 1").drop("_ok"))
         lost = lost.unionByName(ready)
         gone = ready.select("task_id", F.col("_loser").alias("_gone")).distinct()
         todo = todo.join(ready, ["task_id", "src", "dst"], "left_anti")
         for end in ("src", "dst"):
             todo = todo.join(gone.withColumnRenamed("_gone", end), ["task_id", end], "left_anti")
         todo = durable(todo.select("task_id", "src", "dst", "_loser"))
+    return lost
 
 
 def route_status_filter(activated: DataFrame, skills: DataFrame) -> DataFrame:
