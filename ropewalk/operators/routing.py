@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.parsing import parse_id_list
 from ..functions.scoring import success_rate
-from ..functions.text import loaded_tokens
+from ..functions.text import loaded_tokens, vector_text
 from ..schema import EXEC_EDGES, GOVERNANCE_EDGES, TRACE_EDGES
 from ..session import durable
 from .ordered import first_k, row_index
-from .retrieval import Bm25Index, bm25_scores, pad_with_zero, topk_per_task, vector_scores
+from .retrieval import (Bm25Index, bm25_scores, bm25_search, pad_with_zero, topk_per_task,
+                        vector_scores, vector_search)
 
 
 def candidate_pool(skills: DataFrame) -> DataFrame:
@@ -123,12 +124,14 @@ def boosted_search(tasks: DataFrame, pool: DataFrame, scores: DataFrame, weight:
 def lexical_seeds(tasks: DataFrame, pool: DataFrame, index: Bm25Index, k: int = 3,
                   type_boost: float = 0.0, retriever: str = "bm25") -> DataFrame:
     """Seeds by BM25 (or hashed vectors) on the task text alone, optionally scope-boosted."""
+    if not type_boost:
+        if retriever == "bm25":
+            return bm25_search(tasks, index, k)
+        return vector_search(tasks, pool, k, doc_text=vector_text("name", "description", "body"))
+    text = vector_text("name", "description", "body")
     scores = (bm25_scores(tasks, index) if retriever == "bm25"
-              else vector_scores(tasks, index.docs))
-    if type_boost:
-        return boosted_search(tasks, pool, scores, type_boost, k)
-    best = durable(topk_per_task(scores, k).drop("rank"))
-    return topk_per_task(pad_with_zero(tasks, best, index.docs, k), k)
+              else vector_scores(tasks, pool, doc_text=text))
+    return boosted_search(tasks, pool, scores, type_boost, k)
 
 
 def seeds_from_replies(replies: DataFrame, pool: DataFrame) -> DataFrame:

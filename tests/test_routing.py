@@ -156,3 +156,27 @@ def test_route_does_not_depend_on_partitioning(make):
         out.append(rows(plan.route(t, sk, edges(make, es), edges(make, []), hop=2).nodes,
                         "task_id", "id"))
     assert out[0] == out[1]
+
+
+def test_pruned_search_equals_full_search(make):
+    rnd = random.Random(17)
+    words = [f"w{i}" for i in range(25)]
+    weights = [1.0 / (i + 1) for i in range(25)]
+    docs = make([(i, i, " ".join(rnd.choices(words, weights, k=rnd.randint(3, 25))))
+                 for i in range(80)], "id long, ord long, text string")
+    t = make([(i, " ".join(rnd.choices(words, k=rnd.randint(1, 6)))) for i in range(25)],
+             "task_id long, text string")
+    index = r.bm25_index(docs)
+    cols = ("task_id", "rank", "id", "score")
+    full = rows(r.bm25_search(t, index, 4), *cols)
+    assert len(full) == 100
+    for cut in (2, 8, 20):
+        assert rows(r.bm25_search(t, index, 4, frequent=cut), *cols) == full
+
+
+def test_routing_with_vectors(make):
+    sk = make([skill("a", 0, "red fox runs"), skill("b", 1, "blue sea"), skill("c", 2, "red hen")],
+              SKILL)
+    t = tasks(make, ("t", "blue sea", "x"))
+    got = plan.route(t, sk, edges(make, []), edges(make, []), top=1, retriever="embed")
+    assert rows(got.nodes, "id") == [("b",)]
