@@ -136,7 +136,35 @@ def _patches(v):
             F.lit("").alias("after_section"), F.col("text").alias("content"))).alias("edits"))
 
 
-@check("g12_absorb_patches")
+# One edit after another: known slug, else a near record that is there, else a new record.
+_ABSORB = """ed AS (SELECT (conv_id * 1000 + turn) * 1048576 AS seq, role || ' ' || (length(text) // 200) AS name,
+    role || '_' || (length(text) // 200) AS slug, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS body FROM conversations),
+  nd AS (SELECT 0 AS late, id AS key, lower(name || '. ' || description || ' ' || body) AS text FROM v_skills
+    WHERE status = 'deployed' UNION ALL SELECT 1, seq, lower(name || '. ' || name || ' ' || body) FROM ed),
+  nt AS (SELECT late, key, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS t FROM nd),
+  nc AS (SELECT late, key, CAST(('0x' || right(md5(t), 8)) AS BIGINT) % 256 AS bucket, count(*) AS tf FROM nt GROUP BY 1, 2, 3),
+  nv AS (SELECT late, key, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY late, key)) AS w FROM nc),
+  qt AS (SELECT seq, unnest(regexp_extract_all(lower(name || ' ' || body), '[a-z0-9]+')) AS t FROM ed),
+  qc AS (SELECT seq, CAST(('0x' || right(md5(t), 8)) AS BIGINT) % 256 AS bucket, count(*) AS tf FROM qt GROUP BY 1, 2),
+  qv AS (SELECT seq, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY seq)) AS w FROM qc),
+  near AS (SELECT q.seq, n.late, n.key, round(sum(q.w * n.w), 6) AS sim FROM qv q JOIN nv n USING (bucket)
+    WHERE n.late = 0 OR n.key < q.seq GROUP BY 1, 2, 3 HAVING round(sum(q.w * n.w), 6) >= 0.82),
+  o AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ed),
+  walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, []::VARCHAR[] AS slugs UNION ALL
+    SELECT o.n, CASE WHEN fold THEN kept ELSE list_append(kept, seq) END, CASE WHEN fold THEN slugs ELSE
+      list_append(slugs, slug) END FROM (SELECT o.*, w.kept, w.slugs, list_contains(w.slugs, o.slug) OR EXISTS (SELECT 1
+      FROM near WHERE near.seq = o.seq AND (late = 0 OR list_contains(w.kept, near.key))) AS fold
+      FROM walk w JOIN o ON o.n = w.n + 1) o),
+  born AS (SELECT unnest(kept) AS seq FROM walk WHERE n = (SELECT max(n) FROM o)),
+  home AS (SELECT slug, ed.seq AS born FROM born JOIN ed USING (seq)),
+  pick AS (SELECT near.seq, CASE WHEN late = 0 THEN 'doc' || key ELSE e.slug END AS target FROM near LEFT JOIN ed e
+    ON e.seq = near.key AND near.late = 1 WHERE late = 0 OR key IN (SELECT seq FROM born)
+    QUALIFY row_number() OVER (PARTITION BY near.seq ORDER BY sim DESC, late, key) = 1)"""
+
+
+@check("g12_absorb_patches", _ABSORB + """--- SELECT CASE WHEN h.born <= ed.seq THEN ed.slug ELSE p.target END AS id,
+    count(*) AS n_edits, min(ed.seq) AS first FROM ed LEFT JOIN home h ON h.slug = ed.slug
+    LEFT JOIN pick p ON p.seq = ed.seq GROUP BY 1""")
 def g12(v):
     skills = v.skills.filter("status = 'deployed'").select(
         F.concat(F.lit("doc"), F.col("id")).alias("id"), "ord", "name", "description", "body", "status")

@@ -108,7 +108,7 @@ def p15(v):
         F.col("source") != "", F.concat(F.lit(" "), "lang", F.lit("  "), "source"))).alias("type"))
 
 
-@check("p16_sample_instances")
+@check("p16_sample_instances", """--- SELECT doc_id AS id FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 100""")
 def p16(v):
     return e.sample_instances(v.table("documents").select(F.col("doc_id").alias("id")), 7, 100)
 

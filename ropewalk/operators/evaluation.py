@@ -94,7 +94,7 @@ def instance_filter(items: DataFrame, ids: DataFrame,
 
 def sample_instances(items: DataFrame, seed: int, n: int) -> DataFrame:
     """First n in a seeded hash order: the same rows however the table is partitioned."""
-    key = F.xxhash64(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    key = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary"))
     return items.orderBy(key, "id").limit(n)
 
 
