@@ -172,11 +172,15 @@ def _reach(starts: DataFrame, edges: DataFrame, hops_per_round: int) -> DataFram
     found = [new]
     while True:
         current = new
-        for _ in range(hops_per_round):
+        for _ in range(hops_per_round - 1):
             current = current.join(hop, current["id"] == hop["src"]).select(
                 "start", F.col("dst").alias("id")).distinct()
+        last = current.join(hop, current["id"] == hop["src"]).select(
+            "start", F.col("dst").alias("id"), F.lit(False).alias("_old"))
         seen = reduce(DataFrame.union, found)
-        new = durable(current.join(seen, ["start", "id"], "left_anti"))
+        # one aggregate both removes duplicates and tells new pairs from seen ones
+        new = durable(last.union(seen.withColumn("_old", F.lit(True))).groupBy("start", "id")
+                      .agg(F.max("_old").alias("_old")).filter(~F.col("_old")).drop("_old"))
         if new.isEmpty():
             return seen
         found.append(new)
