@@ -83,11 +83,13 @@ def ordered_buckets(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFra
         bucket = F.when(F.col(key).isNull(), bucket).otherwise(F.lit(0))
     rows = docs.withColumn("_b", bucket.cast("int"))
     heads = sorted((r._b, r.m) for r in rows.groupBy("_b").agg(F.max(key).alias("m")).collect())
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    at = F.lit(None).cast("int")
-    for b, m in heads:
-        head = F.col(key).isNull() if m is None else F.col(key) == F.lit(m)
-        at = F.when((F.col("_b") == b) & head, F.lit(before[b])).otherwise(at)
+    # per bucket its head's key (null: none, or the bucket of null keys) and the bucket before it
+    first, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
+    for i, (b, m) in enumerate(heads):
+        first[b], before[b] = m, heads[i - 1][0]
+    kind = docs.schema[key].dataType.simpleString()
+    head = F.get(F.array(*map(F.lit, first)).cast(f"array<{kind}>"), F.col("_b")).eqNullSafe(F.col(key))
+    at = F.when(head, F.get(F.array(*map(F.lit, before)).cast("array<int>"), F.col("_b")))
     return rows.withColumn("_to", at).select(
         "*", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("c"))))
                        .otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("c")),
