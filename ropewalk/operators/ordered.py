@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ropewalk.session import durable
+
 WIDTH = 1 << 16
 
 
@@ -102,3 +104,22 @@ def rank_index(df: DataFrame, value: str, order: str, name: str = "rn") -> DataF
     inside = row_index(df, [value], order, "_in")
     return inside.join(before, value).withColumn(
         name, F.col("_before") + F.col("_in")).select(*df.columns, name)
+
+
+def range_rank(df: DataFrame, order: list[Column], name: str = "rn", parts: int | None = None) -> DataFrame:
+    """Zero-based global rank of each row by ``order``, whatever its values.
+
+    Rows are cut into ranges by sampling, stored, and numbered within their range; the counts of the
+    ranges before come from one number per range. Equal rows take neighbouring ranks in no fixed
+    order.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = durable(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    counts = {r[0]: r[1] for r in cut.groupBy("_range").count().collect()}  # one row per range
+    before, total = [], 0
+    for i in range(parts):
+        before.append(total)
+        total += counts.get(i, 0)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    offset = F.get(F.array(*map(F.lit, before)), F.col("_range")).cast("long")
+    return cut.withColumn(name, offset + inside - 1).drop("_range")
