@@ -9,7 +9,7 @@ is ``CHUNK`` bytes of text or one longer text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,7 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray
     hashes: np.ndarray
+    prefixes: list[np.ndarray] = field(default_factory=list)
 
 
 def text_chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,14 +77,18 @@ def text_chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = SPACE,
+          prefixes: tuple[int, ...] = ()) -> Words:
+    """``gap`` says which bytes part words. ``prefixes`` adds hashes of the first so many bytes of each
+    longer word (``Words.prefixes``, one array per length, the word's own hash if it is not longer)."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
+        return Words(data, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64),
+                     [np.zeros(0, np.uint64)] * len(prefixes))
     if lower:
         data = LOWER[data]
-    solid = ~SPACE[data]
+    solid = ~gap[data]
     first = np.empty(n, bool)
     first[0] = True
     first[1:] = ~solid[:-1]
@@ -100,8 +105,11 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes)
+        def hashed(to: np.ndarray) -> np.ndarray:
+            return mix((sums[to] - sums[starts]) * down[starts] + (to - starts).astype(np.uint64))
+
+        return Words(data, starts, ends, np.searchsorted(starts, offsets), hashed(ends),
+                     [hashed(np.minimum(starts + k, ends)) for k in prefixes])
 
 
 def word_texts(w: Words, index: np.ndarray) -> pa.Array:
