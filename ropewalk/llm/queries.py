@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, fingerprints, langid, mixing, quality, scoring
+from . import bpe, chat, embeddings, fingerprints, jaccard, langid, mixing, quality, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_ngram_jaccard_join", jaccard.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"), k=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 @query("op5_chat_format", chat.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
