@@ -31,7 +31,7 @@ from . import flat
 
 SAMPLE = 40_000
 TERMS = 60_000
-LEAST = 4        # documents a word must be in
+LEAST = 3        # documents a word must be in
 PREFIXES = (4, 5, 6, 7)
 PULL = 1.0       # most that a site moves a document's log odds
 REJECT = 0.5
@@ -42,6 +42,10 @@ KINDS = np.zeros((256, 6), np.float32)  # upper, lower, digit, mark, line end, b
 KINDS[65:91, 0] = KINDS[97:123, 1] = KINDS[48:58, 2] = KINDS[10, 4] = KINDS[128:, 5] = 1
 KINDS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], 3] = 1
 MARKS = [ord(c) for c in "!|#$%&*.,"]
+# each byte's row of flags (its kind and whether it is one of the marks), numbered
+FLAGS = np.column_stack([KINDS, *[np.arange(256) == m for m in MARKS]])
+MEANING, CODES = np.unique(FLAGS, axis=0, return_inverse=True)
+CLASSES, CODES = len(MEANING), CODES.astype(np.int64)
 
 
 @dataclass
@@ -61,31 +65,46 @@ class Evidence:
         return np.log((bad + 0.2) / (all_bad + 0.4)) - np.log((n - bad + 0.2) / (whole - all_bad + 0.4))
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, term hash) pairs: words and word beginnings."""
+def terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, term) pairs: words and word beginnings, as hashes. With ``known`` (sorted hashes) only terms
+    among these, as their places in it."""
     w = flat.words(data, offsets, lower=True, gap=GAP, prefixes=PREFIXES)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(w.offsets))
-    uniq, kind = np.unique(np.concatenate([w.hashes, *w.prefixes]), return_inverse=True)
-    pair = np.unique(np.tile(doc, 1 + len(PREFIXES)) * np.int64(max(len(uniq), 1)) + kind)
-    return pair // max(len(uniq), 1), uniq[pair % max(len(uniq), 1)] if len(uniq) else uniq
+    _, first, kind = np.unique(w.hashes, return_index=True, return_inverse=True)
+    # (text, kind of word) once each, then its terms
+    pair = np.unique(doc * np.int64(max(len(first), 1)) + kind)
+    doc, kind = pair // max(len(first), 1), pair % max(len(first), 1)
+    docs, found = [], []
+    for hashes in (w.hashes, *w.prefixes):
+        term = hashes[first]
+        if known is None:
+            docs.append(doc)
+            found.append(term[kind])
+            continue
+        at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        at = np.where(known[at] == term, at, -1)[kind]
+        docs.append(doc[at >= 0])
+        found.append(at[at >= 0])
+    doc, term = np.concatenate(docs), np.concatenate(found)
+    uniq, kind = (np.arange(len(known)), term) if known is not None else np.unique(term, return_inverse=True)
+    pair = np.unique(doc * np.int64(max(len(uniq), 1)) + kind)
+    return pair // max(len(uniq), 1), uniq[pair % max(len(uniq), 1)] if len(uniq) else term
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Dense features per text."""
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1).astype(float)
-    shares = []
-    for flags in (*KINDS.T, *[(np.arange(256) == m).astype(np.float32) for m in MARKS]):
-        sums = np.concatenate([[0], np.cumsum(flags[data], dtype=np.float64)])
-        shares.append((sums[offsets[1:]] - sums[offsets[:-1]]) / size)
+    code = CODES[data] + np.repeat(np.arange(n) * CLASSES, np.diff(offsets))
+    shares = np.bincount(code, minlength=n * CLASSES).reshape(n, CLASSES) @ MEANING / size[:, None]
     w = flat.words(data, offsets)
     count = np.diff(w.offsets).astype(float)
     doc = np.repeat(np.arange(n), np.diff(w.offsets))
     same = np.zeros(len(w.hashes))
     same[1:] = (w.hashes[1:] == w.hashes[:-1]) & (doc[1:] == doc[:-1])
-    kinds = np.unique(doc.astype(np.uint64) ^ flat.mix(w.hashes + doc.astype(np.uint64)), return_index=True)[1]
+    kinds = np.unique(flat.mix(w.hashes + doc.astype(np.uint64) * flat.STEP), return_index=True)[1]
     some = np.maximum(count, 1)
-    return np.column_stack([*shares, np.log1p(count), np.bincount(doc, w.ends - w.starts, n) / some,
+    return np.column_stack([shares, np.log1p(count), np.bincount(doc, w.ends - w.starts, n) / some,
                             np.bincount(doc, same, n) / some, np.bincount(doc[kinds], minlength=n) / some])
 
 
@@ -93,14 +112,13 @@ def features(evidence: Evidence, data: np.ndarray, offsets: np.ndarray, own: np.
     n = len(offsets) - 1
     out = np.zeros((n, 6))
     if len(evidence.hashes):
-        doc, term = terms(data, offsets)
-        at = np.minimum(np.searchsorted(evidence.hashes, term), len(evidence.hashes) - 1)
-        hit = evidence.hashes[at] == term
-        doc, at = doc[hit], at[hit]
+        doc, at = terms(data, offsets, evidence.hashes)
         odds = evidence.odds(at, None if own is None else own[doc])
         for j in range(2):
             o = odds[:, j]
-            np.maximum.at(out[:, 3 * j], doc, np.clip(o, 0, 6))
+            full = np.flatnonzero(np.diff(doc, prepend=-1))  # pairs come text by text
+            if len(full):
+                out[doc[full], 3 * j] = np.maximum.reduceat(np.clip(o, 0, 6), full)
             out[:, 3 * j + 1] = np.log1p(np.bincount(doc, np.where(o > 2, o, 0), n))
             out[:, 3 * j + 2] = np.log1p(np.bincount(doc, o > 3, n))
     return np.column_stack([statistics(data, offsets), out])
@@ -251,17 +269,25 @@ def sites(scored: DataFrame) -> DataFrame:
 
 
 def posterior(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None,
-              sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with host, path, p_toxic, p_poor, host_rate, path_rate, p_bad and ``rejected``.
+              sample: int = SAMPLE, keep: bool = True) -> DataFrame:
+    """``docs`` (without ``text`` unless ``keep``) with host, path, p_toxic, p_poor, host_rate, path_rate, p_bad and ``rejected``.
 
     ``host`` defaults to the source, ``path`` to the language under it."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(docs, labels, sample)
-    rows = judged(docs, model).withColumns({"host": host.cast("string"), "path": path.cast("string")})
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumns({"host": host.cast("string"), "path": path.cast("string")})
+
     p = {c: 1 / (1 + F.exp(-F.col(f"_{c}"))) for c in ("toxic", "poor")}
-    rows = rows.withColumn("_chance", 1 - (1 - p["toxic"]) * (1 - p["poor"]))
-    known = sites(rows.select("host", "path", "_chance")).select(
+    chance = 1 - (1 - p["toxic"]) * (1 - p["poor"])
+    if keep:
+        rows = named(judged(docs, model))  # judged twice, so that texts need neither shuffle nor copy
+        narrow = rows
+    else:
+        rows = narrow = durable(named(judged(docs, model)).drop("text"))
+    known = sites(narrow.select("host", "path", chance.alias("_chance"))).select(
         F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", "path_rate", "global_rate")
     shift = F.greatest(F.least(_logit(F.col("path_rate")) - _logit(F.col("global_rate")), F.lit(PULL)), F.lit(-PULL))
     moved = lambda c: 1 / (1 + F.exp(-(F.col(f"_{c}") + shift)))
@@ -269,7 +295,7 @@ def posterior(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
     return out.withColumns({"p_toxic": moved("toxic"), "p_poor": moved("poor")}).withColumn(
         "p_bad", 1 - (1 - F.col("p_toxic")) * (1 - F.col("p_poor"))).withColumn(
         "rejected", F.greatest("p_toxic", "p_poor") > REJECT).drop(
-        "_h", "_p", "_toxic", "_poor", "_chance", "global_rate")
+        "_h", "_p", "_toxic", "_poor", "global_rate")
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,6 +308,6 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    return posterior(rows, labels).select(
+    return posterior(rows, labels, keep=False).select(
         "doc_id", held_out().alias("held_out"), "host", "path", "p_toxic", "p_poor", "host_rate", "path_rate",
         (1 - F.col("p_bad")).alias("score"), "rejected", (~F.col("rejected")).alias("kept"))
