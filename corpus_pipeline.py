@@ -1,15 +1,64 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, mixing, tokens."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; ``run`` writes every
+stage as Parquet in the shared folder and reads it again as the next one's input. All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ropewalk.llm import bpe, jaccard, mixing, quality, substrings
+from ropewalk.session import durable
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; fitted on the labels."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.filtered(docs, labels)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links at 0.8 on five-word shingles."""
+    return jaccard.deduplicated(docs, k=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word passages of earlier documents. A text that loses nothing stays as it is; one that
+    loses all stays as an empty text."""
+    left = substrings.cleaned(docs, rejoin=False)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digest of the text they decode to."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
 
-#: Classifier, rounding and tokenizer stages cannot be said in SQL.
+#: Fitted weights, random rounding and byte-pair merges have no SQL; the tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = durable(docs)
     return docs

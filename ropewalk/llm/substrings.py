@@ -229,9 +229,9 @@ def intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return whole.union(some)
 
 
-def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def cleaned(docs: DataFrame, width: int = WIDTH, rejoin: bool = True) -> DataFrame:
     """All columns of ``docs`` with ``text`` reduced to the kept words, joined by one space, and ``n_words``,
-    ``n_removed``. A text that loses nothing is given as its words too."""
+    ``n_removed``. A text that loses nothing is given as its words too, or as it was without ``rejoin``."""
     gone = durable(intervals(docs, width).groupBy("doc_id", "th").agg(
         F.collect_set(F.struct("from", "to")).alias("_gone")).withColumnsRenamed({"doc_id": "_id", "th": "_th"}))
     keyed = docs.withColumn("_own", F.xxhash64("text")).join(
@@ -258,6 +258,8 @@ def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 text = joined(w, np.flatnonzero(keep), counts)
                 part = batch.slice(lo, hi - lo)
                 cols = {c: part.column(c) for c in names if c in part.schema.names}
+                if not rejoin:
+                    text = pa.compute.if_else(pa.array(counts == n), cols["text"], text)
                 cols |= {"text": text, "n_words": pa.array(n), "n_removed": pa.array(n - counts)}
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
