@@ -7,10 +7,12 @@ its partner, for every l. Each document picks its own l: a longer prefix costs i
 shared entries before the sets are compared; the choice weighs the candidates the sketch foresees. A pair is
 compared when it shares at least the smaller l of the two.
 
-Work is linear in large groups: equal sets are folded first; then every prefix shingle proposes only
+Work stays near linear in large groups: equal sets are folded first; then every prefix shingle proposes only
 pairs with its smallest member, whose verified links give first components; only pairs of different
-components are proposed after that. So no link between different texts is lost, though links inside a component are
-not all listed.
+components are proposed after that, and those must share as many prefix shingles as the sizes of the two demand.
+A bitmap of parities per set bounds the symmetric difference from below, which rules out nearly all pairs under the
+threshold inside the join. All these filters are exact, so no link between different texts is lost, though links
+inside a component are not all listed.
 
 Defined results: a text without words (or null) has the empty set and links with nothing; a text of fewer words
 than ``k`` has its whole sequence as its one shingle. Equal texts link. ``component_id`` is the smallest id
@@ -33,6 +35,7 @@ from . import flat, graph
 SLOTS = 1 << 20      # counters of the sketch: 4 MB whatever the input
 PIECE = 1 << 14      # counters per row on their way
 LONGEST = 4          # largest l
+PARITIES = 8         # 64-bit words of the parity bitmap
 SHIPPED = 200_000    # ids that may be broadcast to pick texts; beyond, a shuffle join
 OPEN, PROBE, VERIFY = 1.0, 0.5, 0.02  # cost of an index entry, of a proposed pair, of a compared shingle
 
@@ -57,7 +60,15 @@ def digest(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.mix(hashes ^ np.uint64(salt)))])
             out.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
-    return out[0], out[1]
+    return out[0], out[1] & np.int64(-8)  # three bits are left free for l
+
+
+def parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, PARITIES) words; bit b says whether an odd number of the set's shingles falls on b."""
+    n, width = len(at) - 1, PARITIES * 64
+    place = (flat.mix(hashes) % np.uint64(width)).astype(np.int64) + np.repeat(np.arange(n) * width, np.diff(at))
+    odd = (np.bincount(place, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, PARITIES)
 
 
 def least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -66,9 +77,10 @@ def least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: rows (doc_id, n, s1, s2) of the documents, and rows (slot, raw) of partial sketches."""
+    """One pass: rows (doc_id, n, s1, s2, bits) of the documents, and rows (slot, raw) of partial sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s1", "s2", "slot", "raw"]
+        names = ["doc_id", "n", "s1", "s2", "bits", "slot", "raw"]
+        kind = pa.list_(pa.int64())
         counts, some = np.zeros(SLOTS, np.int64), False
         for batch in batches:
             for lo, hi, hashes, at in sets(batch.column("text"), k):
@@ -77,14 +89,15 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
                 s1, s2 = digest(hashes, at)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(lo, m), pa.array(np.diff(at).astype(np.int64)), pa.array(s1), pa.array(s2),
+                    pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * PARITIES, pa.int32()), pa.array(parities(hashes, at).ravel())),
                     pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if some:
             raw, m = np.minimum(counts, 0x7FFFFFFF).astype("<i4"), SLOTS // PIECE
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array(
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, kind), pa.array(range(m), pa.int32()), pa.array(
                 [raw[i * PIECE:(i + 1) * PIECE].tobytes() for i in range(m)], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, s1 long, s2 long, slot int, raw binary")
+        run, "doc_id long, n long, s1 long, s2 long, bits array<long>, slot int, raw binary")
 
 
 def sketch_of(surveyed: DataFrame) -> np.ndarray:
@@ -121,7 +134,7 @@ def choose(n: np.ndarray, freq: np.ndarray, at: np.ndarray, percent: int) -> np.
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(tok, s1, s2, l): the prefix shingles of every document and how many it asks to share."""
+    """(tok, s1, s2l): the prefix shingles of every document; l, the number it asks to share, is added to s2."""
     shipped = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int32))
     noise = float(sketch.sum()) / SLOTS
 
@@ -140,10 +153,10 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
                 row = np.repeat(np.arange(len(n)), size)
                 where = np.repeat(at[:-1], size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes[where].view(np.int64)), pa.array(s1[row]), pa.array(s2[row]),
-                    pa.array(pick[row].astype(np.int32))], ["tok", "s1", "s2", "l"])
+                    pa.array(hashes[where].view(np.int64)), pa.array(s1[row]), pa.array((s2 + pick)[row])],
+                    ["tok", "s1", "s2l"])
 
-    return docs.select("text").mapInArrow(run, "tok long, s1 long, s2 long, l int")
+    return docs.select("text").mapInArrow(run, "tok long, s1 long, s2l long")
 
 
 def shared(rows: DataFrame, by: str) -> DataFrame:
@@ -152,53 +165,71 @@ def shared(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(some.select("tok", F.col("_lo").alias("hub")), "tok")
 
 
-def near_sizes(a: str, b: str, percent: int) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def overlap(percent: int) -> Column:
+    """Shingles the pair (n, _n) must have in common."""
+    return F.ceil(F.lit(percent) * (F.col("n") + F.col("_n")) / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
+def can_link(percent: int) -> Column:
+    """Sizes and parity bitmaps of (n, bits) and (_n, _bits) allow the threshold."""
+    sizes = F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n")
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(PARITIES)), F.lit(0))
+    return sizes & (apart <= F.col("n") + F.col("_n") - F.lit(2) * overlap(percent))
+
+
+def prefix_size(n: str, l: str, percent: int) -> Column:  # noqa: E741
+    return F.least(F.col(n), F.col(n) - F.floor((F.lit(percent) * F.col(n) + 99) / F.lit(100)) + F.col(l))
 
 
-def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
+    full = durable(full_sets(docs, kinds, pairs, k))
     one = full.select(F.col("uid").alias("a"), F.col("shingles").alias("_x"))
     two = full.select(F.col("uid").alias("b"), F.col("shingles").alias("_y"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("_x") + F.size("_y") - common)).select("a", "b")
+    return durable(both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("_x") + F.size("_y") - common)).select("a", "b"))
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): documents as (doc_id, n, s1, s2); classes of equal sets as (uid, s1, s2, n,
+    """(documents, classes, links): documents as (doc_id, n, s1, s2); classes of equal sets as (uid, s1, s2, n, bits,
     rep), rep the smallest id; verified links (a, b) of classes, enough of them to connect all that link."""
     surveyed = durable(survey(docs, k))
-    each = surveyed.filter(F.col("slot").isNull()).select("doc_id", "n", "s1", "s2")
+    each = surveyed.filter(F.col("slot").isNull()).select("doc_id", "n", "s1", "s2", "bits")
     kinds = durable(each.filter("n > 0").groupBy("s1", "s2").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("rep")).withColumn("uid", F.monotonically_increasing_id()))
-    rows = prefixes(docs, sketch_of(surveyed), k, percent).withColumn("_s", F.struct("s1", "s2"))
-    rows = shared(rows, "_s").groupBy("tok", "s1", "s2").agg(F.first("l").alias("l"))
+        F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
+        .withColumn("uid", F.monotonically_increasing_id()))
+    rows = shared(prefixes(docs, sketch_of(surveyed), k, percent), "s1").select("tok", "s1", "s2l").distinct()
+    rows = rows.select("tok", "s1", F.col("s2l").bitwiseAND(F.lit(-8)).alias("s2"),
+                       F.col("s2l").bitwiseAND(F.lit(7)).cast("int").alias("l"))
     index = durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("tok", "uid", "n", "l"))
-    full = durable(full_sets(docs, kinds, index, k))
+    mine = kinds.select("uid", "n", "bits")
+    other = mine.select(*[F.col(c).alias(f"_{c}") for c in mine.columns])
 
-    hubs = shared(index, "uid").filter(F.col("hub") != F.col("uid"))
-    lead = index.select("tok", F.col("uid").alias("hub"), F.col("n").alias("_n"), F.col("l").alias("_l"))
-    first = hubs.join(lead, ["tok", "hub"]).filter(near_sizes("n", "_n", percent)).groupBy(
-        F.col("hub").alias("a"), F.col("uid").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("l", "_l")).alias("l"))
-    tried = durable(first.filter("m >= l").select("a", "b"))
-    found = durable(verified(tried, full, percent))
+    hubs = shared(index, "uid").filter(F.col("hub") != F.col("uid")).select("uid", F.col("hub").alias("_uid")).distinct()
+    tried = durable(hubs.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select(
+        F.col("_uid").alias("a"), F.col("uid").alias("b")))
+    found = verified(tried, docs, kinds, k, percent)
 
     part = graph.components(found).withColumnRenamed("node", "uid")
     rest = index.join(part, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    rest = durable(shared(rest, "root").select("tok", "uid", "n", "l", "root"))
-    left = rest.select("tok", *[F.col(c).alias(f"_{c}") for c in ("uid", "n", "l", "root")])
-    more = rest.join(left, "tok").filter((F.col("uid") < F.col("_uid")) & (F.col("root") != F.col("_root"))
-                                         & near_sizes("n", "_n", percent))
-    more = more.groupBy(F.col("uid").alias("a"), F.col("_uid").alias("b")).agg(
-        F.count("*").alias("m"), F.first(F.least("l", "_l")).alias("l")).filter("m >= l").select("a", "b")
+    rest = durable(shared(rest, "root").select("tok", "uid", "n", "l", "root").join(kinds.select("uid", "bits"), "uid"))
+    left = rest.select("tok", *[F.col(c).alias(f"_{c}") for c in ("uid", "n", "l", "root", "bits")])
+    more = rest.join(left, (rest["tok"] == left["tok"]) & (F.col("uid") < F.col("_uid"))
+                     & (F.col("root") != F.col("_root")) & can_link(percent))
+    # shared prefix shingles the sizes demand of this pair
+    asked = F.greatest(F.lit(1), F.least(overlap(percent) - F.col("n") + prefix_size("n", "l", percent),
+                                         overlap(percent) - F.col("_n") + prefix_size("_n", "_l", percent)))
+    more = more.select(F.col("uid").alias("a"), F.col("_uid").alias("b"), asked.alias("asked")).groupBy("a", "b").agg(
+        F.count("*").alias("m"), F.first("asked").alias("asked")).filter("m >= asked").select("a", "b")
     more = durable(more.join(tried, ["a", "b"], "left_anti"))
-    return each, kinds, found.union(verified(more, full, percent))
+    return each, kinds, found.union(verified(more, docs, kinds, k, percent))
 
 
-def full_sets(docs: DataFrame, kinds: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(uid, shingles) of the classes in ``index``, from the text of their smallest id."""
-    want = durable(index.select("uid").distinct().join(kinds, "uid").select("uid", "rep", "s1", "s2"))
+def full_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(uid, shingles) of the classes in ``pairs``, from the text of their smallest id."""
+    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    want = durable(ids.join(kinds, "uid").select("uid", "rep", "s1", "s2"))
     few = F.broadcast(want) if want.count() <= SHIPPED else want
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         few, F.col("doc_id").eqNullSafe(F.col("rep"))).select("uid", "s1", "s2", "text")
