@@ -8,6 +8,9 @@ similarity of the shingle sets with a standard error of at most 0.045 at 128 per
 Nulls and empty texts share one constant fingerprint (likeness 1 to each other, near 0 to others).
 Texts below ``shingle`` words count as one shingle. Equal texts, and texts that differ in white
 space or ASCII case only, have equal fingerprints. Other columns of the input are ignored.
+
+``near_duplicates`` joins bands of the signatures in Spark and verifies the shingle sets; a pair at
+the threshold of 0.8 shares no band with a chance below 0.0001.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import flat
+from ropewalk.session import durable
+
+from . import flat, jaccard
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -144,6 +149,37 @@ def with_next(docs: DataFrame, count: int = PERMUTATIONS, k: int = SHINGLE) -> D
                                 "edited_fingerprint string, near_edited double, near_next double")
 
 
+BANDS, ROWS = 25, 5
+
+
+def bands(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(tok, s1, s2): hashes of the signature bands of every document with words, and the name of its set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, at in jaccard.sets(batch.column("text"), k):
+                full = np.flatnonzero(np.diff(at))
+                sig = signatures(batch.column("text").slice(lo, hi - lo), BANDS * ROWS, k)[full].astype(np.uint64)
+                s1, s2 = jaccard.digest(hashes, at)
+                tok = np.arange(BANDS, dtype=np.uint64) * flat.BASE
+                with np.errstate(over="ignore"):
+                    for j in range(ROWS):
+                        tok = tok * flat.STEP + sig[:, j::ROWS][:, :BANDS]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(flat.mix(tok).ravel().view(np.int64)), pa.array(np.repeat(s1[full], BANDS)),
+                    pa.array(np.repeat(s2[full], BANDS))], ["tok", "s1", "s2"])
+
+    return docs.select("text").mapInArrow(run, "tok long, s1 long, s2 long")
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, s1, s2, root) per row, as ``jaccard.components_of``, by signature bands."""
+    _, each, kinds = jaccard.classes(docs, k)
+    rows = jaccard.shared(bands(docs, k), "s1").select("tok", "s1", "s2").distinct()
+    index = durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select(
+        "tok", "uid", "n", F.lit(1).alias("l")))
+    return jaccard.named(each, kinds, jaccard.connect(index, docs, kinds, k, percent, prefix=False))
+
+
 def _pieces(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes of text, at least one row each."""
     for lo, hi, _, _ in flat.text_chunks(batch.column("text"), size):

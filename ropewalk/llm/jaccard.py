@@ -17,7 +17,7 @@ inside a component are not all listed.
 Defined results: a text without words (or null) has the empty set and links with nothing; a text of fewer words
 than ``k`` has its whole sequence as its one shingle. Equal texts link. ``component_id`` is the smallest id
 reachable, null ids aside. Rows equal in id and text are one document for ``deduplicated``. An empty table gives an
-empty table. ``links`` and ``components_of`` read ``doc_id`` and ``text`` only.
+empty table. ``components_of`` reads ``doc_id`` and ``text`` only.
 """
 
 from __future__ import annotations
@@ -191,21 +191,30 @@ def verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percen
     return durable(both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("_x") + F.size("_y") - common)).select("a", "b"))
 
 
-def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): documents as (doc_id, n, s1, s2); classes of equal sets as (uid, s1, s2, n, bits,
-    rep), rep the smallest id; verified links (a, b) of classes, enough of them to connect all that link."""
+def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(survey, documents, classes): documents as (doc_id, n, s1, s2, bits); classes of equal sets as (uid, s1, s2, n,
+    bits, rep), rep the smallest id."""
     surveyed = durable(survey(docs, k))
     each = surveyed.filter(F.col("slot").isNull()).select("doc_id", "n", "s1", "s2", "bits")
     kinds = durable(each.filter("n > 0").groupBy("s1", "s2").agg(
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
         .withColumn("uid", F.monotonically_increasing_id()))
+    return surveyed, each, kinds
+
+
+def index_of(docs: DataFrame, surveyed: DataFrame, kinds: DataFrame, k: int, percent: int) -> DataFrame:
+    """(tok, uid, n, l) for the prefix shingles that several classes have."""
     rows = shared(prefixes(docs, sketch_of(surveyed), k, percent), "s1").select("tok", "s1", "s2l").distinct()
     rows = rows.select("tok", "s1", F.col("s2l").bitwiseAND(F.lit(-8)).alias("s2"),
                        F.col("s2l").bitwiseAND(F.lit(7)).cast("int").alias("l"))
-    index = durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("tok", "uid", "n", "l"))
+    return durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("tok", "uid", "n", "l"))
+
+
+def connect(index: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent: int, prefix: bool = True) -> DataFrame:
+    """Verified links (a, b) of classes that share a ``tok``, enough of them to connect all that link. With ``prefix``
+    the toks are prefix shingles and a pair must share as many as its sizes demand."""
     mine = kinds.select("uid", "n", "bits")
     other = mine.select(*[F.col(c).alias(f"_{c}") for c in mine.columns])
-
     hubs = shared(index, "uid").filter(F.col("hub") != F.col("uid")).select("uid", F.col("hub").alias("_uid")).distinct()
     tried = durable(hubs.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select(
         F.col("_uid").alias("a"), F.col("uid").alias("b")))
@@ -220,10 +229,10 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     # shared prefix shingles the sizes demand of this pair
     asked = F.greatest(F.lit(1), F.least(overlap(percent) - F.col("n") + prefix_size("n", "l", percent),
                                          overlap(percent) - F.col("_n") + prefix_size("_n", "_l", percent)))
-    more = more.select(F.col("uid").alias("a"), F.col("_uid").alias("b"), asked.alias("asked")).groupBy("a", "b").agg(
-        F.count("*").alias("m"), F.first("asked").alias("asked")).filter("m >= asked").select("a", "b")
-    more = durable(more.join(tried, ["a", "b"], "left_anti"))
-    return each, kinds, found.union(verified(more, docs, kinds, k, percent))
+    more = more.select(F.col("uid").alias("a"), F.col("_uid").alias("b"), (asked if prefix else F.lit(1)).alias("asked"))
+    more = more.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("asked").alias("asked")).filter("m >= asked")
+    more = durable(more.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    return found.union(verified(more, docs, kinds, k, percent))
 
 
 def full_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -249,30 +258,36 @@ def full_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int) -> Da
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, s1, s2) per row of ``docs``."""
-    each, kinds, found = links(docs, k, percent)
+    """(doc_id, n_shingles, component_id, s1, s2, root) per row of ``docs``; ``root`` numbers the components (null for
+    the empty set), since different texts may share an id."""
+    surveyed, each, kinds = classes(docs, k)
+    index = index_of(docs, surveyed, kinds, k, percent)
+    return named(each, kinds, connect(index, docs, kinds, k, percent))
+
+
+def named(each: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents with their component, from the links of their classes."""
     roots = graph.components(found).withColumnRenamed("node", "uid")
-    named = kinds.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_kind = durable(named.join(least_id, "root").select("s1", "s2", "component_id"))
+    rooted = kinds.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    least_id = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    per_kind = durable(rooted.join(least_id, "root").select("s1", "s2", "component_id", "root"))
     some, none = each.filter("n > 0"), each.filter("n = 0")
-    return some.join(per_kind, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "s1", "s2") \
-        .union(none.select("doc_id", "n", "doc_id", "s1", "s2"))
+    return some.join(per_kind, ["s1", "s2"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "s1", "s2", "root").union(
+        none.select("doc_id", "n", "doc_id", "s1", "s2", F.lit(None).cast("long")))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id (if ids repeat, one text of it).
     Documents without words stay. A component without any id keeps one of its texts."""
     found = components_of(docs, k, percent)
-    grouped = found.filter("n_shingles > 0").groupBy("component_id").agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("s1", "s2"))).alias("_s"))
-    chosen = grouped.filter(F.col("component_id").isNotNull()).select(
-        F.col("component_id").alias("_id"), F.col("_s.s1").alias("_s1"), F.col("_s.s2").alias("_s2"))
-    lone = found.filter("n_shingles > 0 AND component_id IS NULL").select(
-        F.col("component_id").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2")).distinct()
+    chosen = found.filter("n_shingles > 0").groupBy("root").agg(
+        F.first("component_id").alias("_id"),
+        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("s1", "s2"))).alias("_s")).select(
+        "_id", F.col("_s.s1").alias("_s1"), F.col("_s.s2").alias("_s2"))
     empty = found.filter("n_shingles = 0").select(
         F.col("doc_id").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2")).distinct()
-    keep = durable(chosen.union(lone).union(empty))
+    keep = durable(chosen.union(empty))
     # texts of a kept id; the set's name tells repeated ids apart
     rows = named_rows(docs, k)
     kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_s1"))

@@ -148,12 +148,13 @@ def copies(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = W
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed table: every row of ``docs`` as often as its copies say."""
-    plan = copies(docs, **how).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ITEM)], "copies")
+    plan = copies(docs, **how).filter("copies > 0").select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(ITEM)], F.col("copies").alias("_copies"))
     keyed = docs.withColumn("_kh", F.xxhash64("text"))
     joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_k0")) & F.col("source").eqNullSafe(F.col("_k1"))
                         & (F.col("_kh") == F.col("_k2")))
-    return joined.filter("copies > 0").withColumn(
-        "_each", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return joined.withColumn(
+        "_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
