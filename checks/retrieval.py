@@ -74,7 +74,7 @@ def g03_dense(v):
     from ropewalk.operators.similarity import similar
     heads = v.vec.groupBy("block").agg(F.min("id").alias("id"))
     q = v.vec.join(heads.select("id"), "id", "left_semi")
-    found = similar(q, v.vec, 64, k=5)
+    found = similar(q, v.vec, 64, k=5, same_table=True)
     return first_k(found, ["left_id"], [F.col("sim").desc(), F.col("right_ord")], 5).select(
         F.col("left_id").alias("task_id"), F.col("right_id").alias("id"),
         F.col("sim").alias("score"), "rank")

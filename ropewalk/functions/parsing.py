@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..schema import CHAIN_STEPS, FRAGMENTS
-from .text import _col
+from .text import _col, strip
 
 # Patterns of rule ids, rule statements and reply formats.
 _STEP_SUFFIX = r"_(\d+)(?:_\d+)?$"
@@ -74,4 +74,4 @@ def parse_id_list(reply: Column | str) -> Column:
     groups = F.reverse(F.regexp_extract_all(_col(reply), F.lit(_FLAT_ARRAY), F.lit(0)))
     parsed = F.transform(groups, lambda g: F.from_json(g, "array<string>"))
     return F.transform(F.filter(parsed, lambda a: a.isNotNull()),
-                       lambda a: F.transform(a, lambda v: F.trim(v)))
+                       lambda a: F.transform(a, lambda v: strip(v)))

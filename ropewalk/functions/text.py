@@ -54,12 +54,21 @@ def loaded_tokens(token_cost: Column | str, body: Column | str) -> Column:
     return F.when(F.coalesce(cost, F.lit(0)) != 0, cost).otherwise(est_tokens(body))
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+\z", "")
+
+
+def _text(col: Column | str) -> Column:
+    return F.coalesce(_col(col), F.lit(""))
+
+
 def vector_text(name: Column | str, description: Column | str, body: Column | str) -> Column:
-    return F.concat(_col(name), F.lit(". "), _col(description), F.lit(" "), _col(body))
+    return F.concat(_text(name), F.lit(". "), _text(description), F.lit(" "), _text(body))
 
 
 def bm25_text(name: Column | str, description: Column | str, body: Column | str) -> Column:
-    return F.concat(_col(name), F.lit(" "), _col(description), F.lit(" "), _col(body))
+    return F.concat(_text(name), F.lit(" "), _text(description), F.lit(" "), _text(body))
 
 
 def section_name(target: Column | str, after: Column | str, file: Column | str) -> Column:
@@ -68,7 +77,7 @@ def section_name(target: Column | str, after: Column | str, file: Column | str)
         *[F.when(F.length(_col(c)) > 0, _col(c)) for c in (target, after, file)],
         F.lit("general"),
     )
-    bare = F.trim(F.regexp_replace(F.trim(first), r"^#+", ""))
+    bare = strip(F.regexp_replace(strip(first), r"^#+", ""))
     return F.when(F.length(bare) > 0, bare).otherwise(F.lit("general"))
 
 

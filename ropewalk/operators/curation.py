@@ -8,7 +8,7 @@ from ..functions.text import (loaded_tokens, paragraphs, section_name, slugify,
                               vector_text)
 from ..functions.vectors import hash_embed_packed
 from ..session import durable
-from .ordered import first_k, prefix, row_index
+from .ordered import first_k, prefix, range_rank, row_index
 from .pairs import salted_join
 from .routing import layer_of
 from .similarity import similar
@@ -67,7 +67,7 @@ def nearest(queries: DataFrame, nodes: DataFrame, threshold: float, dim: int = 2
     """Most similar node per query, first one on ties, null under the threshold.
 
     Copies of a node cannot win over the first copy, and copies of a query share its answer, so
-    both sides are folded before they are compared. ``queries`` and ``nodes`` have disjoint ``ord``.
+    both sides are folded before they are compared.
     """
     q, payload = _fold_copies(queries)
     n, _ = _fold_copies(nodes)
@@ -96,7 +96,7 @@ def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float =
     folded, payload = _fold_copies(every)
     folded = durable(folded)
     heads = folded.filter(F.col("ord") == F.col("gid"))
-    pairs = similar(heads, heads, dim, threshold)
+    pairs = similar(heads, heads, dim, threshold, same_table=True)
     head_ids = heads.select("id", F.col("gid").alias("_g"))
     pairs = durable(
         pairs.join(head_ids.withColumnRenamed("id", "left_id"), "left_id")
@@ -254,7 +254,7 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
     own = embed(reps, F.concat("name", F.lit(". "), "name", F.lit(" "), "body"), dim)
     there = embed(skills.filter(F.col("status") != "retired"),
                   vector_text("name", "description", "body"), dim)
-    near = similar(asking, there.unionByName(own), dim, threshold)
+    near = similar(asking, there.unionByName(own), dim, threshold, same_table=True)
     near = durable(near.join(reps.select(F.col("id").alias("left_id"), F.col("ord").alias("e")),
                              "left_id").select("e", F.col("right_ord").alias("h"),
                                                F.col("right_id").alias("h_id"), "sim"))
@@ -421,24 +421,32 @@ def split(skills: DataFrame, children: DataFrame, step: int,
           child_status: str = "candidate") -> dict[str, DataFrame]:
     """Turn parents into thin plan records over their children.
 
-    ``children(parent, child_no, id, name, description, body, child_type)``. A child id that exists
-    becomes slug(name + parent). The pair's parent_child edge is overwritten by depends_on, since a
+    ``children(parent, child_no, id, name, description, body, child_type)``. Children are numbered by (parent's ``ord``
+    if there is one, parent, child_no) in ``ord``. An id that exists, or that an earlier child has, becomes
+    slug(name + parent), with -2, -3, ... where that is in use too. The pair's parent_child edge is overwritten by depends_on, since a
     pair has one edge per layer.
     """
     taken = skills.select("id", F.lit(True).alias("_t"))
     owner = skills.select(F.col("id").cast("string").alias("parent"),
                           F.col("name").alias("parent_name"),
-                          F.col("description").alias("parent_description"))
-    kids = (children.withColumn("id", F.col("id").cast("string"))
-            .join(taken.withColumn("id", F.col("id").cast("string")), "id", "left")
-            .withColumn("parent", F.col("parent").cast("string"))
-            .withColumn("id", F.when(F.col("_t"), slugify(F.concat("name", F.lit("_"), "parent")))
-                        .otherwise(F.col("id"))).drop("_t").join(owner, "parent"))
+                          F.col("description").alias("parent_description"),
+                          (F.col("ord") if "ord" in skills.columns else F.lit(0)).alias("_po"))
+    kids = (children.withColumn("id", F.col("id").cast("string")).withColumn("parent", F.col("parent").cast("string"))
+            .join(taken.withColumn("id", F.col("id").cast("string")), "id", "left").join(owner, "parent"))
+    kids = durable(range_rank(kids, [F.col("_po"), F.col("parent"), F.col("child_no")], "ord"))
+    # the first child to ask for a free id has it
+    has = kids.filter(F.col("_t").isNull()).groupBy("id").agg(F.min("ord").alias("ord")).select("ord", F.lit(True).alias("_own"))
+    kids = kids.join(has, "ord", "left")
+    kept = kids.filter("_own").withColumn("new_id", F.col("id"))
+    moved = kids.filter(F.col("_own").isNull()).withColumn("_named", F.concat("name", F.lit("_"), "parent"))
+    used = taken.select(F.col("id").cast("string").alias("id")).union(kept.select("id"))
+    kids = durable(kept.unionByName(suffixed_ids(moved, used, "_named").drop("_named")).withColumn(
+        "id", F.col("new_id")).drop("_t", "_po", "_own", "new_id"))
     listed = kids.groupBy("parent").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("child_no", "id"))), lambda e: e["id"])
         .alias("children"))
     return {
-        "children": kids.select("parent", "child_no", "id", "name", "description", "body",
+        "children": kids.select("parent", "child_no", "ord", "id", "name", "description", "body",
                                 "child_type", F.lit("atomic").alias("granularity"),
                                 F.lit(child_status).alias("status")),
         "parents": router_stub(kids).withColumn("granularity", F.lit("plan")),

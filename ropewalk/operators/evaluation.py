@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.parsing import rule_stats, rule_step, type_key
 from ..functions.scoring import success_rate, trials
-from ..functions.text import est_tokens, loaded_tokens
+from ..functions.text import est_tokens, loaded_tokens, strip
 from .ordered import first_k, prefix, row_index
 
 
@@ -380,7 +380,7 @@ def library_growth(events: DataFrame, key: str, order: str, added: str = "n") ->
 
 def failures_first(trajectories: DataFrame, cap: int = 12) -> DataFrame:
     """Failures before successes in arrival order per round, blank traces skipped, at most cap."""
-    seen = trajectories.filter(F.length(F.trim("trace")) > 0)
+    seen = trajectories.filter(F.length(strip("trace")) > 0)
     return first_k(seen, ["round"], [F.col("hard").asc(), F.col("seq").asc()], cap)
 
 

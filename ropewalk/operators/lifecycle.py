@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scoring import HeatConfig, skill_heat, success_rate, trials, utility
-from ..functions.text import est_tokens, slugify
+from ..functions.text import est_tokens, slugify, strip
 from .ordered import rank_index, row_index
 
 
@@ -176,7 +176,7 @@ def mint_checkpoints(skills: DataFrame, guarded_ids: DataFrame, step: int,
     default = F.concat(F.lit("The result of '"), F.col("name"),
                        F.lit("' is correct and complete: it did the task's intended edit, ran "
                              "without error, and left the spreadsheet consistent."))
-    given = F.lit(None).cast("string") if postcondition is None else F.trim(postcondition)
+    given = F.lit(None).cast("string") if postcondition is None else strip(postcondition)
     return error_prone(skills, guarded_ids, min_trials, max_rate).select(
         slugify(F.concat(F.lit("checkpoint_"), sid, F.lit(f"_{step}"))).alias("id"),
         F.lit("checkpoint").alias("kind"),

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import loaded_tokens, ws_tokens
 from ..functions.vectors import hash_embed, hash_embed_packed
 from ..session import durable
-from .ordered import first_k
+from .ordered import first_k, range_rank
 from .similarity import similar
 
 # Published Okapi defaults.
@@ -115,16 +115,47 @@ def bm25_scores(tasks: DataFrame, index: Bm25Index, text: Column | str = "text")
         "task_id", "id", "ord", F.round("_s", 6).alias("score"))
 
 
-def pad_with_zero(tasks: DataFrame, scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+RUN = 4096  # positions of the pool counted together
+
+
+def first_unmatched(tasks: DataFrame, matched: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(task_id, id, ord): per task the first ``k`` records, in insertion order, that it did not match.
+
+    Positions of the pool are counted in runs of ``RUN``. The free places before a run follow from the matches
+    before it, so only runs that hold one of the first ``k`` free places are looked into: at most ``k`` per task,
+    whatever the task matched.
+    """
+    pool = durable(range_rank(docs.select("id", "ord"), [F.col("ord"), F.col("id")], "_at")).select("id", "ord", "_at")
+    sizes = durable(pool.groupBy(F.floor(F.col("_at") / RUN).alias("_run")).agg(F.count("*").alias("_size")))
+    hits = matched.select("task_id", "id").distinct().join(pool.select("id", "_at"), "id").select(
+        "task_id", "_at", F.floor(F.col("_at") / RUN).alias("_run"))
+    hits = durable(hits)
+    used = hits.groupBy("task_id", "_run").agg(F.count("*").alias("_used"))
+    # a task needs no run beyond those it uses and those k free places fill
+    span = tasks.select("task_id").distinct().join(
+        used.groupBy("task_id").agg(F.count("*").alias("_runs")), "task_id", "left").select(
+        "task_id", F.explode(F.sequence(F.lit(0), (F.coalesce("_runs", F.lit(0)) + k // RUN + 1).cast("long"))).alias("_run"))
+    each = span.join(sizes, "_run").join(used, ["task_id", "_run"], "left").select(
+        "task_id", "_run", (F.col("_size") - F.coalesce("_used", F.lit(0))).alias("_free"))
+    before = Window.partitionBy("task_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    open_runs = each.select("*", F.coalesce(F.sum("_free").over(before), F.lit(0)).alias("_before")).filter(
+        (F.col("_free") > 0) & (F.col("_before") < k))
+    free = (open_runs.join(pool.withColumn("_run", F.floor(F.col("_at") / RUN)), "_run")
+            .join(hits.select("task_id", "_at"), ["task_id", "_at"], "left_anti"))
+    return first_k(free, ["task_id"], [F.col("ord").asc(), F.col("id").asc()], k).select("task_id", "id", "ord")
+
+
+def pad_with_zero(tasks: DataFrame, scores: DataFrame, docs: DataFrame, k: int,
+                  matched: DataFrame | None = None) -> DataFrame:
     """Records that matched nothing still count, with score 0 in insertion order.
 
-    A task with fewer than k hits can only use unmatched records among the first k of the pool, so
-    k rows (a fixed bound) are enough whatever the pool size.
+    ``matched`` lists every (task_id, id) that has a score of its own (default: ``scores``), at least for tasks whose
+    k best in ``scores`` do not all lie above 0; the others have no room for a zero.
     """
-    head = docs.select("id", "ord").orderBy("ord").limit(k)
-    zero = (tasks.select("task_id").crossJoin(F.broadcast(head))  # k rows
-            .join(scores.select("task_id", "id"), ["task_id", "id"], "left_anti")
-            .select("task_id", "id", "ord", F.lit(0.0).alias("score")))
+    full = scores.filter("score > 0").groupBy("task_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
+    needy = durable(tasks.select("task_id").distinct().join(full, "task_id", "left_anti"))
+    pairs = (scores if matched is None else matched).select("task_id", "id").join(needy, "task_id", "left_semi")
+    zero = first_unmatched(needy, pairs, docs, k).select("task_id", "id", "ord", F.lit(0.0).alias("score"))
     return scores.unionByName(zero)
 
 
@@ -137,19 +168,16 @@ def bm25_search(tasks: DataFrame, index: Bm25Index, k: int, text: Column | str =
                 frequent: int | None = None) -> DataFrame:
     """Top k by Okapi BM25, always k rows per task while the pool has that many.
 
-    A token in more than ``frequent`` records (default 1 % of the pool, 1,000 at least) would pair
-    every task that uses it with all of them. So rare tokens are scored first. Where the k-th best
+    A token in more than ``frequent`` records (default 1 % of the pool) would pair
+    every task that uses it with all of them. So rare tokens are scored first, at every size of the pool. Where the k-th best
     of those partial scores is over everything the frequent tokens could add, a record without a
     rare token cannot win, and frequent tokens are looked up only for records whose partial score
     can still reach the k-th best. Tasks for which that does not hold are scored in full.
     """
-    cut = max(1000, index.n_docs // 100) if frequent is None else frequent
-    if index.n_docs <= cut:
-        scores = bm25_scores(tasks, index, text)
-    else:
-        scores = _pruned_scores(tasks, index, k, text, cut)
+    cut = max(1, index.n_docs // 100) if frequent is None else frequent
+    scores = durable(_pruned_scores(tasks, index, k, text, cut))
     best = durable(topk_per_task(scores, k).drop("rank"))
-    return topk_per_task(pad_with_zero(tasks, best, index.docs, k), k)
+    return topk_per_task(pad_with_zero(tasks, best, index.docs, k, scores), k)
 
 
 def _pruned_scores(tasks: DataFrame, index: Bm25Index, k: int, text: Column | str,

@@ -118,7 +118,8 @@ def boosted_search(tasks: DataFrame, pool: DataFrame, scores: DataFrame, weight:
             .select("task_id", "id", "ord", F.round(F.lit(weight) * F.col("_ref"), 6)
                     .alias("score")))
     first = durable(topk_per_task(best.unionByName(lone), k).drop("rank"))
-    return topk_per_task(pad_with_zero(tasks, first, pool, k), k)
+    matched = scores.select("task_id", "id").unionByName(lone.select("task_id", "id"))
+    return topk_per_task(pad_with_zero(tasks, first, pool, k, matched), k)
 
 
 def lexical_seeds(tasks: DataFrame, pool: DataFrame, index: Bm25Index, k: int = 3,

@@ -40,13 +40,15 @@ def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
 
 
 def similar(left: DataFrame, right: DataFrame, dim: int, threshold: float | None = None,
-            k: int | None = None, earlier_only: bool = False, tile: int = TILE) -> DataFrame:
+            k: int | None = None, earlier_only: bool = False, same_table: bool = False,
+            tile: int = TILE) -> DataFrame:
     """Rows (left_id, right_id, right_ord, sim) with sim rounded to six places.
 
     Both inputs have ``id``, ``ord`` (long) and either ``vec`` or ``buckets`` + ``tf``.
     ``threshold`` keeps sim >= threshold. ``k`` keeps, per left row and tile, the k best by
     (sim desc, right_ord asc), so the caller's final top-k sees k rows per tile, not all pairs.
-    ``earlier_only`` keeps right_ord < left_ord; otherwise a row never meets itself (same ord).
+    ``earlier_only`` keeps right_ord < left_ord. With ``same_table`` both sides are cuts of one table and a row does
+    not meet itself (same ord); between different tables equal ords mean nothing.
     """
     payload = ["buckets", "tf"] if "buckets" in left.columns else ["vec"]
     cols = ["id", "ord", *payload]
@@ -68,7 +70,12 @@ def similar(left: DataFrame, right: DataFrame, dim: int, threshold: float | None
         b = b.sort_values("ord", kind="stable")
         ra, rb = a["ord"].to_numpy(), b["ord"].to_numpy()
         sims = np.round(_matrix(a, dim) @ _matrix(b, dim).T, 6)
-        ok = rb[None, :] < ra[:, None] if earlier_only else rb[None, :] != ra[:, None]
+        if earlier_only:
+            ok = rb[None, :] < ra[:, None]
+        elif same_table:
+            ok = rb[None, :] != ra[:, None]
+        else:
+            ok = np.ones(sims.shape, bool)
         if threshold is not None:
             ok &= sims >= threshold
         if k is not None and sims.shape[1] > k:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scoring import HeatConfig
-from ..functions.text import slugify
+from ..functions.text import slugify, strip
 from ..operators import curation, evaluation, lifecycle, routing
 from ..session import durable
 
@@ -77,8 +77,8 @@ def navlog_curation(nav: DataFrame, outcomes: DataFrame, fragments: DataFrame, s
     ``fragments(instance, note, ord, name, description, body, task_types)`` is what a distiller made
     of the notes; blank notes and empty bodies drop out, and the run is added as evidence.
     """
-    notes = nav.filter((F.col("action") == "go_off_graph") & (F.length(F.trim("note")) > 0))
-    usable = (fragments.filter(F.length(F.trim("body")) > 0)
+    notes = nav.filter((F.col("action") == "go_off_graph") & (F.length(strip("note")) > 0))
+    usable = (fragments.filter(F.length(strip("body")) > 0)
               .join(notes.select("instance", "note").distinct(), ["instance", "note"],
                     "left_semi"))
     frags = durable(usable.select(
@@ -131,7 +131,7 @@ def curate_round(skills: DataFrame, edges: DataFrame, guarded: DataFrame, fragme
         parts = curation.split(now, curation.propose_children(wide, "copies"), step)
         n_split = wide.agg(F.count("*").alias("split"))
         kids = parts["children"].select(
-            "id", F.monotonically_increasing_id().alias("ord"), "name", "description", "body",
+            "id", "ord", "name", "description", "body",
             "status", F.array("child_type").alias("task_types"),
             *[v.alias(c) for c, v in empty.items()],
             F.lit(-1).cast("long").alias("last_used_step"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.parsing import is_hard
+from ..functions.text import strip
 from ..schema import (CHAIN_DOCUMENT, EVAL_DOCUMENT, GRAPH_DOCUMENT, HISTORY, NAV_RECORD,
                       ROUTE_DUMP)
 
@@ -86,8 +87,8 @@ def _file_stem(path: F.col):
 
 def nav_records(lines: DataFrame) -> DataFrame:
     """Parse JSONL ``lines(value, instance)``; blank and malformed lines drop out."""
-    rec = F.from_json(F.trim("value"), NAV_RECORD)
-    return (lines.filter(F.length(F.trim("value")) > 0).select("instance", "line", rec.alias("r"))
+    rec = F.from_json(strip("value"), NAV_RECORD)
+    return (lines.filter(F.length(strip("value")) > 0).select("instance", "line", rec.alias("r"))
             .filter(F.col("r.action").isNotNull())
             .select("instance", F.col("line").alias("pos"), "r.action", "r.cursor", "r.task",
                     F.coalesce("r.note", F.lit("")).alias("note")))
@@ -153,7 +154,7 @@ def read_step_logs(spark: SparkSession, path) -> DataFrame:
             F.lit("[step "), F.coalesce(s["step"], F.lit("None")), F.lit("] think="),
             F.coalesce(s["reasoning"], F.lit("")), F.lit(" | action="),
             F.coalesce(s["action"], F.lit("None")), F.lit(" | feedback="),
-            F.trim(F.coalesce(s["env_feedback"], F.lit(""))),
+            strip(F.coalesce(s["env_feedback"], F.lit(""))),
             F.when(s["done"], "  <<DONE>>").otherwise(""))
 
     return raw.select(folder_key(F.col("_f")).alias("run"), steps.alias("s")).filter(
@@ -188,7 +189,7 @@ def read_routes(spark: SparkSession, path, multi: bool = True) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path, name: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("id")).filter(
+    return spark.read.text(path).select(strip("value").alias("id")).filter(
         F.length("id") > 0).withColumn("split", F.lit(name))
 
 
@@ -203,8 +204,8 @@ def parse_skill_docs(docs: DataFrame) -> DataFrame:
     front = F.regexp_extract("value", _FRONT, 1)
     after = F.regexp_replace("value", r"(?s)^---.*?---\n*", "")
     return docs.select(
-        "path", F.trim(F.regexp_extract(front, _NAME, 1)).alias("name"),
-        F.trim(F.regexp_extract(front, _DESCRIPTION, 1)).alias("description"),
+        "path", strip(F.regexp_extract(front, _NAME, 1)).alias("name"),
+        strip(F.regexp_extract(front, _DESCRIPTION, 1)).alias("description"),
         after.alias("body")).filter(F.length("name") > 0)
 
 

@@ -251,3 +251,22 @@ def test_navlog_note_becomes_a_record(make):
     assert rows(out["inserted"], "id") == [("regen_proto",)]
     assert tuple(out["summary"].first()) == (1, 1, 1)
     assert rows(out["credit"]) == [("a", 0, 1)]
+
+
+def test_nearest_ignores_equal_ords_of_different_tables(make):
+    from ropewalk.operators.curation import embed, nearest
+
+    q = embed(make([("q", 0, "red fox")], "id string, ord long, text string"))
+    n = embed(make([("a", 0, "red fox"), ("b", 1, "blue cat")], "id string, ord long, text string"))
+    assert [(r.id, r.node) for r in nearest(q, n, 0.5).collect()] == [("q", "a")]
+
+
+def test_split_gives_every_child_an_id_of_its_own(make):
+    from ropewalk.operators.curation import propose_children, split
+
+    cols = "id string, ord long, name string, description string, body string, task_types array<string>"
+    skills = make([(f"s{i}", i, "P", "d", "one\n\ntwo", ["t1", "t2"]) for i in range(3)]
+                  + [("p_for_t1_s1", 9, "x", "d", "b", ["t1"])], cols)
+    kids = split(skills, propose_children(skills.filter("ord < 3")), 1)["children"].orderBy("ord").collect()
+    assert [k.parent for k in kids] == ["s0", "s0", "s1", "s1", "s2", "s2"]
+    assert [k.id for k in kids] == ["p_for_t1", "p_for_t2", "p_for_t1_s1-2", "p_for_t2_s1", "p_for_t1_s2", "p_for_t2_s2"]

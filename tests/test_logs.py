@@ -203,3 +203,11 @@ def test_entropy_of_one_type_is_zero(make):
     got = dict(rows(m.type_entropy(inv)))
     assert abs(got["a"]) < 1e-12 and abs(got["b"] - 0.693147) < 1e-6
     assert F is not None
+
+
+def test_traces_of_white_space_only_are_not_seen(make):
+    from pyspark.sql import functions as F
+    from ropewalk.functions.text import strip
+
+    df = make([("\n\t",), ("  x y\r\n",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == ["", "x y", "", None]

@@ -180,3 +180,54 @@ def test_routing_with_vectors(make):
     t = tasks(make, ("t", "blue sea", "x"))
     got = plan.route(t, sk, edges(make, []), edges(make, []), top=1, retriever="embed")
     assert rows(got.nodes, "id") == [("b",)]
+
+
+def pool_of(make, texts):
+    return make([(i, i, t) for i, t in enumerate(texts)], "id long, ord long, text string")
+
+
+def test_zero_only_for_records_that_match_nothing(make):
+    """Negative weights: a record with a negative score must not come back with a made-up zero."""
+    from ropewalk.operators.retrieval import bm25_index, bm25_search
+
+    texts = ["alpha beta"] * 3 + ["beta alpha"] * 2 + ["alpha"] + ["gamma"]
+    docs, tasks = pool_of(make, texts), make([(1, "alpha"), (2, "none"), (3, "gamma")], "task_id long, text string")
+    index = bm25_index(docs)
+    for frequent in (None, 1, 100):
+        got = {}
+        for r in bm25_search(tasks, index, 2, frequent=frequent).collect():
+            got.setdefault(r.task_id, []).append((r.score, -r.ord, r.id))
+        scores = {}
+        for r in bm25_scores_of(tasks, index):
+            scores.setdefault(r.task_id, {})[r.id] = r.score
+        for task in (1, 2, 3):
+            own = scores.get(task, {})
+            want = sorted(((own.get(i, 0.0), -i, i) for i in range(7)), reverse=True)[:2]
+            assert sorted(got[task], reverse=True) == want
+
+
+def bm25_scores_of(tasks, index):
+    from ropewalk.operators.retrieval import bm25_scores
+    return bm25_scores(tasks, index).collect()
+
+
+def test_first_unmatched_over_many_runs(make, monkeypatch):
+    from ropewalk.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "RUN", 3)
+    docs = pool_of(make, ["x"] * 20).selectExpr("id", "ord * 1000003 % 7919 AS ord")
+    order = sorted((r.ord, r.id) for r in docs.collect())
+    used = {1: set(range(20)), 2: {i for _, i in order[:9]}, 3: set(), 4: {i for _, i in order[::2]}}
+    matched = make([(t, i) for t, ids in used.items() for i in ids], "task_id long, id long")
+    got = {}
+    for r in retrieval.first_unmatched(make([(t,) for t in used], "task_id long"), matched, docs, 4).collect():
+        got.setdefault(r.task_id, set()).add(r.id)
+    assert got == {t: set([i for _, i in order if i not in ids][:4]) for t, ids in used.items() if len(ids) < 20}
+
+
+def test_null_description_can_be_found(make):
+    from ropewalk.functions.text import bm25_text, vector_text
+
+    df = make([("n", None, "red fox")], "name string, description string, body string")
+    assert df.select(bm25_text("name", "description", "body"), vector_text("name", "description", "body")).first()[:] == (
+        "n  red fox", "n.  red fox")
