@@ -192,12 +192,6 @@ class Encoder:
         return out
 
 
-def decode_flat(vocab_bytes: np.ndarray, vocab_at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a run of ids and the end of each id in them."""
-    sizes = np.diff(vocab_at)[ids]
-    return gather(vocab_bytes, vocab_at[ids], sizes), np.cumsum(sizes)
-
-
 def _set_column(batch: pa.RecordBatch, name: str, values: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
     cols = {f: batch.column(f) for f in batch.schema.names if f != name} | {name: values}
     return pa.RecordBatch.from_arrays([cols[f] for f in schema.names], names=schema.names)
@@ -222,6 +216,21 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     return df.mapInArrow(run, schema)
 
 
+class Decoder:
+    """Bytes of token ids, gathered from one flat table."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.at = np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum([len(p) for p in pieces], out=self.at[1:])
+        self.table = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        sizes = np.diff(self.at)[ids]
+        raw = gather(self.table, self.at[ids], sizes).tobytes()
+        cut = np.concatenate([[0], np.cumsum(sizes)])[offsets]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
+
+
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """Add ``text``, the decoding of ``ids`` with special tokens kept."""
     shipped = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path).pieces)
@@ -229,19 +238,13 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shipped.value
-        at = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum([len(p) for p in pieces], out=at[1:])
-        table = np.frombuffer(b"".join(pieces), np.uint8)
+        decoder = Decoder(shipped.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 col = part.column(ids)
                 sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(col).to_pylist()])
-                values, ends = decode_flat(table, at, col.flatten().to_numpy(zero_copy_only=False))
-                cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-                raw = values.tobytes()
-                out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
+                out = decoder.decode(col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
                 yield _set_column(part, text, pa.array(out, pa.string()), _names(names))
 
     return df.mapInArrow(run, schema)
@@ -251,10 +254,31 @@ def _names(names: list[str]) -> pa.Schema:
     return pa.schema([(n, pa.null()) for n in names])
 
 
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+               path: str | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows; ``text`` itself is dropped."""
+    shipped = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (text, ids, decoded)]
+                          + [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shipped.value), Decoder(shipped.value.pieces)
+        for batch in batches:
+            for lo, hi, _, _ in flat.text_chunks(batch.column(text), 2 << 20):
+                part = batch.slice(lo, hi - lo)
+                got, cut = encoder.encode([t or "" for t in part.column(text).to_pylist()])
+                cols = {f: part.column(f) for f in part.schema.names}
+                cols[ids] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(got, pa.int32()))
+                cols[decoded] = pa.array(decoder.decode(got, cut), pa.string())
+                yield pa.RecordBatch.from_arrays([cols[f] for f in names], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token count and SHA-256 of the ids and of the decoded text of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path=path).drop("text"), path=path)
-    return coded.select(
+    return round_trip(docs.select("doc_id", "text"), path=path).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

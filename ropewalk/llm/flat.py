@@ -28,14 +28,19 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n (BASE is odd, so it has an inverse)."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        with np.errstate(over="ignore"):
-            up = np.full(size, BASE)
-            down = np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)))
-            up[0] = down[0] = 1
-            _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0][:n], _powers[1][:n]
+    usual = CHUNK + (CHUNK >> 2)
+    if _powers and n <= usual:
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, usual)
+    with np.errstate(over="ignore"):
+        up = np.full(size, BASE)
+        down = np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
+    if size == usual:  # tables for one long text are not kept
+        _powers[:] = [up, down]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
