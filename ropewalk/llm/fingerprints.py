@@ -156,7 +156,7 @@ def bands(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(tok, s1, s2): hashes of the signature bands of every document with words, and the name of its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, hashes, at in jaccard.sets(batch.column("text"), k):
+            for lo, hi, hashes, at, _ in jaccard.sets(batch.column("text"), k):
                 full = np.flatnonzero(np.diff(at))
                 sig = signatures(batch.column("text").slice(lo, hi - lo), BANDS * ROWS, k)[full].astype(np.uint64)
                 s1, s2 = jaccard.digest(hashes, at)
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     _, each, kinds = jaccard.classes(docs, k)
     rows = jaccard.shared(bands(docs, k), "s1").select("tok", "s1", "s2").distinct()
     index = durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select(
-        "tok", "uid", "n", F.lit(1).alias("l")))
+        "tok", "uid", "n", F.lit(1).alias("l"), F.lit(0).alias("pos")))
     return jaccard.named(each, kinds, jaccard.connect(index, docs, kinds, k, percent, prefix=False))
 
 

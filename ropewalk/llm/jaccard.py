@@ -1,7 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles. Two documents link when intersection / union is at least
-``percent`` / 100. Shingles are ordered from rare to frequent by a count sketch over all documents, so
+``percent`` / 100. Shingles are ordered from rare to frequent, by count sketches of words and of shingles over all
+documents: a shingle is as frequent as its words make it by chance, or as its own count says if that stands out. So
 a set of n shingles that links must share l of its first n - ceil(percent * n / 100) + l shingles with
 its partner, for every l. Each document picks its own l: a longer prefix costs index entries, but demands more
 shared entries before the sets are compared; the choice weighs the candidates the sketch foresees. A pair is
@@ -32,25 +33,43 @@ from ropewalk.session import durable
 
 from . import flat, graph
 
-SLOTS = 1 << 20      # counters of the sketch: 4 MB whatever the input
-PIECE = 1 << 14      # counters per row on their way
+SLOTS = 1 << 22      # counters of the shingle sketch: 16 MB whatever the input
+WORDS = 1 << 18      # counters of the word sketch: 1 MB
+PIECE = 1 << 16      # counters per row on their way
 LONGEST = 4          # largest l
 PARITIES = 8         # 64-bit words of the parity bitmap
 SHIPPED = 200_000    # ids that may be broadcast to pick texts; beyond, a shuffle join
 OPEN, PROBE, VERIFY = 1.0, 0.5, 0.02  # cost of an index entry, of a proposed pair, of a compared shingle
 
 
-def sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows with their distinct shingles, text by text in hash order: (from, to, hashes, offsets)."""
+def sets(texts: pa.Array, k: int, word_logs: np.ndarray | None = None
+         ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with their distinct shingles, text by text in hash order: (from, to, hashes, offsets, extra). ``extra``
+    is the sum of each shingle's word logarithms, or without ``word_logs`` the hashes of all words."""
     for lo, hi, data, offsets in flat.text_chunks(texts):
-        hashes, at = flat.shingles(flat.words(data, offsets, lower=True), k)
+        w = flat.words(data, offsets, lower=True)
+        hashes, at = flat.shingles(w, k)
         doc = np.repeat(np.arange(hi - lo), np.diff(at))
         order = np.lexsort((hashes, doc))
+        extra = w.hashes if word_logs is None else _log_sums(w, at, k, word_logs)[order]
         hashes, doc = hashes[order], doc[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
         hashes, doc = hashes[new], doc[new]
-        yield lo, hi, hashes, np.searchsorted(doc, np.arange(hi - lo + 1))
+        yield (lo, hi, hashes, np.searchsorted(doc, np.arange(hi - lo + 1)),
+               extra if word_logs is None else extra[new])
+
+
+def _log_sums(w: flat.Words, at: np.ndarray, k: int, word_logs: np.ndarray) -> np.ndarray:
+    """Sum of the words' logarithms per shingle, added in word order, so that equal shingles have equal sums."""
+    logs = np.concatenate([word_logs[(w.hashes & np.uint64(WORDS - 1)).astype(np.int64)], np.zeros(k)])
+    counts = np.diff(at)
+    first = np.repeat(w.offsets[:-1] - at[:-1], counts) + np.arange(int(at[-1]))
+    end = np.repeat(w.offsets[1:], counts)
+    out = np.zeros(len(first))
+    for j in range(k):
+        out += np.where(first + j < end, logs[np.minimum(first + j, len(logs) - 1)], 0.0)
+    return out
 
 
 def digest(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +100,11 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "s1", "s2", "bits", "slot", "raw"]
         kind = pa.list_(pa.int64())
-        counts, some = np.zeros(SLOTS, np.int64), False
+        counts, uses, some = np.zeros(SLOTS, np.int32), np.zeros(WORDS, np.int32), False
         for batch in batches:
-            for lo, hi, hashes, at in sets(batch.column("text"), k):
-                counts += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            for lo, hi, hashes, at, words in sets(batch.column("text"), k):
+                np.add.at(uses, (words & np.uint64(WORDS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 some, m = True, hi - lo
                 s1, s2 = digest(hashes, at)
                 yield pa.RecordBatch.from_arrays([
@@ -92,7 +112,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * PARITIES, pa.int32()), pa.array(parities(hashes, at).ravel())),
                     pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if some:
-            raw, m = np.minimum(counts, 0x7FFFFFFF).astype("<i4"), SLOTS // PIECE
+            raw, m = np.concatenate([counts, uses]), (SLOTS + WORDS) // PIECE
             yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, kind), pa.array(range(m), pa.int32()), pa.array(
                 [raw[i * PIECE:(i + 1) * PIECE].tobytes() for i in range(m)], pa.binary())], names)
 
@@ -100,23 +120,23 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
         run, "doc_id long, n long, s1 long, s2 long, bits array<long>, slot int, raw binary")
 
 
-def sketch_of(surveyed: DataFrame) -> np.ndarray:
-    """The summed sketch; each piece is added up in its own task and comes to the driver once."""
+def sketch_of(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The summed sketches of shingles and words; each piece is added up in its own task and comes to the driver once."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, raw in zip(batch.column("slot").to_pylist(), batch.column("raw").to_pylist()):
-                part = np.frombuffer(raw, "<i4").astype(np.int64)
+                part = np.frombuffer(raw, np.int32).astype(np.int64)
                 total[slot] = total[slot] + part if slot in total else part
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
                 [v.tobytes() for v in total.values()], pa.binary())], ["slot", "raw"])
 
-    out = np.zeros(SLOTS, np.int64)
+    out = np.zeros(SLOTS + WORDS, np.int64)
     parts = surveyed.filter(F.col("slot").isNotNull()).select("slot", "raw")
-    for r in parts.repartition("slot").mapInArrow(add, "slot int, raw binary").collect():  # SLOTS counters in all
+    for r in parts.repartition("slot").mapInArrow(add, "slot int, raw binary").collect():  # SLOTS + WORDS counters in all
         out[r.slot * PIECE:(r.slot + 1) * PIECE] = np.frombuffer(r.raw, np.int64)
-    return out
+    return out[:SLOTS], out[SLOTS:]
 
 
 def choose(n: np.ndarray, freq: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -133,30 +153,38 @@ def choose(n: np.ndarray, freq: np.ndarray, at: np.ndarray, percent: int) -> np.
     return pick
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(tok, s1, s2l): the prefix shingles of every document; l, the number it asks to share, is added to s2."""
-    shipped = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int32))
-    noise = float(sketch.sum()) / SLOTS
+def expected(count: np.ndarray, logs: np.ndarray, mean: float, words: float, k: int) -> np.ndarray:
+    """Documents a shingle is foreseen in: by the chance of its words, or by its count where that stands out."""
+    chance = np.exp(np.minimum(logs - (k - 1) * np.log(max(words, 1.0)), 40.0))
+    return np.maximum(chance, count - mean - 4 * np.sqrt(mean) - 1)
+
+
+def prefixes(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+    """(tok, s1, s2l, pos): the prefix shingles of every document with their place in its order; l, the number it
+    asks to share, is added to s2."""
+    mean, words = float(sketch[0].sum()) / SLOTS, float(sketch[1].sum())
+    shipped = docs.sparkSession.sparkContext.broadcast((sketch[0].astype(np.int32), np.log(sketch[1] + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shipped.value
+        counts, word_logs = shipped.value
         for batch in batches:
-            for _, _, hashes, at in sets(batch.column("text"), k):
+            for _, _, hashes, at, logs in sets(batch.column("text"), k, word_logs):
                 s1, s2 = digest(hashes, at)
                 n = np.diff(at)
                 doc = np.repeat(np.arange(len(n)), n)
-                count = counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
-                order = np.lexsort((hashes, count, doc))
-                hashes, count = hashes[order], count[order]
-                pick = choose(n, np.maximum(count - 2 * noise - 1, 0.0), at, percent)
+                foreseen = expected(counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)], logs, mean, words, k)
+                level = np.floor(2 * np.log2(np.maximum(foreseen, 2.0 ** -40))).astype(np.int64)
+                order = np.lexsort((hashes, level, doc))
+                hashes, foreseen = hashes[order], foreseen[order]
+                pick = choose(n, foreseen, at, percent)
                 size = np.minimum(n - least(n, percent) + pick, n) * (n > 0)
                 row = np.repeat(np.arange(len(n)), size)
                 where = np.repeat(at[:-1], size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes[where].view(np.int64)), pa.array(s1[row]), pa.array((s2 + pick)[row])],
-                    ["tok", "s1", "s2l"])
+                    pa.array(hashes[where].view(np.int64)), pa.array(s1[row]), pa.array((s2 + pick)[row]),
+                    pa.array((where - at[row]).astype(np.int32))], ["tok", "s1", "s2l", "pos"])
 
-    return docs.select("text").mapInArrow(run, "tok long, s1 long, s2l long")
+    return docs.select("text").mapInArrow(run, "tok long, s1 long, s2l long, pos int")
 
 
 def shared(rows: DataFrame, by: str) -> DataFrame:
@@ -170,9 +198,13 @@ def overlap(percent: int) -> Column:
     return F.ceil(F.lit(percent) * (F.col("n") + F.col("_n")) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def near_sizes(percent: int) -> Column:
+    return F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n")
+
+
 def can_link(percent: int) -> Column:
     """Sizes and parity bitmaps of (n, bits) and (_n, _bits) allow the threshold."""
-    sizes = F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n")
+    sizes = near_sizes(percent)
     apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(PARITIES)), F.lit(0))
     return sizes & (apart <= F.col("n") + F.col("_n") - F.lit(2) * overlap(percent))
 
@@ -203,11 +235,11 @@ def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def index_of(docs: DataFrame, surveyed: DataFrame, kinds: DataFrame, k: int, percent: int) -> DataFrame:
-    """(tok, uid, n, l) for the prefix shingles that several classes have."""
-    rows = shared(prefixes(docs, sketch_of(surveyed), k, percent), "s1").select("tok", "s1", "s2l").distinct()
-    rows = rows.select("tok", "s1", F.col("s2l").bitwiseAND(F.lit(-8)).alias("s2"),
+    """(tok, uid, n, l, pos) for the prefix shingles that several classes have."""
+    rows = shared(prefixes(docs, sketch_of(surveyed), k, percent), "s1").select("tok", "s1", "s2l", "pos").distinct()
+    rows = rows.select("tok", "pos", "s1", F.col("s2l").bitwiseAND(F.lit(-8)).alias("s2"),
                        F.col("s2l").bitwiseAND(F.lit(7)).cast("int").alias("l"))
-    return durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("tok", "uid", "n", "l"))
+    return durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("tok", "uid", "n", "l", "pos"))
 
 
 def connect(index: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent: int, prefix: bool = True) -> DataFrame:
@@ -215,26 +247,42 @@ def connect(index: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent
     the toks are prefix shingles and a pair must share as many as its sizes demand."""
     mine = kinds.select("uid", "n", "bits")
     other = mine.select(*[F.col(c).alias(f"_{c}") for c in mine.columns])
-    hubs = shared(index, "uid").filter(F.col("hub") != F.col("uid")).select("uid", F.col("hub").alias("_uid")).distinct()
+    low = index.groupBy("tok").agg(F.min(F.struct("uid", "n")).alias("_h"), F.max("uid").alias("_hi"))
+    low = low.filter(F.col("_h.uid") < F.col("_hi")).select("tok", F.col("_h.uid").alias("_uid"), F.col("_h.n").alias("_n"))
+    hubs = index.join(low, "tok").filter((F.col("uid") != F.col("_uid")) & near_sizes(percent)).select("uid", "_uid").distinct()
     tried = durable(hubs.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select(
         F.col("_uid").alias("a"), F.col("uid").alias("b")))
     found = verified(tried, docs, kinds, k, percent)
 
     part = graph.components(found).withColumnRenamed("node", "uid")
     rest = index.join(part, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    rest = durable(shared(rest, "root").select("tok", "uid", "n", "l", "root").join(kinds.select("uid", "bits"), "uid"))
-    left = rest.select("tok", *[F.col(c).alias(f"_{c}") for c in ("uid", "n", "l", "root", "bits")])
-    more = rest.join(left, (rest["tok"] == left["tok"]) & (F.col("uid") < F.col("_uid"))
-                     & (F.col("root") != F.col("_root")) & can_link(percent))
-    # shared prefix shingles the sizes demand of this pair
-    asked = F.greatest(F.lit(1), F.least(overlap(percent) - F.col("n") + prefix_size("n", "l", percent),
-                                         overlap(percent) - F.col("_n") + prefix_size("_n", "_l", percent)))
-    more = more.select(F.col("uid").alias("a"), F.col("_uid").alias("b"), (asked if prefix else F.lit(1)).alias("asked"))
-    more = more.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("asked").alias("asked")).filter("m >= asked")
-    more = durable(more.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    rest = shared(rest, "root").select("tok", "uid", "n", "l", "pos", "root")
+    if prefix:
+        rest = rest.join(rest.groupBy("uid").agg(F.count("*").alias("c")), "uid")
+    rest = durable(rest)
+    left = rest.select("tok", *[F.col(c).alias(f"_{c}") for c in rest.columns if c != "tok"])
+    fits = (rest["tok"] == left["tok"]) & (F.col("uid") < F.col("_uid")) & (F.col("root") != F.col("_root")) & near_sizes(percent)
+    if prefix:
+        # the first shingle two sets share stands early in both, and each has as many as the pair must share
+        fits = fits & (F.col("pos") <= F.col("n") - overlap(percent)) & (F.col("_pos") <= F.col("_n") - overlap(percent)) & (
+            demand(percent) <= F.least("c", "_c"))
+    pairs = rest.join(left, fits).select("uid", "_uid").distinct()
+    more = pairs.join(tried.select(F.col("a").alias("uid"), F.col("b").alias("_uid")), ["uid", "_uid"], "left_anti")
+    more = durable(more.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select("uid", "_uid"))
+    if prefix:
+        own = rest.select("uid", "tok", "n", "l")
+        both = more.join(own, "uid").join(left.select("_uid", "tok", "_n", "_l"), ["_uid", "tok"])
+        more = durable(both.groupBy("uid", "_uid").agg(F.count("*").alias("m"), F.first(demand(percent)).alias("d")).filter("m >= d"))
+    more = more.select(F.col("uid").alias("a"), F.col("_uid").alias("b"))
     return found.union(verified(more, docs, kinds, k, percent))
 
 
+def demand(percent: int) -> Column:
+    """Prefix shingles a pair (n, l), (_n, _l) shares at least when it links."""
+    return F.greatest(F.lit(1), F.least(overlap(percent) - F.col("n") + prefix_size("n", "l", percent),
+                                        overlap(percent) - F.col("_n") + prefix_size("_n", "_l", percent)))
+
+
 def full_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(uid, shingles) of the classes in ``pairs``, from the text of their smallest id."""
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
@@ -245,7 +293,7 @@ def full_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, hashes, at in sets(batch.column("text"), k):
+            for lo, hi, hashes, at, _ in sets(batch.column("text"), k):
                 s1, s2 = digest(hashes, at)
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([
@@ -303,7 +351,7 @@ def named_rows(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, hashes, at in sets(batch.column("text"), k):
+            for lo, hi, hashes, at, _ in sets(batch.column("text"), k):
                 s1, s2 = digest(hashes, at)
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(s1), pa.array(s2)],
