@@ -2,7 +2,7 @@
 
 A plain window over a hot key sorts all of that key's rows in one task, and ``over()`` without a
 key sorts the table in one task. Here the order column is a unique integer per key, so the rows
-fall into blocks of at most ``width`` consecutive values. Each block is one small window, the
+fall into blocks of at most ``width`` consecutive ranks. Each block is one small window, the
 per-block totals are scanned one level up, and the two are joined back together.
 """
 
@@ -16,15 +16,18 @@ WIDTH = 1 << 16
 
 
 def prefix(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[str, Column | str]],
-           width: int = WIDTH, levels: int = 2) -> DataFrame:
+           width: int = WIDTH, levels: int = 2, ranked: bool = False) -> DataFrame:
     """Add exclusive prefix aggregates: ``specs`` maps a new column to ``(sum|max|min, input)``.
 
     ``order`` must be an integer, unique within ``keys``. A sum before the first row is 0, a max
-    or min is null.
+    or min is null. Blocks are cut by the rank of (keys, order), so sparse orders (hashes, time stamps) fill them as
+    dense ones do; ``ranked`` says that ``order`` is dense already. The input is computed once, for the ranking.
     """
     made = {n: (F.col(c) if isinstance(c, str) else c) for n, (_, c) in specs.items()}
-    src = df.select("*", *[c.alias(f"_in_{n}") for n, c in made.items()],
-                    F.floor(F.col(order) / F.lit(width)).cast("long").alias("_blk"))
+    src = df.select("*", *[c.alias(f"_in_{n}") for n, c in made.items()])
+    if not ranked:
+        src = range_rank(src, [*[F.col(k) for k in keys], F.col(order)], "_at")
+    src = src.withColumn("_blk", F.floor(F.col(order if ranked else "_at") / F.lit(width)).cast("long"))
     fns = {"sum": F.sum, "max": F.max, "min": F.min}
     w = (Window.partitionBy(*keys, "_blk").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, -1))
@@ -35,7 +38,7 @@ def prefix(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[st
     if levels > 1:
         up = {f"_car_{n}": (k, f"_tot_{n}") for n, (k, _) in specs.items()}
         carried = prefix(totals.withColumnRenamed("_blk", "_up"), keys, "_up", up,
-                         width=1 << 12, levels=levels - 1).withColumnRenamed("_up", "_blk")
+                         width=1 << 12, levels=levels - 1, ranked=True).withColumnRenamed("_up", "_blk")
     else:
         wt = (Window.partitionBy(*keys).orderBy("_blk")
               .rowsBetween(Window.unboundedPreceding, -1))

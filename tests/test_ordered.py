@@ -66,3 +66,26 @@ def test_similar_does_not_depend_on_tiles(make):
     one = rows(similar(df, df, 4, 1.2, earlier_only=True))
     many = rows(similar(df, df, 4, 1.2, earlier_only=True, tile=7))
     assert one == many and one
+
+
+def test_sparse_orders_fill_blocks(spark):
+    from ropewalk.operators.ordered import prefix
+
+    df = spark.range(3000).selectExpr("id % 3 AS k", "xxhash64(id) AS o", "id % 7 AS v")
+    out = prefix(df, ["k"], "o", {"s": ("sum", "v"), "m": ("max", "v")}, width=100)
+    want, seen = [], {}
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.o)):
+        own = seen.setdefault(r.k, [])
+        want.append((r.k, r.o, r.v, sum(own), max(own, default=None)))
+        own.append(r.v)
+    assert sorted(tuple(r) for r in out.select("k", "o", "v", "s", "m").collect()) == sorted(want)
+
+
+def test_range_rank(spark):
+    from pyspark.sql import functions as F
+    from ropewalk.operators.ordered import range_rank
+
+    df = spark.range(500).selectExpr("xxhash64(id) % 1000003 AS o", "CASE WHEN id % 50 = 0 THEN NULL ELSE id END AS i")
+    got = range_rank(df, [F.col("o").desc(), F.col("i")], "at", parts=7).orderBy("at").collect()
+    assert [r["at"] for r in got] == list(range(500))
+    assert [r.o for r in got] == sorted((r.o for r in got), reverse=True)
