@@ -42,14 +42,14 @@ def j02(v):
 
 @check("j03_evidence_edges", """--- SELECT trace AS src, atom AS dst, 'evidence_for' AS type FROM v_trace_atoms""")
 def j03(v):
-    one = v.trace_atoms.select("trace", F.array("atom").alias("used_skills"))
+    one = v.trace_atoms.groupBy("trace").agg(F.collect_set("atom").alias("used_skills"))
     return e.evidence_edges(one, v.parts)[0]
 
 
 @check("j03_evidence_known", """--- SELECT atom AS id, trace FROM v_trace_atoms JOIN v_parts ON id = atom
     WHERE status = 'deployed'""")
 def j03_known(v):
-    one = v.trace_atoms.select("trace", F.array("atom").alias("used_skills"))
+    one = v.trace_atoms.groupBy("trace").agg(F.collect_set("atom").alias("used_skills"))
     return e.evidence_edges(one, v.parts.filter("status = 'deployed'"))[1]
 
 

@@ -20,12 +20,12 @@ def _graph(v):
         "task_types", none.alias("evidence_traces"),
         F.struct("success_count", "failure_count", "n_visit", "coverage", "token_cost",
                  "last_used_step").alias("heat"))
-    edges = v.dep.select(
-        (F.col("src") * 4 + (F.col("src") % 5 == 0).cast("int") * (F.col("dst") % 2)
-         ).alias("ord"), F.col("src").cast("string").alias("src"),
+    from ropewalk.operators.ordered import range_rank
+    edges = v.dep.select("src", "dst", "type").distinct()
+    edges = range_rank(edges, [F.col("src"), F.col("dst"), F.col("type")], "ord").select(
+        F.col("ord").cast("long").alias("ord"), F.col("src").cast("string").alias("src"),
         F.when(F.col("src") % 5 == 1, F.concat(F.lit("gone"), "dst")).otherwise(
             F.col("dst").cast("string")).alias("dst"), "type", F.lit(0.5).alias("weight"))
-    edges = edges.dropDuplicates(["ord"])
     rules = p.filter("id % 7 = 0").select(
         "ord", F.concat(F.lit("rule_"), "id").alias("id"),
         F.when(F.col("id") % 2 == 0, "checkpoint").otherwise("block_signal").alias("kind"),
@@ -49,12 +49,10 @@ def s01(v):
         "last_used_step", F.size("task_types").cast("long").alias("n_types"))
 
 
-@check("s01_read_graph_edges", """e AS (SELECT src, dst FROM v_dep WHERE src % 5 <> 1)
-    --- SELECT CAST(src AS VARCHAR) AS src, count(*) AS n FROM (SELECT src, max(dst) AS dst FROM e
-    WHERE src % 5 <> 0 GROUP BY 1, dst) GROUP BY 1""")
+@check("s01_read_graph_edges", """--- SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, type, 0.5::DOUBLE AS weight
+    FROM (SELECT DISTINCT src, dst, type FROM v_dep) WHERE src % 5 <> 1""")
 def s01_edges(v):
-    e = _read_back(v)["edges"].filter(F.col("src").cast("long") % 5 != 0)
-    return e.groupBy("src").agg(F.count("*").alias("n"))
+    return _read_back(v)["edges"].select("src", "dst", "type", F.col("weight").cast("double").alias("weight"))
 
 
 @check("s01_read_graph_targets", """--- SELECT 'rule_' || id AS src, CAST(id AS VARCHAR) AS dst, CASE WHEN id % 2 = 0 THEN
