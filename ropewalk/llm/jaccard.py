@@ -267,8 +267,9 @@ def connect(index: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent
         fits = fits & (F.col("pos") <= F.col("n") - overlap(percent)) & (F.col("_pos") <= F.col("_n") - overlap(percent)) & (
             demand(percent) <= F.least("c", "_c"))
     pairs = rest.join(left, fits).select("uid", "_uid").distinct()
-    more = pairs.join(tried.select(F.col("a").alias("uid"), F.col("b").alias("_uid")), ["uid", "_uid"], "left_anti")
-    more = durable(more.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select("uid", "_uid"))
+    # stored before the pairs already tried leave, so that these are looked up once per pair, not per shared shingle
+    more = durable(pairs.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select("uid", "_uid"))
+    more = more.join(tried.select(F.col("a").alias("uid"), F.col("b").alias("_uid")), ["uid", "_uid"], "left_anti")
     if prefix:
         own = rest.select("uid", "tok", "n", "l")
         both = more.join(own, "uid").join(left.select("_uid", "tok", "_n", "_l"), ["_uid", "tok"])
