@@ -33,9 +33,9 @@ from ropewalk.session import durable
 
 from . import flat, graph
 
-SLOTS = 1 << 22      # counters of the shingle sketch: 16 MB whatever the input
+SLOTS = 1 << 20      # counters of the shingle sketch: 4 MB whatever the input
 WORDS = 1 << 18      # counters of the word sketch: 1 MB
-PIECE = 1 << 16      # counters per row on their way
+PIECE = 1 << 14      # counters per row on their way
 LONGEST = 4          # largest l
 PARITIES = 8         # 64-bit words of the parity bitmap
 SHIPPED = 200_000    # ids that may be broadcast to pick texts; beyond, a shuffle join
