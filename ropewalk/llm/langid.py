@@ -5,8 +5,10 @@ mark. An n-gram is four 16-bit units in one integer; its hash stands in a sorted
 discounted probabilities and one of back-off weights per language, so one binary search serves all
 languages. A text goes to the language of the lowest cross-entropy per character.
 
-Training counts every n-gram of every labelled training text in Spark; what is shipped is bounded by
-``MAX_GRAMS`` n-grams per language (the most frequent; ties by n-gram) and ``MAX_LANGS`` languages.
+Training counts every n-gram of every labelled training text in Spark, and no language and no n-gram is left out.
+Up to ``MAX_ROWS`` counts (and ``MAX_CELLS`` counts times languages) the whole model is shipped. Over that all totals,
+discounts, chances and back-off weights are tables; the finished probabilities of the most frequent n-grams
+are shipped, and texts look up all others by a join.
 
 Rejection is calibrated on the training texts: per language the mean and deviation of the cross-entropy of
 those it gets right; a text ``REJECT`` deviations above the mean is marked ``rejected`` and its score falls.
@@ -33,8 +35,9 @@ from . import flat
 ORDER = 4
 UNIT = np.uint64(16)
 MARK = 2  # boundary unit
-MAX_GRAMS = 300_000
-MAX_LANGS = 200
+MAX_ROWS = 2_000_000
+MAX_CELLS = 1 << 25
+AT_ONCE = 1 << 22  # n-grams times languages in one product
 REJECT = 6.0
 SHARP = 12.0
 
@@ -156,26 +159,76 @@ def fit(rows: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS) -> Model | None:
+class Tables:
+    """The model as tables, for counts of any size. ``keys`` and ``logs`` are the shipped n-grams."""
+
+    def __init__(self, counts: DataFrame, langs: list[str]):
+        self.langs, spark = langs, counts.sparkSession
+        names = spark.createDataFrame(list(enumerate(langs)), "j int, lang string")
+        grams = counts.join(names, "lang").select("j", "gram", "n")
+        self.orders = []
+        for k in range(ORDER, 0, -1):
+            if k < ORDER:  # the order below counts the different units before
+                grams = durable(grams.groupBy("j", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")).agg(
+                    F.count("*").alias("n")))
+            ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+            stats = durable(grams.groupBy("j").agg(
+                F.least(F.greatest(F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5), F.lit(0.1)), F.lit(0.9)).alias("d"),
+                F.count("*").alias("kinds")))
+            rows = grams.withColumn("ctx", F.shiftrightunsigned("gram", 16))
+            ctx = durable(rows.groupBy("j", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(
+                stats.select("j", "d"), "j").select("j", "ctx", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("back")))
+            chance = durable(rows.join(ctx, ["j", "ctx"]).select(
+                "j", F.col("gram").alias("own"), (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("chance")))
+            self.orders.insert(0, (chance, ctx.select("j", "ctx", "back")))
+        self.base = stats.select("j", (1.0 / (F.col("kinds") + 1)).alias("p"))
+        top = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(
+            max(1, min(MAX_ROWS, MAX_CELLS // len(langs))))
+        shipped = self.finished(top.select("gram")).toPandas()  # at most MAX_CELLS values
+        keys = shipped["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.logs = np.array(shipped["logs"].tolist(), np.float32)[order]
+
+    def finished(self, grams: DataFrame) -> DataFrame:
+        """(gram, logs): natural log probability in every language, for distinct grams."""
+        rows = grams.crossJoin(self.base)
+        for k, (chance, back) in enumerate(self.orders, 1):
+            own = F.col("gram") if k == ORDER else F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1))
+            rows = rows.withColumn("own", own).withColumn("ctx", F.shiftrightunsigned("own", 16)).join(
+                back, ["j", "ctx"], "left").join(chance, ["j", "own"], "left").select(
+                "gram", "j", (F.col("p") * F.coalesce("back", F.lit(1.0)) + F.coalesce("chance", F.lit(0.0))).alias("p"))
+        return rows.groupBy("gram").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.log("p").alias("log")))),
+                                                    lambda e: e["log"]).alias("logs"))
+
+
+def train(docs: DataFrame) -> Model | Tables | None:
     counts = durable(count_grams(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())))
-    langs = [r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    rows = {}
-    for lang in langs:  # each at most max_grams rows
-        pdf = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).toPandas()
-        rows[lang] = (pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy())
-    return fit(rows) if rows else None
+    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    size = sum(sizes.values())
+    if not size:
+        return None
+    if size > MAX_ROWS or size * len(sizes) > MAX_CELLS:
+        return Tables(counts, sorted(sizes))
+    pdf = counts.toPandas()
+    return fit({lang: (part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy())
+                for lang, part in pdf.sort_values("gram").groupby("lang")})
 
 
 def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per character (nats) of each text in each language, and its characters."""
     n = len(texts)
     out, chars = np.zeros((n, len(model.langs))), np.zeros(n, np.int64)
+    step = max(1, AT_ONCE // len(model.langs))
     for lo, hi, w, first, kind in distinct_words(texts):
         if not len(first):
             continue
         keys, cut = keys_of(flat.word_texts(w, first))
-        sums = np.add.reduceat(model.log_probs(keys), cut[:-1], axis=0, dtype=np.float64)
+        sums = np.zeros((len(first), len(model.langs)))
+        for at in range(0, len(keys), step):
+            end = min(at + step, len(keys))
+            a, b = np.searchsorted(cut, at, "right") - 1, np.searchsorted(cut, end, "left")
+            sums[a:b] += np.add.reduceat(model.log_probs(keys[at:end]), np.maximum(cut[a:b] - at, 0), axis=0, dtype=np.float64)
         full = np.flatnonzero(np.diff(w.offsets))
         at = w.offsets[:-1][full]
         out[lo + full] = np.add.reduceat(sums[kind], at, axis=0)
@@ -183,22 +236,66 @@ def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return -out / np.maximum(chars, 1)[:, None], chars
 
 
+def looked_up(rows: DataFrame, key: str, tables: Tables) -> DataFrame:
+    """(key, sums, chars): log likelihoods in every language, from shipped n-grams and by a join."""
+    shipped = rows.sparkSession.sparkContext.broadcast((tables.keys, tables.logs))
+    kind, size = rows.schema[key].dataType.simpleString(), len(tables.langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, logs = shipped.value
+        for batch in batches:
+            for lo, hi, w, first, of in distinct_words(batch.column("text")):
+                keys, cut = keys_of(flat.word_texts(w, first))
+                spread, held = np.diff(cut), []
+                for i in range(hi - lo):
+                    words, uses = np.unique(of[w.offsets[i]:w.offsets[i + 1]], return_counts=True)
+                    own = np.concatenate([np.arange(cut[x], cut[x + 1]) for x in words]) if len(words) else np.zeros(0, np.int64)
+                    grams, at = np.unique(keys[own], return_inverse=True)
+                    n = np.bincount(at, np.repeat(uses, spread[words]), len(grams)).astype(np.int64)
+                    place = np.minimum(np.searchsorted(top, grams), len(top) - 1)
+                    hit, sums = top[place] == grams, np.zeros(size)
+                    step = max(1, AT_ONCE // size)
+                    for j in range(0, len(grams), step):
+                        h = hit[j:j + step]
+                        sums += n[j:j + step][h] @ logs[place[j:j + step][h]].astype(np.float64)
+                    held.append((sums, int(n.sum()), grams[~hit].view(np.int64), n[~hit]))
+                kinds = pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).slice(lo, hi - lo), *(pa.array(x, t) for x, t in zip(zip(*held), kinds))],
+                    [key, "sums", "chars", "grams", "ns"])
+
+    got = durable(rows.mapInArrow(run, f"{key} {kind}, sums array<double>, chars long, grams array<long>, ns array<long>")
+                  .withColumn("_uid", F.monotonically_increasing_id()))
+    rest = got.select("_uid", F.explode(F.arrays_zip("grams", "ns")).alias("g")).select("_uid", "g.grams", "g.ns")
+    found = durable(tables.finished(rest.select(F.col("grams").alias("gram")).distinct()))
+    more = rest.join(found, rest["grams"] == found["gram"]).select("_uid", "ns", F.posexplode("logs").alias("j", "log")).groupBy(
+        "_uid", "j").agg(F.sum(F.col("ns") * F.col("log")).alias("s")).groupBy("_uid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("more"))
+    return got.select("_uid", key, "sums", "chars").join(more, "_uid", "left").select(
+        key, F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b)).alias("sums"), "chars")
+
+
 def training_fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 3
 
 
-def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
+def predict(docs: DataFrame, model: Model | Tables | None, key: str = "doc_id") -> DataFrame:
     """``key``, best language, its cross-entropy and the share of its likelihood among all languages."""
     if model is None:
         return docs.select(key, F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("entropy"),
                            F.lit(0.0).alias("share"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    joined = isinstance(model, Tables)
+    shipped = docs.sparkSession.sparkContext.broadcast(model.langs if joined else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        names = np.array(m.langs, object)
+        names = np.array(m if joined else m.langs, object)
         for batch in batches:
-            h, chars = entropies(m, batch.column("text"))
+            if joined:
+                chars = batch.column("chars").to_numpy()
+                h = -batch.column("sums").flatten().to_numpy().reshape(len(chars), len(names)) / np.maximum(chars, 1)[:, None]
+            else:
+                h, chars = entropies(m, batch.column("text"))
             best = h.argmin(axis=1)
             low = h[np.arange(len(h)), best]
             share = 1.0 / np.exp(-(h - low[:, None]) * SHARP).sum(axis=1)
@@ -209,7 +306,8 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
                 [key, "best", "entropy", "share"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text")).mapInArrow(
+    rows = docs.select(key, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
+    return (looked_up(rows, key, model) if joined else rows).mapInArrow(
         run, f"{key} {kind}, best string, entropy double, share double")
 
 
@@ -224,7 +322,7 @@ def identify(docs: DataFrame) -> DataFrame:
     z = (F.col("entropy") - F.col("_mean")) / F.greatest("_dev", F.lit(0.02))
     known = F.col("best").isNotNull()
     trust = F.coalesce(1.0 / (1.0 + F.exp(F.least(z - REJECT, F.lit(50.0)))), F.lit(1.0))
-    return got.join(F.broadcast(stats), "best", "left").select(  # one row per language, at most MAX_LANGS
+    return got.join(F.broadcast(stats), "best", "left").select(  # one row per language
         "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         F.when(known, F.col("best")).otherwise("und").alias("lang_pred"),
         F.when(known, F.col("share") * trust).otherwise(0.0).alias("score"),

@@ -59,3 +59,24 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sample):
     other = sample.selectExpr("doc_id", "text", f"CASE WHEN {fold} THEN 'zz' ELSE lang END AS lang", "source")
     key = lambda df: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(df).collect())
     assert key(sample) == key(other)
+
+
+def test_every_language_and_gram_counts(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2, raising=False)  # once the languages and n-grams that were kept
+    monkeypatch.setattr(langid.train, "__defaults__", (300, 2) if langid.train.__defaults__ else None)
+    text = lambda c: " ".join(f"{c}{x}{c * 2}{y}" for x in "aeiou" for y in "klmn")
+    docs = docs_of([(i, text("bdfg"[i % 4]), "bdfg"[i % 4], "s") for i in range(24)])
+    got = langid.identify(docs).collect()
+    assert all(r.lang_pred == "bdfg"[r.doc_id % 4] for r in got)
+
+
+@pytest.mark.parametrize("shipped", [1, 2_000])
+def test_model_in_tables_equals_shipped_model(docs_of, sample, monkeypatch, shipped):
+    docs = [docs_of(ODD), sample.select("doc_id", "text", "lang", "source")]
+    key = lambda r: (str(r.doc_id), str(r.held_out), r.lang_pred, str(r.rejected), r.score)
+    want = [sorted(map(key, langid.identify(d).collect())) for d in docs]
+    monkeypatch.setattr(langid, "MAX_ROWS", shipped)
+    for d, w in zip(docs, want):
+        got = sorted(map(key, langid.identify(d).collect()))
+        assert [g[:4] for g in got] == [x[:4] for x in w]
+        assert [g[4] for g in got] == pytest.approx([x[4] for x in w], abs=1e-3)
