@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import brute
@@ -192,6 +193,22 @@ def test_stream_lifecycle_counts_tasks_once(spark, make, tmp_path):
     assert dict(seen[-1][1])["idle"] == 0
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_stream_lifecycle_steps_once_per_tick(spark, make, tmp_path, files):
+    inv = make([(f"s{i % 5}", i % 3 == 0, i) for i in range(60)], "skill string, success boolean, step long")
+    inv.repartitionByRange(files, "step").sortWithinPartitions("step").write.parquet(str(tmp_path / "in"))
+    seen = []
+    s = spark.readStream.schema(inv.schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
+    q = (jobs.stream_lifecycle(s, lambda: make([("s0", "validated")], "id string, status string"), lambda d, n: seen.append(
+        (n, rows(d, "n_visit", "success_count", "last_used_step"))), str(tmp_path / "batches"), every=10)
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert [n for n, _ in seen] == [10, 20, 30, 40, 50, 60]
+    for n, got in seen:
+        mine = [i for i in range(n) if i % 5 == 0]
+        assert got == [(len(mine), sum(i % 3 == 0 for i in mine), mine[-1])]
+
+
 def test_sample_is_stable(make):
     df = make([(f"i{i}",) for i in range(50)], "id string")
     a, b = (ev.sample_instances(df.repartition(n), 7, 10) for n in (1, 6))
