@@ -22,6 +22,7 @@ h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 WALLS = frozenset("html table td th caption marquee object template".split())  # end tags do not reach beyond
+TABLE = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 #: start tag: (open elements it ends, elements it does not look beyond)
 ENDS = {
     "li": (frozenset(["li"]), frozenset("ul ol menu table td th".split())),
@@ -177,8 +178,11 @@ class _Reader:
         if tag == "br":
             self.pieces.append(" ")
             return
-        at = self.find(HEADINGS if tag in HEADINGS else frozenset([tag]), WALLS - {tag})
+        walls = frozenset(["html", "table"]) if tag in TABLE else WALLS
+        at = self.find(HEADINGS if tag in HEADINGS else frozenset([tag]), walls - {tag})
         if at < 0:
+            if tag == "p":  # stands for an empty paragraph
+                self.flush()
             return
         if tag in INLINE:  # blocks opened inside stay open
             self.close(*self.open.pop(at))

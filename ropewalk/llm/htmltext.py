@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import boosting, layouts
 from .dom import Page, parse
 
-PAGES = 400      # generated pages of the fit
+PAGES = 500      # generated pages of the fit
 KEEP, DROP, SOME = 0, 1, 2
 BATCH = 1 << 22  # characters of pages judged together
 MARKS = ".,;:!?"

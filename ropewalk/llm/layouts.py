@@ -68,6 +68,9 @@ class Layout:
             name = f"{self.r.choice(NAMES['plain'])}-{name}" if self.chance(0.5) else f"{name}{self.r.randint(1, 9)}"
         return f' {self.r.choice(["class", "class", "id"])}="{name}"'
 
+    def telling(self, kind: str) -> str:
+        return f' class="{self.r.choice(NAMES[kind])}"'
+
     def part(self, kind: str, inner: str, tags: str, own: str) -> str:
         """An element for a part: its own tag if the page is semantic, else a neutral one."""
         if self.chance(self.semantic):
@@ -109,7 +112,7 @@ class Layout:
         inner = self.r.choice([self.sentences(1, 2), self.sentences(1, 4), self.link(5), f"<p>{self.sentences(1, 2)}</p>",
                                f"<img src='a.png'>{self.words(3)}"])
         tag = self.r.choice(["div", "div", "div", "aside", "section", "p"])
-        return self.r.choice(["", "<!-- ad -->"]) + f"<{tag}{self.attributes('ad')}>{inner}</{tag}>"
+        return self.r.choice(["", "<!-- ad -->"]) + f"<{tag}{self.telling('ad') if tag == 'p' else self.attributes('ad')}>{inner}</{tag}>"
 
     def form(self) -> str:
         fields = "".join(f"<label>{self.words(2)}</label><input name='{self.word()}'>" for _ in range(self.r.randint(1, 4)))
@@ -139,7 +142,7 @@ class Layout:
 
     def more(self) -> str:
         inner = self.r.choice([f"<h4>{self.words(2)}</h4>", ""]) + self.link_list(6)
-        return self.part("more", inner, "div div section p", self.r.choice(["aside", "div"]))
+        return self.part("more", inner, "div div section", self.r.choice(["aside", "div"]))
 
     def inline(self, text: str) -> str:
         """Links and emphasis in article text; every run keeps its mark at the front."""
@@ -168,9 +171,11 @@ class Layout:
                 lambda: f"<pre>{MARK}{self.sentences(1, 3)}</pre>",
                 lambda: "<table>" + "".join(f"<tr><td>{MARK}{self.word()}</td><td>{MARK}{self.r.randint(1, 999)}</td></tr>" for _ in range(3)) + "</table>"]
         body = [paragraph() if i == 0 or self.chance(0.85) else self.r.choice(rare)() for i in range(size)]
+        kept, self.named = self.named, max(self.named, 0.9)  # inside an article nothing but a name tells such parts
         for extra, p in ((self.ad, 0.15), (self.more, 0.08), (lambda: "<script>var a = '<p>';</script>", 0.1)):
             if self.chance(p):
                 body.insert(self.r.randint(1, len(body)), extra())
+        self.named = kept
         title = f"<h1>{MARK}{self.words(self.r.randint(1, 9)).capitalize()}{self.r.choice(['', '.'])}</h1>" if self.chance(0.85) else ""
         if title and self.chance(0.12):
             title = f"<header>{title}<p>{MARK}{self.words(3)} {self.r.randint(1, 28)}</p></header>"
