@@ -6,7 +6,7 @@ from ropewalk.operators import routing as r
 from ropewalk.plans import route as plan
 
 from .registry import check
-from .retrieval import pool
+from .retrieval import pool, stored_index
 
 
 @check("p02_active_deployed", """--- SELECT id, status = 'deployed' AS deployed FROM v_skills
@@ -132,7 +132,7 @@ _BOOST = """b AS (SELECT s.task_id, s.id, s.ord, round(s.score + CASE WHEN conta
 @check("j12_type_boost", _BOOST + "--- SELECT * FROM ranked WHERE rank <= 5")
 def j12_boost(v):
     p = pool(v)
-    return r.lexical_seeds(v.tasks, p, plan.pool_index(p), 5, type_boost=1.0).select(
+    return r.lexical_seeds(v.tasks, p, stored_index(v), 5, type_boost=1.0).select(
         "task_id", "id", "score", "rank")
 
 
@@ -166,7 +166,7 @@ def doc_graph(v):
 
 def doc_routes(v, **kw):
     dep, block = doc_graph(v)
-    return plan.route(v.tasks, v.skills, dep, block, **kw)
+    return plan.route(v.tasks, v.skills, dep, block, index=stored_index(v), **kw)
 
 
 @check("g08_route_text", _DOC)
@@ -202,7 +202,7 @@ def g08_hop2(v):
     AND s.status IN ('deployed', 'validated')""")
 def g09(v):
     from ropewalk.operators.retrieval import bm25_search
-    index = plan.pool_index(pool(v))
+    index = stored_index(v)
     top = bm25_search(v.tasks, index, 3)
     per = top.select("task_id", "id", "rank", F.explode(
         F.array(F.lit("editor"), F.lit("tester"))).alias("role"))

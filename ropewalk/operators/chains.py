@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scoring import avg_pos, success_rate
 from ..session import durable
+from .bm25 import Gain, block_search, bm25_index, bm25_scores
 from .mining import W_FAIL, W_SUCCESS
 from .ordered import first_k, rank_index, with_previous
-from .retrieval import bm25_index, bm25_scores
 
 
 def step_positions(steps: DataFrame) -> DataFrame:
@@ -85,7 +85,22 @@ def chain_seeds(tasks: DataFrame, nodes: DataFrame, examples: DataFrame, k: int
     prior = nodes.select("id", "ord", (F.lit(0.25) * success_rate("n_success",
                          F.col("n_visit") - F.col("n_success"))
                          + F.lit(0.05) * F.col("n_visit")).alias("_p"))
-    matched = bm25_scores(tasks, bm25_index(docs), text)
+    index = bm25_index(docs.join(prior.select("id", F.col("_p").alias("_prior")), "id"), cluster=[F.col("_prior")])
+    if index.floor < 0:
+        return _seeds_of_all_matches(tasks, prior, bm25_scores(tasks, index, text), k)
+    placed = durable(index.docs.select("id", "blk").join(prior, "id"))
+    one = F.lit(0).alias("kind")
+    # steps without a match compete with their prior alone, so the k best priors stand for all of them
+    leaders = placed.orderBy(F.round("_p", 6).desc(), "ord").limit(k).select(one, "id", "ord", "blk")
+    blocks = placed.groupBy("blk").agg(F.max("_p").alias("gain")).select(one, "blk", "gain")
+    gain = Gain(tasks.select("task_id", one, F.lit(1.0).alias("scale")).distinct(), durable(blocks),
+                lambda rows: rows.join(placed.select("id", F.col("_p").alias("gain")), "id"), leaders)
+    return block_search(tasks, index, k, text, gain)
+
+
+def _seeds_of_all_matches(tasks: DataFrame, prior: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+    """For graphs where most tokens are in more than half of the steps, so that a match can lower a score."""
+    matched = durable(matched)
     scored = matched.join(prior.drop("ord"), "id").select(
         "task_id", "id", "ord", F.round(F.col("score") + F.col("_p"), 6).alias("score"))
     order = [F.col("score").desc(), F.col("ord").asc()]

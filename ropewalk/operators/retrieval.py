@@ -6,115 +6,15 @@ ties, so it must be unique.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import loaded_tokens, ws_tokens
+from ..functions.text import loaded_tokens
 from ..functions.vectors import hash_embed, hash_embed_packed
 from ..session import durable
+from .bm25 import Bm25Index, bm25_index, bm25_scores, block_search
 from .ordered import first_k, range_rank
 from .similarity import similar
 
-# Published Okapi defaults.
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-@dataclass
-class Bm25Index:
-    """``postings(token, id, ord, len, tf)``, ``terms(token, df, idf)`` and the two corpus numbers.
-
-    ``docs(id, ord)`` is every record, including those without a token.
-    """
-
-    docs: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    avg_len: float
-    n_docs: int
-    k1: float = K1
-    b: float = B
-
-    def write(self, path: str) -> None:
-        """Store the index; postings are clustered by token for pruned reads."""
-        (self.postings.repartitionByRange("token").sortWithinPartitions("token")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.docs.select("id", "ord").write.mode("overwrite").parquet(f"{path}/docs")
-        stats = self.docs.sparkSession.range(1).select(F.lit(self.avg_len).alias("avg_len"),
-                                                       F.lit(self.n_docs).alias("n_docs"))
-        stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-    @classmethod
-    def read(cls, spark, path: str, **kw) -> "Bm25Index":
-        def part(n):
-            return spark.read.parquet(f"{path}/{n}")
-        stats = part("stats").first()
-        return cls(part("docs"), part("postings"), part("terms"), stats["avg_len"],
-                   stats["n_docs"], **kw)
-
-
-def bm25_index(docs: DataFrame, k1: float = K1, b: float = B,
-               epsilon: float = EPSILON) -> Bm25Index:
-    """Token statistics over the whole texts, built once for any number of searches.
-
-    The postings are materialized: everything else is derived from them, and a search reads them
-    instead of the texts. Counting combines on the map side, since a record's tokens start out in
-    one partition. Only three corpus-wide numbers come to the driver.
-    """
-    tok = docs.select("id", "ord", ws_tokens("text").alias("_t"))
-    tok = tok.select("id", "ord", F.size("_t").cast("long").alias("len"), "_t")
-    postings = durable(tok.select("id", "ord", "len", F.explode("_t").alias("token"))
-                       .groupBy("token", "id", "ord", "len").agg(F.count("*").alias("tf")))
-    ids = docs.select("id", "ord")
-    n_docs = ids.count()
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first()["n"]
-    df = F.col("df")
-    raw = (postings.groupBy("token").agg(F.count("*").alias("df"))
-           .select("token", "df", (F.log(F.lit(n_docs) - df + 0.5) - F.log(df + 0.5)).alias("_r")))
-    terms = durable(raw)
-    floor = terms.agg(F.avg("_r").alias("m")).first()["m"]
-    terms = terms.select("token", "df", F.when(
-        F.col("_r") < 0, F.lit((floor or 0.0) * epsilon)).otherwise(F.col("_r")).alias("idf"))
-    return Bm25Index(ids, postings, terms, total / n_docs if n_docs else 0.0, n_docs, k1,
-                     b)
-
-
-def query_terms(tasks: DataFrame, text: Column | str = "text") -> DataFrame:
-    """(task_id, token, qtf): the query tokens with their multiplicity."""
-    return (tasks.select("task_id", F.explode(ws_tokens(text)).alias("token"))
-            .groupBy("task_id", "token").agg(F.count("*").alias("qtf")))
-
-
-def _parts(postings: DataFrame, index: Bm25Index) -> DataFrame:
-    """Term-frequency part of the score per posting, before idf and query weight."""
-    norm = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("len")
-                              / F.lit(index.avg_len or 1.0))
-    return postings.select(
-        "token", "id", "ord", (F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)).alias("_part"))
-
-
-def _weighted(tasks: DataFrame, index: Bm25Index, text: Column | str) -> DataFrame:
-    return query_terms(tasks, text).join(index.terms, "token").select(
-        "task_id", "token", "df", (F.col("qtf") * F.col("idf")).alias("_w"))
-
-
-def _sums(weighted: DataFrame, index: Bm25Index) -> DataFrame:
-    return (_parts(index.postings, index).join(weighted.select("task_id", "token", "_w"), "token")
-            .groupBy("task_id", "id", "ord").agg(F.sum(F.col("_w") * F.col("_part")).alias("_s")))
-
-
-def bm25_scores(tasks: DataFrame, index: Bm25Index, text: Column | str = "text") -> DataFrame:
-    """(task_id, id, ord, score) for every record that shares a token with the task.
-
-    Weights are attached to the query side (the small one, which Spark broadcasts when its size
-    allows, so that the postings are not shuffled at all), and partial sums combine on the map
-    side.
-    """
-    return _sums(_weighted(tasks, index, text), index).select(
-        "task_id", "id", "ord", F.round("_s", 6).alias("score"))
-
-
 RUN = 4096  # positions of the pool counted together
 
 
@@ -168,47 +68,17 @@ def bm25_search(tasks: DataFrame, index: Bm25Index, k: int, text: Column | str =
                 frequent: int | None = None) -> DataFrame:
     """Top k by Okapi BM25, always k rows per task while the pool has that many.
 
-    A token in more than ``frequent`` records (default 1 % of the pool) would pair
-    every task that uses it with all of them. So rare tokens are scored first, at every size of the pool. Where the k-th best
-    of those partial scores is over everything the frequent tokens could add, a record without a
-    rare token cannot win, and frequent tokens are looked up only for records whose partial score
-    can still reach the k-th best. Tasks for which that does not hold are scored in full.
+    Blocks of records that cannot reach the k-th best score are skipped (``bm25``). ``frequent`` has blocks that hold a
+    query token of at most so many records scored in the first round, whatever their bound. In tiny pools, where most tokens are in
+    more than half of the records, weights can be negative and bounds say nothing: all matches are scored there.
     """
-    cut = max(1, index.n_docs // 100) if frequent is None else frequent
-    scores = durable(_pruned_scores(tasks, index, k, text, cut))
+    if index.floor >= 0:
+        return block_search(tasks, index, k, text, rare=frequent or 0)
+    scores = durable(bm25_scores(tasks, index, text))
     best = durable(topk_per_task(scores, k).drop("rank"))
     return topk_per_task(pad_with_zero(tasks, best, index.docs, k, scores), k)
 
 
-def _pruned_scores(tasks: DataFrame, index: Bm25Index, k: int, text: Column | str,
-                   cut: int) -> DataFrame:
-    terms = durable(_weighted(tasks, index, text))
-    rare, common = terms.filter(F.col("df") <= cut), terms.filter(F.col("df") > cut)
-    partial = durable(_sums(rare, index))
-    kth = (first_k(partial, ["task_id"], [F.col("_s").desc()], k).groupBy("task_id")
-           .agg(F.min("_s").alias("_kth"), F.count("*").alias("_n")).filter(F.col("_n") == k))
-    # no term part exceeds k1 + 1; a negative weight (tiny pools) leaves its task unproven
-    most = common.groupBy("task_id").agg(
-        F.sum(F.col("_w") * (index.k1 + 1)).alias("_most"), F.min("_w").alias("_low"))
-    lowest = rare.groupBy("task_id").agg(F.min("_w").alias("_low_rare"))
-    margin = 1e-6  # ranks are by scores rounded to six places
-    safe = durable(
-        kth.join(most, "task_id", "left").join(lowest, "task_id")
-        .select("task_id", "_kth", F.coalesce("_most", F.lit(0.0)).alias("_most"),
-                F.least(F.coalesce("_low", F.lit(0.0)), "_low_rare").alias("_low"))
-        .filter((F.col("_low") >= 0) & (F.col("_most") < F.col("_kth") - margin)))
-    alive = durable(partial.join(safe, "task_id")
-                    .filter(F.col("_s") + F.col("_most") >= F.col("_kth") - margin)
-                    .select("task_id", "id", "ord", "_s"))
-    asked = alive.select("task_id", "id", "ord").join(
-        common.select("task_id", "token", "_w"), "task_id")
-    extra = (asked.join(_parts(index.postings, index).drop("ord"), ["token", "id"])
-             .select("task_id", "id", "ord", (F.col("_w") * F.col("_part")).alias("_s")))
-    proven = alive.unionByName(extra).groupBy("task_id", "id", "ord").agg(F.sum("_s").alias("_s"))
-    rest = _sums(terms.join(safe.select("task_id"), "task_id", "left_anti"), index)
-    return proven.unionByName(rest).select("task_id", "id", "ord", F.round("_s", 6).alias("score"))
-
-
 def vector_scores(tasks: DataFrame, docs: DataFrame, dim: int = 256,
                   task_text: Column | str = "text", doc_text: Column | str = "text") -> DataFrame:
     """Cosine of hashed vectors for every pair that shares a bucket."""

@@ -15,9 +15,9 @@ from ..functions.scoring import success_rate
 from ..functions.text import loaded_tokens, vector_text
 from ..schema import EXEC_EDGES, GOVERNANCE_EDGES, TRACE_EDGES
 from ..session import durable
+from .bm25 import Bm25Index, Gain, block_search, bm25_scores
 from .ordered import first_k, row_index
-from .retrieval import (Bm25Index, bm25_scores, bm25_search, pad_with_zero, topk_per_task,
-                        vector_scores, vector_search)
+from .retrieval import bm25_search, pad_with_zero, topk_per_task, vector_scores, vector_search
 
 
 def candidate_pool(skills: DataFrame) -> DataFrame:
@@ -78,8 +78,7 @@ def boost(tasks: DataFrame, scores: DataFrame, pool: DataFrame, weight: float,
     unmatched records by insertion order can reach the top, all having the same score, so those k
     per scope are enough.
     """
-    scope = F.array_join(F.array_sort(F.array_distinct("task_types")), "\x1f")
-    scoped = pool.select("id", "ord", "task_types", scope.alias("_scope"))
+    scoped = pool.select("id", "ord", "task_types", scope_of("task_types").alias("_scope"))
     tops = scores.groupBy("task_id").agg(F.max("score").alias("_top"))
     ref = tasks.select("task_id", "task_type").join(tops, "task_id", "left").select(
         "task_id", "task_type",
@@ -122,6 +121,33 @@ def boosted_search(tasks: DataFrame, pool: DataFrame, scores: DataFrame, weight:
     return topk_per_task(pad_with_zero(tasks, first, pool, k, matched), k)
 
 
+def scope_gain(tasks: DataFrame, pool: DataFrame, index: Bm25Index, weight: float, k: int) -> Gain:
+    """Records whose declared scope fits a task's type gain ``weight`` times the task's best score (1 if that is 0)."""
+    best = block_search(tasks, index, 1).select("task_id", F.col("score").alias("_top"))
+    kinds = tasks.select("task_id", F.col("task_type").alias("kind")).join(best, "task_id", "left").select(
+        "task_id", "kind", (F.lit(weight) * F.when(F.coalesce("_top", F.lit(0.0)) == 0, 1.0).otherwise(F.col("_top")))
+        .alias("scale"))
+    scope = scope_of("task_types")
+    scoped = durable(pool.select("id", scope.alias("_scope"), "task_types").join(index.docs.select("id", "ord", "blk"), "id"))
+    scopes = scoped.select("_scope", "task_types").dropDuplicates(["_scope"])
+    # two vocabularies: types of tasks and declared scopes
+    fits = durable(tasks.select(F.col("task_type").alias("kind")).distinct().join(
+        scopes, type_match(F.col("kind"), F.col("task_types"))).select("kind", "_scope"))
+    heads = first_k(scoped, ["_scope"], [F.col("ord"), F.col("id")], k).select("_scope", "id", "ord", "blk")
+    blocks = scoped.select("_scope", "blk").distinct().join(fits, "_scope").select("kind", "blk", F.lit(1.0).alias("gain"))
+
+    def gained(rows: DataFrame) -> DataFrame:
+        return rows.join(scoped.select("id", "_scope"), "id").join(
+            fits.withColumn("gain", F.lit(1.0)), ["kind", "_scope"], "left")
+
+    leaders = first_k(heads.join(fits, "_scope"), ["kind"], [F.col("ord"), F.col("id")], k)
+    return Gain(durable(kinds), durable(blocks.distinct()), gained, leaders.select("kind", "id", "ord", "blk"))
+
+
+def scope_of(task_types: Column | str) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(task_types)), "\x1f")
+
+
 def lexical_seeds(tasks: DataFrame, pool: DataFrame, index: Bm25Index, k: int = 3,
                   type_boost: float = 0.0, retriever: str = "bm25") -> DataFrame:
     """Seeds by BM25 (or hashed vectors) on the task text alone, optionally scope-boosted."""
@@ -129,6 +155,8 @@ def lexical_seeds(tasks: DataFrame, pool: DataFrame, index: Bm25Index, k: int =
         if retriever == "bm25":
             return bm25_search(tasks, index, k)
         return vector_search(tasks, pool, k, doc_text=vector_text("name", "description", "body"))
+    if retriever == "bm25" and index.floor >= 0 and type_boost > 0:
+        return block_search(tasks, index, k, gain=scope_gain(tasks, pool, index, type_boost, k))
     text = vector_text("name", "description", "body")
     scores = (bm25_scores(tasks, index) if retriever == "bm25"
               else vector_scores(tasks, pool, doc_text=text))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import bm25_text
 from ..operators import mining, routing
-from ..operators.retrieval import Bm25Index, bm25_index
+from ..operators.bm25 import Bm25Index, bm25_index
 from ..session import durable
 
 
@@ -46,9 +46,10 @@ class Routes:
             "task_id", "id", F.col("id").alias("rank"), "body")
 
 
-def pool_index(pool: DataFrame) -> Bm25Index:
-    docs = pool.select("id", "ord", bm25_text("name", "description", "body").alias("text"))
-    return bm25_index(docs)
+def pool_index(pool: DataFrame, path: str | None = None) -> Bm25Index:
+    """Index over the pool's texts, records of one scope side by side; give a ``path`` to keep it for later sessions."""
+    docs = pool.select("id", "ord", bm25_text("name", "description", "body").alias("text"), "task_types")
+    return bm25_index(docs, cluster=[routing.scope_of("task_types")], path=path)
 
 
 def expand(seeds: DataFrame, skills: DataFrame, edges: DataFrame, block_edges: DataFrame,
