@@ -82,13 +82,54 @@ def nearest(queries: DataFrame, nodes: DataFrame, threshold: float, dim: int = 2
     return q.select("id", "gid").join(by_group, "gid", "left").select("id", "node", "sim")
 
 
+PARTNERS = 8  # earlier partners kept per record at a time
+
+
+class EarlierPartners:
+    """The first few earlier similar records of each asking record, more only when those are settled.
+
+    In a family of m near copies everything waits for the first member, and every member has it among its first ``PARTNERS``
+    partners, so a family costs m * PARTNERS rows, not m * m. A record whose partners have all been settled without
+    staying, while it may have further ones, is asked again among what is still there.
+    """
+
+    def __init__(self, asking: DataFrame, targets: DataFrame, threshold: float, dim: int):
+        """``asking`` and ``targets`` are vectors with id and ord; answers are by ord."""
+        self.asking, self.targets, self.threshold, self.dim = asking, targets, threshold, dim
+        self.pairs, self.more = self._ask(asking, targets)
+
+    def _ask(self, asking: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = similar(asking, targets, self.dim, self.threshold, earlier_only=True, first=PARTNERS + 1)
+        kept = first_k(found, ["left_id"], [F.col("right_ord").asc()], PARTNERS + 1)
+        kept = durable(kept.join(asking.select(F.col("id").alias("left_id"), F.col("ord").alias("e")), "left_id").select(
+            "e", F.col("right_ord").alias("h"), "rank"))
+        return kept.filter(F.col("rank") <= PARTNERS).select("e", "h"), kept.filter(F.col("rank") > PARTNERS).select("e")
+
+    def among(self, todo: DataFrame, stays: DataFrame) -> DataFrame:
+        """(e, h, stays): partners of ``todo(e)`` that stay (``stays(h)``) or are still to do; none that was settled otherwise."""
+        live = stays.select("h", F.lit(True).alias("stays")).unionByName(
+            todo.select(F.col("e").alias("h"), F.lit(False).alias("stays")))
+        near = self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h")
+        spent = self.more.join(todo.select("e"), "e", "left_semi").join(near.select("e").distinct(), "e", "left_anti")
+        spent = durable(spent)
+        if spent.isEmpty():
+            return near
+        asking = self.asking.join(spent.select(F.col("e").alias("ord")), "ord", "left_semi")
+        targets = self.targets.join(live.select(F.col("h").alias("ord")).distinct(), "ord", "left_semi")
+        pairs, more = self._ask(asking, targets)
+        self.pairs = durable(self.pairs.join(spent, "e", "left_anti").unionByName(pairs))
+        self.more = durable(self.more.join(spent, "e", "left_anti").unionByName(more))
+        return self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h")
+
+
 def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float = 0.80,
                      dim: int = 256) -> DataFrame:
     """Decide each fragment in ``ord`` order: fold into the most similar earlier record or insert.
 
     A fragment is folded as soon as any earlier record that stays (an existing node or an inserted
     fragment) reaches the threshold; it is inserted once every earlier similar fragment is known
-    to have been folded. Each round settles all fragments for which that is known. Returns
+    to have been folded. Each round settles all fragments for which that is known. Similar pairs are never
+    listed in full: rounds work on the first few partners, and targets come from one search among the records that stay. Returns
     (id, ord, action, target, sim).
     """
     every = nodes.withColumn("_node", F.lit(True)).unionByName(
@@ -96,32 +137,32 @@ def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float =
     folded, payload = _fold_copies(every)
     folded = durable(folded)
     heads = folded.filter(F.col("ord") == F.col("gid"))
-    pairs = similar(heads, heads, dim, threshold, same_table=True)
-    head_ids = heads.select("id", F.col("gid").alias("_g"))
-    pairs = durable(
-        pairs.join(head_ids.withColumnRenamed("id", "left_id"), "left_id")
-        .select(F.col("_g").alias("g"), F.col("right_ord").alias("h"), "sim"))
-    todo = durable(heads.filter(~F.col("_node")).select("gid"))
-    stays = heads.filter("_node").select("gid")
-    back = pairs.filter(F.col("h") < F.col("g")).select("g", "h")
+    asking = heads.filter(~F.col("_node"))
+    partners = EarlierPartners(asking, heads, threshold, dim)
+    todo = durable(asking.select(F.col("gid").alias("e")))
+    stays = durable(heads.filter("_node").select(F.col("gid").alias("h")))
     while not todo.isEmpty():
-        near = back.join(todo.withColumnRenamed("gid", "g"), "g", "left_semi")
-        hit = near.join(stays.withColumnRenamed("gid", "h"), "h", "left_semi").select(
-            F.col("g").alias("gid")).distinct()
-        waits = near.join(todo.withColumnRenamed("gid", "h"), "h", "left_semi").select(
-            F.col("g").alias("gid")).distinct()
-        left = todo.join(hit, "gid", "left_anti")
-        stays_now = left.join(waits, "gid", "left_anti")
-        stays = durable(stays.unionByName(stays_now))
-        todo = durable(left.join(waits, "gid", "left_semi"))
-    # targets: the best record that stays and came earlier, for every fragment, copies included
-    keep = stays.withColumnRenamed("gid", "h")
-    options = pairs.join(keep, "h", "left_semi").unionByName(
-        keep.select(F.col("h").alias("g"), "h", F.lit(1.0).alias("sim")))
+        near = durable(partners.among(todo, stays))
+        hit = near.filter("stays").select("e").distinct()
+        waits = near.filter(~F.col("stays")).select("e").distinct()
+        left = todo.join(hit, "e", "left_anti")
+        stays = durable(stays.unionByName(left.join(waits, "e", "left_anti").select(F.col("e").alias("h"))))
+        todo = durable(left.join(waits, "e", "left_semi"))
+    # targets: the best record that stays and came earlier. A later copy may also take one that came in between; those are
+    # inserted fragments, of which no two are similar, so a record has few of them
+    kept = heads.join(stays.select(F.col("h").alias("ord")), "ord", "left_semi")
+    gone = asking.join(stays.select(F.col("h").alias("ord")), "ord", "left_anti")
     rows = folded.filter(~F.col("_node")).select("id", "ord", F.col("gid").alias("g"))
+    copied = rows.filter(F.col("ord") != F.col("g")).select(F.col("g").alias("ord")).distinct()
+    asks = gone.unionByName(heads.filter("_node").join(copied, "ord", "left_semi"))
+    earlier = first_k(similar(asks, kept, dim, threshold, 1, earlier_only=True), ["left_id"],
+                      [F.col("sim").desc(), F.col("right_ord").asc()], 1).drop("rank")
+    between = similar(gone.join(copied, "ord", "left_semi"), kept.filter(~F.col("_node")), dim, threshold, same_table=True)
+    options = (heads.select(F.col("id").alias("left_id"), F.col("gid").alias("g")).join(earlier.unionByName(between), "left_id")
+               .select("g", F.col("right_ord").alias("h"), "sim").distinct()
+               .unionByName(kept.select(F.col("gid").alias("g"), F.col("gid").alias("h"), F.lit(1.0).alias("sim"))))
     choice = (salted_join(rows, options, "g", "id").filter(F.col("h") < F.col("ord"))
-              .groupBy("id").agg(F.max_by(F.struct("h", "sim"), F.struct("sim", -F.col("h")))
-                                 .alias("_b")))
+              .groupBy("id").agg(F.max_by(F.struct("h", "sim"), F.struct("sim", -F.col("h"))).alias("_b")))
     names = heads.select(F.col("gid").alias("_h"), F.col("id").alias("target"))
     return (rows.join(choice, "id", "left")
             .select("id", "ord", F.col("_b.h").alias("_h"), F.col("_b.sim").alias("sim"))

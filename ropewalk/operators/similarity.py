@@ -1,20 +1,32 @@
 """Exact cosine joins without a cross join of rows.
 
 Vectors are packed into tiles of bounded size. A task receives one pair of tiles, multiplies them
-with numpy, and emits only what is asked for: pairs over a threshold, or the best k per row. Work
-is spread evenly whatever the data looks like, because tiles are cut by hash, not by a key of the
-data. Copies of the same vector are folded before this step by the callers.
+with numpy, and emits only what is asked for: pairs over a threshold, the best k per row, or the first few partners of a row.
+Copies of the same vector are folded before this step by the callers.
+
+Where a threshold is given, tiles hold vectors that lie close together, and pairs of tiles that cannot reach it are never
+formed: the angle between two vectors is at least the difference of their angles to any third one, so a pair of tiles is
+left out when, for one of a few pivots, the ranges of their angles lie further apart than the threshold's angle. The
+number of copies of a vector is the number of tiles its own tile still has to meet, which depends on how the data clusters. The pivots
+come from a bounded sample of ``SAMPLE`` rows; they decide speed, never results.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
+from .ordered import range_rank
 
 TILE = 2048
+SAMPLE = 256    # rows the pivots are chosen from
+PIVOTS = 8
+GROUP = 64      # tiles of a group; groups are compared before tiles
+SLACK = 1e-4    # radians; sums of rounded products and sims rounded to six places stay inside
 
 
 def _tiles(df: DataFrame, tile: int) -> tuple[DataFrame, int]:
@@ -24,6 +36,69 @@ def _tiles(df: DataFrame, tile: int) -> tuple[DataFrame, int]:
     return df.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts
 
 
+def _pivots(vectors: DataFrame, dim: int) -> np.ndarray:
+    """A few rows of a bounded sample, each far from those before it."""
+    rows = _matrix(vectors.orderBy(F.xxhash64("id"), "ord").limit(SAMPLE).toPandas(), dim)  # at most SAMPLE rows
+    chosen = [0]
+    nearest = rows @ rows[0]
+    while len(chosen) < min(PIVOTS, len(rows)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, rows @ rows[chosen[-1]])
+    return rows[chosen]
+
+
+def _close_tiles(vectors: DataFrame, pivots: np.ndarray, cuts: np.ndarray, dim: int, tile: int) -> DataFrame:
+    """``vectors`` with ``_tile`` and ``_angles``: rows are ordered by which side of each cut their angles to the pivots are
+    on, then by the angle to the first pivot, and every ``tile`` consecutive ones are a tile."""
+    bits = 1 << np.arange(len(pivots))[::-1]
+
+    def measure(frames):
+        for pdf in frames:
+            cos = np.clip(_matrix(pdf, dim) @ pivots.T, -1, 1)
+            angles = np.arccos(cos)
+            yield pdf.assign(_angles=list(angles), _cell=((angles > cuts) * bits).sum(axis=1).astype(np.int64),
+                             _a0=angles[:, 0])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+    placed = vectors.mapInPandas(measure, f"{schema}, _angles array<double>, _cell long, _a0 double")
+    ranked = range_rank(placed, [F.col("_cell"), F.col("_a0"), F.col("ord")], "_at")
+    return ranked.withColumn("_tile", F.floor(F.col("_at") / tile).cast("int")).drop("_at", "_cell", "_a0")
+
+
+def _ranges(tiles: DataFrame, pivots: int, by: str = "_tile") -> DataFrame:
+    """Per tile the range of angles to each pivot and of ``ord``."""
+    angle = [F.get("_angles", F.lit(i)) for i in range(pivots)]
+    return tiles.groupBy(by).agg(
+        F.array(*[F.min(a) for a in angle]).alias("lo"), F.array(*[F.max(a) for a in angle]).alias("hi"),
+        F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
+def tile_pairs(left: DataFrame, right: DataFrame, pivots: int, threshold: float, earlier_only: bool) -> DataFrame:
+    """(_lt, _rt): pairs of tiles that may hold a pair over the threshold. Groups of tiles are compared first."""
+    reach = math.acos(min(max(threshold, -1.0), 1.0)) + SLACK
+
+    def named(df: DataFrame, by: str, side: str) -> DataFrame:
+        return df.select(F.col(by).alias(f"_{side}{by}"), *[F.col(c).alias(f"{side}_{c}") for c in ("lo", "hi", "first", "last")])
+
+    def near():
+        apart = F.exists(F.sequence(F.lit(0), F.lit(pivots - 1)), lambda i: (
+            F.get("r_lo", i) - F.get("l_hi", i) > reach) | (F.get("l_lo", i) - F.get("r_hi", i) > reach))
+        return ~apart & (F.col("r_first") < F.col("l_last")) if earlier_only else ~apart
+
+    def grouped(df: DataFrame) -> DataFrame:
+        ends = [F.array(*[fn(F.get(c, F.lit(i))) for i in range(pivots)]).alias(c) for fn, c in ((F.min, "lo"), (F.max, "hi"))]
+        return df.withColumn("_group", F.floor(F.col("_tile") / GROUP).cast("int")).groupBy("_group").agg(
+            *ends, F.min("first").alias("first"), F.max("last").alias("last"))
+
+    l, r = durable(_ranges(left, pivots)), durable(_ranges(right, pivots))
+    # one row per GROUP * TILE vectors on each side
+    groups = named(grouped(l), "_group", "l").join(named(grouped(r), "_group", "r"), near()).select("_l_group", "_r_group")
+    l = named(l, "_tile", "l").withColumn("_l_group", F.floor(F.col("_l_tile") / GROUP).cast("int"))
+    r = named(r, "_tile", "r").withColumn("_r_group", F.floor(F.col("_r_tile") / GROUP).cast("int"))
+    return groups.join(l, "_l_group").join(r, "_r_group").filter(near()).select(
+        F.col("_l_tile").alias("_lt"), F.col("_r_tile").alias("_rt"))
+
+
 def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     out = np.zeros((len(pdf), dim))
     if "buckets" in pdf.columns:
@@ -41,24 +116,42 @@ def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
 
 def similar(left: DataFrame, right: DataFrame, dim: int, threshold: float | None = None,
             k: int | None = None, earlier_only: bool = False, same_table: bool = False,
-            tile: int = TILE) -> DataFrame:
+            tile: int | None = None, first: int | None = None) -> DataFrame:
     """Rows (left_id, right_id, right_ord, sim) with sim rounded to six places.
 
     Both inputs have ``id``, ``ord`` (long) and either ``vec`` or ``buckets`` + ``tf``.
     ``threshold`` keeps sim >= threshold. ``k`` keeps, per left row and tile, the k best by
     (sim desc, right_ord asc), so the caller's final top-k sees k rows per tile, not all pairs.
+    ``first`` keeps, per left row and tile, the first so many by right_ord instead.
     ``earlier_only`` keeps right_ord < left_ord. With ``same_table`` both sides are cuts of one table and a row does
     not meet itself (same ord); between different tables equal ords mean nothing.
     """
     payload = ["buckets", "tf"] if "buckets" in left.columns else ["vec"]
     cols = ["id", "ord", *payload]
     # toDF gives fresh column identities: the two sides are often cuts of one table
-    lt, ln = _tiles(left.select(*cols).toDF(*cols), tile)
-    rt, rn = _tiles(right.select(*cols).toDF(*cols), tile)
-    lt = lt.select("*", F.explode(F.sequence(F.lit(0), F.lit(rn - 1))).alias("_rt"))
-    lt = lt.withColumnRenamed("_tile", "_lt")
-    rt = rt.select("*", F.explode(F.sequence(F.lit(0), F.lit(ln - 1))).alias("_lt"))
-    rt = rt.withColumnRenamed("_tile", "_rt")
+    left, right = left.select(*cols).toDF(*cols), right.select(*cols).toDF(*cols)
+    tile = tile or TILE
+    pairs = None
+    if threshold is not None and threshold > 0:
+        left, right = durable(left), durable(right)
+        pivots = _pivots(right, dim) if max(left.count(), right.count()) > tile else np.zeros((0, dim))
+        pivots = pivots[np.abs(pivots).sum(axis=1) > 0]
+        if len(pivots):  # else one tile meets one tile
+            sample = _matrix(left.orderBy(F.xxhash64("id"), "ord").limit(SAMPLE).toPandas(), dim)  # at most SAMPLE rows
+            cuts = np.median(np.arccos(np.clip(sample @ pivots.T, -1, 1)), axis=0) if len(sample) else np.zeros(len(pivots))
+            lt, rt = (_close_tiles(df, pivots, cuts, dim, tile) for df in (left, right))
+            lt, rt = durable(lt), durable(rt)
+            pairs = durable(tile_pairs(lt, rt, len(pivots), threshold, earlier_only))
+    if pairs is not None:
+        lt = lt.withColumnRenamed("_tile", "_lt").join(pairs, "_lt").select(*cols, "_lt", "_rt")
+        rt = rt.withColumnRenamed("_tile", "_rt").join(pairs, "_rt").select(*cols, "_lt", "_rt")
+    else:
+        lt, ln = _tiles(left, tile)
+        rt, rn = _tiles(right, tile)
+        lt = lt.select("*", F.explode(F.sequence(F.lit(0), F.lit(rn - 1))).alias("_rt"))
+        lt = lt.withColumnRenamed("_tile", "_lt")
+        rt = rt.select("*", F.explode(F.sequence(F.lit(0), F.lit(ln - 1))).alias("_lt"))
+        rt = rt.withColumnRenamed("_tile", "_rt")
     id_type = left.schema["id"].dataType.simpleString()
     rid_type = right.schema["id"].dataType.simpleString()
 
@@ -84,6 +177,8 @@ def similar(left: DataFrame, right: DataFrame, dim: int, threshold: float | None
             chosen = np.zeros_like(ok)
             np.put_along_axis(chosen, ranked, True, axis=1)
             ok &= chosen
+        if first is not None and sims.shape[1] > first:
+            ok &= np.cumsum(ok, axis=1) <= first  # columns are in ord order
         i, j = np.nonzero(ok)
         if not len(i):
             return empty
