@@ -173,16 +173,26 @@ def g12(v):
 
 
 # every edit's slug is known here, so the routing is exact by name and SQL can say it
-@check("g12_absorb_known", """--- SELECT role || '_' || (length(text) // 200) AS id, count(*) AS n_edits,
-    count(DISTINCT nullif(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '')) AS n_bodies,
-    count(DISTINCT conv_id) AS n_evidence FROM conversations GROUP BY 1""")
+_KNOWN = """ed AS (SELECT (conv_id * 1000 + turn) * 1048576 AS seq, {slug} AS id, {kind} AS kind, 'c' || conv_id AS trace,
+    trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS body FROM conversations),
+  pt AS (SELECT id, body, min(seq) AS seq FROM ed WHERE body <> '' GROUP BY 1, 2 UNION ALL
+    SELECT DISTINCT id, 'seed text', -1 FROM ed),
+  app AS (SELECT * FROM pt p WHERE NOT EXISTS (SELECT 1 FROM pt q WHERE q.id = p.id AND q.seq < p.seq
+    AND contains(q.body, p.body)))"""
+
+
+def _known(v, patches):
+    slugs = c.patch_edits(patches).select("slug").distinct()
+    return slugs.select(F.col("slug").alias("id"), F.xxhash64("slug").alias("ord"), F.col("slug").alias("name"),
+                        F.lit("").alias("description"), F.lit("seed text").alias("body"), F.lit("deployed").alias("status"))
+
+
+@check("g12_absorb_known", _KNOWN.format(slug="role || '_' || (length(text) // 200)", kind="role") + """--- SELECT ed.id,
+    count(*) AS n_edits, max(coalesce(n, 0)) AS n_bodies, count(DISTINCT trace) AS n_evidence FROM ed LEFT JOIN
+    (SELECT id, count(*) AS n FROM app WHERE seq >= 0 GROUP BY 1) a ON a.id = ed.id GROUP BY 1""")
 def g12_known(v):
     p = _patches(v)
-    names = c.patch_edits(p).select("slug").distinct()
-    skills = names.select(F.col("slug").alias("id"), F.xxhash64("slug").alias("ord"),
-                          F.col("slug").alias("name"), F.lit("").alias("description"),
-                          F.lit("seed text").alias("body"), F.lit("deployed").alias("status"))
-    out = c.absorb_edits(c.patch_edits(p), skills)
+    out = c.absorb_edits(c.patch_edits(p), _known(v, p))
     n = out["assigned"].groupBy("id").agg(F.count("*").alias("n_edits"))
     b = out["bodies"].groupBy("id").agg(F.count("*").alias("n_bodies"))
     e = out["evidence"].groupBy("id").agg(F.count("*").alias("n_evidence"))
@@ -190,6 +200,53 @@ def g12_known(v):
         "id", "n_edits", F.coalesce("n_bodies", F.lit(0)).alias("n_bodies"), "n_evidence")
 
 
+def _mixed_patches(v):
+    """Turns as edits of a section named by length alone: a section mixes roles, and the first words of long turns come again as
+    edits of their own, so that later bodies are contained in earlier ones."""
+    t = v.table("conversations")
+    kind = F.concat("role", (F.col("conv_id") % 3).cast("string"))
+    return t.select(
+        "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("patch"),
+        F.concat(F.lit("c"), "conv_id").alias("task_id"), kind.alias("task_type"),
+        F.array(*[F.struct(
+            F.lit("SKILL.md").alias("file"),
+            F.concat(F.lit("## part "), F.expr("length(text) div 200").cast("string")).alias("target_section"),
+            F.lit("").alias("after_section"), content.alias("content"))
+            for content in (F.col("text"), F.expr("substring(text, 5, 40)"))]).alias("edits"))
+
+
+_MIXED = """ed AS (SELECT (conv_id * 1000 + turn) * 1048576 + k AS seq, 'part_' || (length(text) // 200) AS id,
+    role || (conv_id % 3) AS kind, 'c' || conv_id AS trace, trim(CASE k WHEN 0 THEN text ELSE substring(text, 5, 40) END,
+    ' ' || chr(10) || chr(9) || chr(13)) AS body FROM conversations CROSS JOIN (SELECT unnest([0, 1]) AS k)),""" + \
+    _KNOWN[_KNOWN.index("pt AS"):]
+
+
+@check("g12_absorb_contained", _MIXED + """--- SELECT id, seq, md5(body) AS body FROM app WHERE seq >= 0""")
+def g12_contained(v):
+    """The parts that records take in: half of the edits repeat a piece of an earlier one."""
+    p = _mixed_patches(v)
+    out = c.absorb_edits(c.patch_edits(p), _known(v, p))
+    return out["bodies"].select("id", "seq", F.md5("body").alias("body"))
+
+
+@check("g12_absorb_split", _MIXED + r""", ty AS (SELECT id, kind, row_number() OVER (PARTITION BY id ORDER BY min(seq)) - 1 AS n
+    FROM ed GROUP BY 1, 2),
+  whole AS (SELECT id, string_agg(body, chr(10) || chr(10) ORDER BY seq) AS body FROM app GROUP BY 1),
+  big AS (SELECT id, body, list_filter(list_transform(string_split(body, chr(10) || chr(10)),
+    lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS ps FROM whole
+    WHERE length(body) // 4 >= 600 AND (SELECT count(*) FROM ty WHERE ty.id = whole.id) >= 3)
+  --- SELECT id AS parent, n AS child_no, id || '_for_' || kind AS id, id || ' for ' || kind AS name,
+    md5(coalesce(ps[n + 1], ps[1])) AS body, (SELECT count(DISTINCT trace) FROM ed WHERE ed.id = big.id) AS n_evidence
+    FROM big JOIN ty USING (id)""")
+def g12_split(v):
+    """Records that grew over the limit and mix at least three types, and their children."""
+    p = _mixed_patches(v)
+    out = c.absorb_patches(c.patch_edits(p), _known(v, p), 1)
+    n = out["child_evidence"].groupBy("id").agg(F.count("*").alias("n_evidence"))
+    return out["children"].select("parent", "child_no", "id", "name", F.md5("body").alias("body")).join(n, "id").select(
+        "parent", "child_no", "id", "name", "body", "n_evidence")
+
+
 @check("g13_split", """k AS (SELECT p.id, p.name, p.description, t.task_type, row_number() OVER (PARTITION BY p.id
     ORDER BY t.task_type) - 1 AS n FROM v_parts p JOIN v_part_types t USING (id) WHERE length(p.body) >= 25
     AND p.n_types >= 5 AND p.status <> 'retired')

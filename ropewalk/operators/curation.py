@@ -8,6 +8,7 @@ from ..functions.text import (loaded_tokens, paragraphs, section_name, slugify,
                               vector_text)
 from ..functions.vectors import hash_embed_packed
 from ..session import durable
+from .containment import uncontained
 from .ordered import first_k, prefix, range_rank, row_index
 from .pairs import salted_join
 from .routing import layer_of
@@ -82,7 +83,7 @@ def nearest(queries: DataFrame, nodes: DataFrame, threshold: float, dim: int = 2
     return q.select("id", "gid").join(by_group, "gid", "left").select("id", "node", "sim")
 
 
-PARTNERS = 8  # earlier partners kept per record at a time
+PARTNERS = 16  # earlier partners kept per record at a time
 
 
 class EarlierPartners:
@@ -97,6 +98,7 @@ class EarlierPartners:
         """``asking`` and ``targets`` are vectors with id and ord; answers are by ord."""
         self.asking, self.targets, self.threshold, self.dim = asking, targets, threshold, dim
         self.pairs, self.more = self._ask(asking, targets)
+        self.any_more = not self.more.isEmpty()
 
     def _ask(self, asking: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = similar(asking, targets, self.dim, self.threshold, earlier_only=True, first=PARTNERS + 1)
@@ -105,21 +107,26 @@ class EarlierPartners:
             "e", F.col("right_ord").alias("h"), "rank"))
         return kept.filter(F.col("rank") <= PARTNERS).select("e", "h"), kept.filter(F.col("rank") > PARTNERS).select("e")
 
-    def among(self, todo: DataFrame, stays: DataFrame) -> DataFrame:
-        """(e, h, stays): partners of ``todo(e)`` that stay (``stays(h)``) or are still to do; none that was settled otherwise."""
+    def among(self, todo: DataFrame, stays: DataFrame, again: bool = False) -> DataFrame:
+        """(e, h, stays): partners of ``todo(e)`` that stay (``stays(h)``) or are still to do; none that was settled otherwise.
+        Records that must be asked again wait as rows without a partner, until ``again`` does it for all of them at once."""
         live = stays.select("h", F.lit(True).alias("stays")).unionByName(
             todo.select(F.col("e").alias("h"), F.lit(False).alias("stays")))
-        near = self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h")
+        near = self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h").select("e", "h", "stays")
+        if not self.any_more:
+            return near
+        near = durable(near)
         spent = self.more.join(todo.select("e"), "e", "left_semi").join(near.select("e").distinct(), "e", "left_anti")
+        if not again:
+            return near.unionByName(spent.select("e", F.lit(None).cast("long").alias("h"), F.lit(False).alias("stays")))
         spent = durable(spent)
-        if spent.isEmpty():
-            return near
         asking = self.asking.join(spent.select(F.col("e").alias("ord")), "ord", "left_semi")
         targets = self.targets.join(live.select(F.col("h").alias("ord")).distinct(), "ord", "left_semi")
         pairs, more = self._ask(asking, targets)
         self.pairs = durable(self.pairs.join(spent, "e", "left_anti").unionByName(pairs))
         self.more = durable(self.more.join(spent, "e", "left_anti").unionByName(more))
-        return self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h")
+        self.any_more = not self.more.isEmpty()
+        return self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h").select("e", "h", "stays")
 
 
 def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float = 0.80,
@@ -141,13 +148,15 @@ def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float =
     partners = EarlierPartners(asking, heads, threshold, dim)
     todo = durable(asking.select(F.col("gid").alias("e")))
     stays = durable(heads.filter("_node").select(F.col("gid").alias("h")))
-    while not todo.isEmpty():
-        near = durable(partners.among(todo, stays))
+    before, left_over = -1, todo.count()
+    while left_over:
+        near = partners.among(todo, stays, again=left_over == before)
         hit = near.filter("stays").select("e").distinct()
         waits = near.filter(~F.col("stays")).select("e").distinct()
         left = todo.join(hit, "e", "left_anti")
         stays = durable(stays.unionByName(left.join(waits, "e", "left_anti").select(F.col("e").alias("h"))))
         todo = durable(left.join(waits, "e", "left_semi"))
+        before, left_over = left_over, todo.count()
     # targets: the best record that stays and came earlier. A later copy may also take one that came in between; those are
     # inserted fragments, of which no two are similar, so a record has few of them
     kept = heads.join(stays.select(F.col("h").alias("ord")), "ord", "left_semi")
@@ -279,9 +288,9 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
     slug. Each round settles every slug for which the earlier edits it depends on are settled.
     Similarity is to the text a record had at the start of the batch or was created with.
 
-    ``skills(id, ord, name, description, body, status)``. Returns ``nodes`` (created), ``assigned``
-    (seq -> id), and long tables ``bodies`` (distinct body parts per record with their first seq),
-    ``types`` and ``evidence``.
+    ``skills(id, ord, name, description, body, status)``, seq >= 0. Returns ``nodes`` (created), ``assigned``
+    (seq -> id), and long tables ``bodies`` (the parts appended to each record, with their first seq: a body that the record's
+    text or an earlier part contains is not appended), ``types`` and ``evidence``.
     """
     known = skills.select(F.col("id").alias("slug"))
     fresh = durable(edits.join(known, "slug", "left_anti"))
@@ -295,19 +304,16 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
     own = embed(reps, F.concat("name", F.lit(". "), "name", F.lit(" "), "body"), dim)
     there = embed(skills.filter(F.col("status") != "retired"),
                   vector_text("name", "description", "body"), dim)
-    near = similar(asking, there.unionByName(own), dim, threshold, same_table=True)
-    near = durable(near.join(reps.select(F.col("id").alias("left_id"), F.col("ord").alias("e")),
-                             "left_id").select("e", F.col("right_ord").alias("h"),
-                                               F.col("right_id").alias("h_id"), "sim"))
-    back = near.filter(F.col("h") < F.col("e")).select("e", "h")
+    there = durable(there.unionByName(own))
+    partners = EarlierPartners(asking, there, threshold, dim)
     todo = durable(reps.select("slug", F.col("ord").alias("e")))
     stays = durable(skills.filter(F.col("status") != "retired").select(
         F.lit(None).cast("string").alias("slug"), F.col("ord").alias("h")))
-    while not todo.isEmpty():
-        live = back.join(todo.select("e"), "e", "left_semi")
-        hit = live.join(stays.select("h"), "h", "left_semi").select("e").distinct()
-        waits = live.join(todo.select(F.col("e").alias("h")), "h", "left_semi").select(
-            "e").distinct()
+    before, left_over = -1, todo.count()
+    while left_over:
+        near = partners.among(todo.select("e"), stays.select("h"), again=left_over == before)
+        hit = near.filter("stays").select("e").distinct()
+        waits = near.filter(~F.col("stays")).select("e").distinct()
         open_ = todo.join(hit, "e", "left_anti")
         head = open_.groupBy("slug").agg(F.min("e").alias("e"))
         born = durable(head.join(waits, "e", "left_anti").select("slug", F.col("e").alias("h")))
@@ -316,13 +322,16 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
         rest = todo.join(born.select("slug"), "slug", "left_anti").join(
             head.select("slug", F.col("e").alias("_first")), "slug", "left")
         todo = durable(rest.filter(F.col("e") >= F.col("_first")).select("slug", "e"))
+        before, left_over = left_over, todo.count()
     made = stays.filter(F.col("slug").isNotNull())
     born_at = made.select("slug", F.col("h").alias("_born"))
     rows = (fresh.join(reps.select("slug", "body", F.col("ord").alias("e")), ["slug", "body"])
             .crossJoin(F.broadcast(base)).withColumn("_at", F.col("_base") + F.col("seq"))
             .join(born_at, "slug", "left")
             .withColumn("_own", F.coalesce(F.col("_at") >= F.col("_born"), F.lit(False))))
-    options = near.join(stays.select("h"), "h", "left_semi")
+    found = similar(asking, there.join(stays.select(F.col("h").alias("ord")), "ord", "left_semi"), dim, threshold, same_table=True)
+    options = found.join(reps.select(F.col("id").alias("left_id"), F.col("ord").alias("e")), "left_id").select(
+        "e", F.col("right_ord").alias("h"), F.col("right_id").alias("h_id"), "sim")
     nearest_one = (salted_join(rows.filter(~F.col("_own")).select("seq", "_at", "e"), options,
                                "e", "seq").filter(F.col("h") < F.col("_at"))
                    .groupBy("seq").agg(F.max_by("h_id", F.struct("sim", -F.col("h")))
@@ -335,12 +344,15 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
         F.coalesce("_target", "slug").alias("id")))
     parts = assigned.filter(F.length("body") > 0).groupBy("id", "body").agg(
         F.min("seq").alias("seq"))
+    seeds = skills.join(parts.select("id").distinct(), "id", "left_semi").select(
+        "id", F.lit(-1).cast("long").alias("seq"), F.coalesce("body", F.lit("")).alias("body"))
+    kept = uncontained(seeds.filter(F.length("body") > 0).unionByName(parts.select("id", "seq", "body")))
     return {
         "nodes": reps.join(made.select(F.col("h").alias("ord")), "ord", "left_semi").select(
             F.col("slug").alias("id"), "name", F.col("name").alias("description"), "body",
             F.lit("candidate").alias("status"), "ord"),
         "assigned": assigned.select("seq", "id", "task_id", "task_type"),
-        "bodies": parts,
+        "bodies": kept.filter("seq >= 0").select("id", "body", "seq"),
         "types": assigned.filter(F.length("task_type") > 0).groupBy("id", "task_type").agg(
             F.min("seq").alias("seq")),
         "evidence": assigned.filter(F.length("task_id") > 0).groupBy("id", "task_id").agg(
@@ -348,6 +360,62 @@ def absorb_edits(edits: DataFrame, skills: DataFrame, threshold: float = 0.82,
     }
 
 
+def grown(absorbed: dict[str, DataFrame], skills: DataFrame) -> dict[str, DataFrame]:
+    """Records after ``absorb_edits``, without their text in one value: ``records(id, ord, name, description, status, body_len,
+    n_types)``, ``parts(id, seq, body)`` from the text at the start (seq -1) on, and ``types(id, task_type, n)`` in order of
+    arrival. ``skills`` may have ``task_types``, which come first."""
+    base = skills.select("id", "ord", "name", "description", "status").unionByName(
+        absorbed["nodes"].select("id", "ord", "name", "description", "status"))
+    parts = skills.filter(F.length("body") > 0).select("id", F.lit(-1).cast("long").alias("seq"), "body").unionByName(
+        absorbed["bodies"].select("id", "seq", "body"))
+    size = parts.groupBy("id").agg((F.sum(F.length("body") + 2) - 2).alias("body_len"))
+    types = absorbed["types"].select("id", "task_type", "seq")
+    if "task_types" in skills.columns:
+        old = skills.select("id", F.posexplode("task_types").alias("_p", "task_type")).select(
+            "id", "task_type", (F.col("_p") - (1 << 31)).cast("long").alias("seq"))
+        types = old.unionByName(types).groupBy("id", "task_type").agg(F.min("seq").alias("seq"))
+    ranked = range_rank(types, [F.col("id"), F.col("seq"), F.col("task_type")], "_at")
+    heads = ranked.groupBy("id").agg(F.min("_at").alias("_from"), F.count("*").alias("n_types"))
+    types = durable(ranked.join(heads, "id").select("id", "task_type", (F.col("_at") - F.col("_from")).alias("n"), "n_types"))
+    records = base.join(size, "id", "left").join(types.select("id", "n_types").distinct(), "id", "left").select(
+        *base.columns, F.coalesce("body_len", F.lit(0)).alias("body_len"), F.coalesce("n_types", F.lit(0)).alias("n_types"))
+    return {"records": records, "parts": parts, "types": types.select("id", "task_type", "n")}
+
+
+def absorb_patches(edits: DataFrame, skills: DataFrame, step: int, threshold: float = 0.82, dim: int = 256,
+                   max_tokens: int = 600, min_types: int = 3) -> dict[str, DataFrame]:
+    """``absorb_edits``, then the split of every record that has become large and serves several task types.
+
+    One child per task type, in order of arrival, has the paragraph of that number of the record's text (else the first, else
+    the description). Adds to the result of ``absorb_edits`` what ``split`` returns, as ``children``, ``parents``, ``edges`` and
+    ``rules``, and ``child_evidence(id, task_id)``: children have their parent's evidence.
+    """
+    out = {k: durable(v) for k, v in absorb_edits(edits, skills, threshold, dim).items()}
+    now = grown(out, skills)
+    records = durable(now["records"])
+    large = records.filter((F.col("status") != "retired") & (F.floor(F.col("body_len") / 4) >= max_tokens)
+                           & (F.col("n_types") >= max(min_types, 2)))
+    kids = large.join(now["types"], "id")
+    # paragraphs are numbered over all parts of a record; only as many as it has task types are looked at
+    pieces = now["parts"].join(large.select("id", "n_types"), "id").withColumn("_p", paragraphs("body"))
+    numbered = prefix(pieces, ["id"], "seq", {"_from": ("sum", F.size("_p").cast("long"))}).filter(
+        F.col("_from") < F.col("n_types"))
+    each = numbered.select("id", "_from", F.posexplode("_p").alias("_i", "paragraph")).select(
+        "id", (F.col("_from") + F.col("_i")).alias("n"), "paragraph")
+    each = durable(each)
+    lead = each.filter("n = 0").select("id", F.col("paragraph").alias("_lead"))
+    named = F.concat("name", F.lit(" for "), "task_type")
+    children = kids.join(each, ["id", "n"], "left").join(lead, "id", "left").select(
+        F.col("id").alias("parent"), F.col("n").alias("child_no"), F.col("task_type").alias("child_type"),
+        slugify(named).alias("id"), named.alias("name"),
+        F.concat("name", F.lit(" specialised for "), "task_type", F.lit(" tasks")).alias("description"),
+        F.coalesce("paragraph", "_lead", "description").alias("body"))
+    cut = split(records, durable(children), step)
+    evidence = cut["children"].select("id", "parent").join(
+        out["evidence"].select(F.col("id").alias("parent"), "task_id"), "parent").select("id", "task_id")
+    return {**out, **cut, "child_evidence": evidence}
+
+
 # ---------------------------------------------------------------------------------- links
 def latest_edges(edges: DataFrame) -> DataFrame:
     """One edge per (layer, src, dst): the one with the highest ``seq``."""

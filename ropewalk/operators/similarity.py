@@ -23,6 +23,7 @@ from ..session import durable
 from .ordered import range_rank
 
 TILE = 2048
+PLAIN = 256     # pairs of tiles up to which all are formed: ordering the vectors would cost more
 SAMPLE = 256    # rows the pivots are chosen from
 PIVOTS = 8
 GROUP = 64      # tiles of a group; groups are compared before tiles
@@ -134,9 +135,11 @@ def similar(left: DataFrame, right: DataFrame, dim: int, threshold: float | None
     pairs = None
     if threshold is not None and threshold > 0:
         left, right = durable(left), durable(right)
-        pivots = _pivots(right, dim) if max(left.count(), right.count()) > tile else np.zeros((0, dim))
+        ln, rn = (-(-df.count() // tile) for df in (left, right))
+        # a side of one tile reads the other side once anyway
+        pivots = _pivots(right, dim) if ln * rn > PLAIN and min(ln, rn) > 1 else np.zeros((0, dim))
         pivots = pivots[np.abs(pivots).sum(axis=1) > 0]
-        if len(pivots):  # else one tile meets one tile
+        if len(pivots):
             sample = _matrix(left.orderBy(F.xxhash64("id"), "ord").limit(SAMPLE).toPandas(), dim)  # at most SAMPLE rows
             cuts = np.median(np.arccos(np.clip(sample @ pivots.T, -1, 1)), axis=0) if len(sample) else np.zeros(len(pivots))
             lt, rt = (_close_tiles(df, pivots, cuts, dim, tile) for df in (left, right))

@@ -33,7 +33,8 @@ def direct(data, threshold, earlier):
 
 
 @pytest.mark.parametrize("earlier", [True, False])
-def test_skipped_tiles_hold_no_pair(make, earlier):
+def test_skipped_tiles_hold_no_pair(make, monkeypatch, earlier):
+    monkeypatch.setattr(similarity, "PLAIN", 0)
     data = clusters(1, 40, 12)
     df = make(data, VEC)
     got = similarity.similar(df, df, 16, 0.9, earlier_only=earlier, same_table=True, tile=16)
@@ -59,7 +60,8 @@ def test_tile_pairs_grow_with_the_rows_not_their_square(make, monkeypatch):
     assert met[2] < 0.35 * (80 ** 2) and met[2] / met[0] < 11  # all pairs would be 6,400 and 16 times as many
 
 
-def test_first_partners_and_best(make):
+def test_first_partners_and_best(make, monkeypatch):
+    monkeypatch.setattr(similarity, "PLAIN", 0)
     data = clusters(3, 3, 30)
     df = make(data, VEC)
     got = {}
@@ -89,6 +91,7 @@ def greedy(data, threshold):
 def test_folding_with_few_partners(make, monkeypatch, partners):
     monkeypatch.setattr(curation, "PARTNERS", partners)
     monkeypatch.setattr(similarity, "TILE", 32)
+    monkeypatch.setattr(similarity, "PLAIN", 0)
     data = clusters(4, 6, 20, noise=0.45)
     data += [(1000 + n, len(data) + n, data[n * 7][2]) for n in range(12)]  # later copies
     got = curation.fold_assignments(make(data, VEC), make([], VEC), 0.85, 16)
@@ -96,7 +99,7 @@ def test_folding_with_few_partners(make, monkeypatch, partners):
 
 
 def test_a_large_family_costs_its_size(make, monkeypatch):
-    """5,000 near copies: a row or eight each, not 12 million pairs."""
+    """5,000 near copies: a few rows each, not 12 million pairs."""
     data = clusters(5, 1, 5000, dim=8, noise=0.02)
     seen = []
     ask = curation.EarlierPartners._ask
@@ -108,4 +111,4 @@ def test_a_large_family_costs_its_size(make, monkeypatch):
     monkeypatch.setattr(curation.EarlierPartners, "_ask", counted)
     got = curation.fold_assignments(make(data, VEC), make([], VEC), 0.9, 8)
     assert got.groupBy("action").count().orderBy("action").collect()[0][:] == ("insert", 1) and got.count() == 5000
-    assert sum(seen) <= 8 * 5000
+    assert sum(seen) <= curation.PARTNERS * 5000
