@@ -129,6 +129,12 @@ def turns_of_records(df: DataFrame, record: str, key: str, layouts: tuple[Layout
         F.col("_t.text").alias("text"))
 
 
+def unmapped(df: DataFrame, record: str, key: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The records that no layout fits, ``key`` and ``record`` as they came: invalid JSON and unknown sets of fields."""
+    value = F.try_parse_json(F.col(record).cast("string"))
+    return df.filter(F.coalesce(layout_of(value, layouts), F.lit("unmapped")) == "unmapped").select(key, record)
+
+
 def turns_of_rows(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
                   text: str = "text", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Rows that are one turn each as ``key, layout, turn, role, text``; the row's own fingerprint over the
@@ -148,7 +154,8 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, key: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: ``formatted`` and ``loss_mask``, spans of code points (start, length)."""
+    """One row per conversation: ``formatted`` and ``loss_mask``, spans of code points (start, length). Records that no layout
+    fits have no turns to format; ``unmapped`` gives them back."""
     head = F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n"))
     body = escape(F.col("text"))
     rows = turns.filter(F.col("layout") != "unmapped").select(

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ropewalk.session import durable
 
 from . import flat, graph
+from .columns import sheltered
 
 SLOTS = 1 << 20      # counters of the shingle sketch: 4 MB whatever the input
 WORDS = 1 << 18      # counters of the word sketch: 1 MB
@@ -328,7 +329,9 @@ def named(each: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id (if ids repeat, one text of it).
-    Documents without words stay. A component without any id keeps one of its texts."""
+    Documents without words stay. A component without any id keeps one of its texts. Other columns pass through, whatever
+    their names."""
+    docs, back = sheltered(docs, ("doc_id", "text"))
     found = components_of(docs, k, percent)
     chosen = found.filter("n_shingles > 0").groupBy("root").agg(
         F.first("component_id").alias("_id"),
@@ -341,7 +344,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = named_rows(docs, k)
     kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_s1"))
                      & (F.col("_k2") == F.col("_s2")))
-    return kept.dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns)
+    return back(kept.dropDuplicates(["doc_id", "_k1", "_k2"]))
 
 
 def named_rows(docs: DataFrame, k: int) -> DataFrame:

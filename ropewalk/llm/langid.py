@@ -313,11 +313,13 @@ def predict(docs: DataFrame, model: Model | Tables | None, key: str = "doc_id")
 
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every whole text; learns from the rows of the training folds."""
-    fold = training_fold()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    fold = training_fold()
     model = train(rows.filter(fold != 1))
-    got = durable(predict(rows, model))
-    stats = got.filter((training_fold() != 1) & F.col("best").isNotNull()).groupBy("best").agg(
+    # the label rides along for the calibration only; no prediction reads it
+    keyed = rows.select(F.struct("doc_id", "lang").alias("_row"), "text")
+    got = durable(predict(keyed, model, "_row").select("_row.doc_id", "_row.lang", "best", "entropy", "share"))
+    stats = got.filter((fold != 1) & (F.col("best") == F.col("lang"))).groupBy("best").agg(
         F.avg("entropy").alias("_mean"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("_dev"))
     z = (F.col("entropy") - F.col("_mean")) / F.greatest("_dev", F.lit(0.02))
     known = F.col("best").isNotNull()

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ropewalk.operators.ordered import range_rank
 from ropewalk.session import durable
 
+from .columns import sheltered
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
@@ -147,14 +149,14 @@ def copies(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = W
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed table: every row of ``docs`` as often as its copies say."""
+    """The mixed table: every row of ``docs`` as often as its copies say; other columns pass through, whatever their names."""
+    docs, back = sheltered(docs, ("doc_id", "source", "text"))
     plan = copies(docs, **how).filter("copies > 0").select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(ITEM)], F.col("copies").alias("_copies"))
     keyed = docs.withColumn("_kh", F.xxhash64("text"))
     joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_k0")) & F.col("source").eqNullSafe(F.col("_k1"))
                         & (F.col("_kh") == F.col("_k2")))
-    return joined.withColumn(
-        "_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return back(joined.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 def report(docs: DataFrame) -> DataFrame:

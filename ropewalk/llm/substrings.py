@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ropewalk.session import durable
 
 from . import flat, fmindex, graph
+from .columns import sheltered
 
 WIDTH = 50
 GRAM = 8        # words of an anchor
@@ -231,7 +232,9 @@ def intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def cleaned(docs: DataFrame, width: int = WIDTH, rejoin: bool = True) -> DataFrame:
     """All columns of ``docs`` with ``text`` reduced to the kept words, joined by one space, and ``n_words``,
-    ``n_removed``. A text that loses nothing is given as its words too, or as it was without ``rejoin``."""
+    ``n_removed``, in place of columns of these two names; others pass through, whatever their names. A text that loses nothing
+    is given as its words too, or as it was without ``rejoin``."""
+    docs, back = sheltered(docs.drop("n_words", "n_removed"), ("doc_id", "text"))
     gone = durable(intervals(docs, width).groupBy("doc_id", "th").agg(
         F.collect_set(F.struct("from", "to")).alias("_gone")).withColumnsRenamed({"doc_id": "_id", "th": "_th"}))
     keyed = docs.withColumn("_own", F.xxhash64("text")).join(
@@ -263,7 +266,7 @@ def cleaned(docs: DataFrame, width: int = WIDTH, rejoin: bool = True) -> DataFra
                 cols |= {"text": text, "n_words": pa.array(n), "n_removed": pa.array(n - counts)}
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    return plain.mapInArrow(run, schema)
+    return back(plain.mapInArrow(run, schema), "n_words", "n_removed")
 
 
 def joined(w: flat.Words, index: np.ndarray, counts: np.ndarray) -> pa.Array:

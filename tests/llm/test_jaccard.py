@@ -48,3 +48,10 @@ def test_components(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     real = [e for e in edges if e[0] != e[1]]
     assert got == roots({x for e in real for x in e}, real)
+
+
+def test_kept_rows_keep_columns_named_like_inner_ones(docs_of):
+    df = docs_of([(i, f"a b c d e f g {i // 2}", "en", "s") for i in range(6)]).selectExpr(
+        "*", "doc_id + 1 AS _k1", "doc_id + 2 AS _id", "doc_id + 3 AS _s1", "doc_id + 4 AS n_shingles")
+    got = jaccard.deduplicated(df).collect()
+    assert got and all((r._k1, r._id, r._s1, r.n_shingles) == tuple(r.doc_id + j for j in (1, 2, 3, 4)) for r in got)

@@ -80,3 +80,10 @@ def test_model_in_tables_equals_shipped_model(docs_of, sample, monkeypatch, ship
         got = sorted(map(key, langid.identify(d).collect()))
         assert [g[:4] for g in got] == [x[:4] for x in w]
         assert [g[4] for g in got] == pytest.approx([x[4] for x in w], abs=1e-3)
+
+
+def test_rows_without_a_label_teach_nothing(docs_of, sample):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in sample.filter("text IS NOT NULL").collect()]
+    more = [(10 ** 6 + i, " ".join(t.split()[::-1])[:400] + " zzz qqq", None, s) for i, t, _, s in rows[:60]]
+    score = lambda d: {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(d).collect() if r.doc_id < 10 ** 6}
+    assert score(docs_of(rows)) == score(docs_of(rows + more))

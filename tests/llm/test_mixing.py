@@ -77,3 +77,10 @@ def test_reruns_agree_and_blocks_meet_in_a_tree(docs_of):
 def test_empty(docs_of):
     assert mixing.report(docs_of(ODD).limit(0)).count() == 0
     assert mixing.mix(docs_of([(1, None, "en", "s"), (2, "", "en", "s")])).count() == 0
+
+
+def test_columns_named_like_inner_ones_pass_through(docs_of):
+    rows = [(i, "w " * (i % 7 + 1), "en", "s") for i in range(40)]
+    df = docs_of(rows).selectExpr("*", "doc_id * 2 AS _each", "doc_id * 3 AS _kh", "doc_id * 4 AS _copies", "'k' AS _k1")
+    got = mixing.mix(df).collect()
+    assert got and all((r._each, r._kh, r._copies, r._k1) == (2 * r.doc_id, 3 * r.doc_id, 4 * r.doc_id, "k") for r in got)

@@ -51,3 +51,15 @@ def test_index_matches_plain_search():
         assert got == {(i, j) for i, t in enumerate(texts) for j in range(len(t) - width + 1)
                        if any(own[k] < own[i] and any(u[m:m + width] == t[j:j + width] for m in range(len(u) - width + 1))
                               for k, u in enumerate(texts))}
+
+
+def test_columns_named_like_inner_ones(docs_of):
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = docs_of([(1, passage, "en", "s"), (2, "x " + passage, "en", "s")]).selectExpr(
+        "*", "doc_id * 5 AS n_removed", "doc_id * 6 AS _own", "doc_id * 7 AS _from", "doc_id * 8 AS _gone")
+    got = {r.doc_id: r for r in substrings.cleaned(df).collect()}
+    assert got[2].text == "x" and (got[2].n_words, got[2].n_removed) == (61, 60)
+    assert (got[2]._own, got[2]._from, got[2]._gone) == (12, 14, 16)
+    import corpus_pipeline
+    kept = {r.doc_id: r for r in corpus_pipeline.repeated_passages(df.sparkSession, df, "").collect()}
+    assert kept[2].text == "x" and (kept[2].n_words, kept[2].n_removed, kept[2].n_chars) == (8, 10, 1)
