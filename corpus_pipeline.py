@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ropewalk.llm import bpe, jaccard, mixing, quality, substrings
+from ropewalk.llm.columns import sheltered
 from ropewalk.session import durable
 
 
@@ -27,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word passages of earlier documents. A text that loses nothing stays as it is; one that
     loses all stays as an empty text."""
-    left = substrings.cleaned(docs, rejoin=False)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, back = sheltered(docs, ("doc_id", "text", "n_chars"))
+    left = substrings.cleaned(rows, rejoin=False)
+    return back(left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
