@@ -73,6 +73,22 @@ def s02(v):
         F.count("*").alias("n"), F.sum("n_visit").alias("visits")).crossJoin(F.broadcast(n))
 
 
+@check("s02_graph_versions", """--- SELECT 1 AS version, (SELECT count(*) FROM v_parts WHERE status <> 'retired') AS skills_total,
+    (SELECT count(*) FROM v_parts WHERE status = 'deployed') AS deployed, (SELECT count(*) FROM v_edges) AS capability_edges,
+    (SELECT count(*) FROM v_rules) AS governance_nodes, (SELECT max(id) FROM v_parts WHERE status <> 'retired') AS last_id""")
+def s02_versions(v):
+    """A second version over a first one: statistics and tables are the second's."""
+    path = scratch_path(v.spark, "tables")
+    rules = v.rules.select("id", "kind", "statement")
+    for skills in (v.parts, v.parts.filter("status <> 'retired'")):
+        sk.write_graph(skills, v.edges, rules, v.rules.select("id", "target"), path)
+    back = rd.read_graph_tables(v.spark, path)
+    last = back["skills"].agg(F.max("id").alias("last_id"))
+    return back["stats"].select(
+        F.col("version").cast("long").alias("version"), "skills_total", F.col("by_status")["deployed"].alias("deployed"),
+        "capability_edges", "governance_nodes").crossJoin(F.broadcast(last))  # one row
+
+
 def _chain_back(v):
     from ropewalk.operators import chains as ch
     nodes = ch.with_type_map(ch.chain_nodes(v.chain), ch.chain_task_types(v.chain)).select(

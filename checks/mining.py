@@ -21,6 +21,32 @@ def a02(v):
     return evaluation.nav_attribution(v.nav, v.nav_outcomes, v.nav_skills)
 
 
+@check("a02_nav_evidence", """h AS (SELECT instance, cursor AS src, success, min(pos) AS pos FROM v_nav WHERE action IN
+    ('locate', 'step_to') AND skill % 10 <> 9 GROUP BY 1, 2, 3)
+    --- SELECT src, 'trace_' || (5 + row_number() OVER (ORDER BY instance, pos) - 1) AS dst, instance AS task_id,
+    CASE WHEN success THEN 'fixed_by' ELSE 'caused_failure' END AS type FROM h""")
+def a02_evidence(v):
+    """A trace per run and visited record, behind the five there are, and its edge."""
+    out = evaluation.nav_evidence(v.nav, v.nav_outcomes, v.nav_skills, 5)
+    return out["edges"].join(out["traces"].select(F.col("id").alias("dst"), "task_id"), "dst").select(
+        "src", "dst", "task_id", "type")
+
+
+@check("a02_credited_records", """h AS (SELECT DISTINCT instance, cursor AS id, success FROM v_nav WHERE action IN
+    ('locate', 'step_to') AND skill % 10 <> 9),
+    n AS (SELECT id, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS bad FROM h GROUP BY 1),
+    sk AS (SELECT 'k' || skill AS id, max(step) AS last FROM v_inv GROUP BY 1)
+    --- SELECT sk.id, coalesce(ok, 0) AS success_count, coalesce(bad, 0) AS failure_count,
+    CASE WHEN n.id IS NULL THEN last ELSE 1000000000 END AS last_used_step FROM sk LEFT JOIN n ON n.id = sk.id""")
+def a02_credited(v):
+    """Counters and step of last use after attribution at step 10^9; records that no run visited stay as they were."""
+    zero = F.lit(0).cast("long")
+    skills = v.inv.groupBy(F.concat(F.lit("k"), "skill").alias("id")).agg(F.max("step").cast("long").alias("last_used_step")).select(
+        "id", zero.alias("success_count"), zero.alias("failure_count"), "last_used_step")
+    credit = evaluation.nav_attribution(v.nav, v.nav_outcomes, v.nav_skills, 1_000_000_000)
+    return evaluation.credited(skills, credit)
+
+
 @check("a03_coverage", """--- SELECT skill, count(DISTINCT task_type) AS coverage FROM v_inv GROUP BY 1""")
 def a03(v):
     return m.coverage(v.inv)

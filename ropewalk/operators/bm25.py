@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import ws_tokens
@@ -134,7 +135,7 @@ def _store(spark: SparkSession, path: str, docs: DataFrame, postings: DataFrame,
         F.first("segment").alias("segment")), path, "blocks", buckets)
     try:
         before = spark.read.parquet(f"{path}/versions").orderBy("version").collect()
-    except Exception:  # noqa: BLE001 - no versions yet
+    except AnalysisException:  # no versions yet
         before = []
     segments = [r.segment for r in before] + [segment]
     whole = spark.read.parquet(f"{path}/docs").filter(F.col("segment").isin(segments)).agg(
@@ -158,7 +159,7 @@ def _write_segment(spark: SparkSession, path: str, docs: DataFrame, cluster: lis
     try:
         number = spark.read.parquet(f"{path}/versions").count()
         buckets = _buckets(spark, path)
-    except Exception:  # noqa: BLE001 - the first segment
+    except AnalysisException:  # the first segment
         number = 0
     words = F.array_sort(ws_tokens("text"))
     rows = docs.select("id", "ord", words.alias("_t"), *[c.alias(f"_c{i}") for i, c in enumerate(cluster or [])])

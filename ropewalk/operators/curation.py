@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import (loaded_tokens, paragraphs, section_name, slugify,
@@ -84,6 +86,7 @@ def nearest(queries: DataFrame, nodes: DataFrame, threshold: float, dim: int = 2
 
 
 PARTNERS = 16  # earlier partners kept per record at a time
+LAST = 1 << 14  # records that one task settles, once no more are left
 
 
 class EarlierPartners:
@@ -129,13 +132,36 @@ class EarlierPartners:
         return self.pairs.join(todo.select("e"), "e", "left_semi").join(live, "h").select("e", "h", "stays")
 
 
+    def settled(self, todo: DataFrame, stays: DataFrame, again: bool) -> DataFrame:
+        """(e, stays) for the records of a small ``todo(e)`` that can be decided, one after the other in one task; the others
+        need to be asked again. At most ``LAST`` records with ``PARTNERS`` partners each."""
+        near = self.among(todo, stays, again)
+        rows = todo.join(near, "e", "left").join(self.more.withColumn("more", F.lit(True)), "e", "left").select(
+            "e", "h", F.coalesce("stays", F.lit(False)).alias("stays"), F.coalesce("more", F.lit(False)).alias("more"), F.lit(0).alias("_all"))
+
+        def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+            state: dict[int, bool | None] = {}
+            for e, own in pdf.sort_values("e", kind="stable").groupby("e"):
+                partners = [state.get(h) for h in own["h"].dropna().astype(int)]
+                if own["stays"].any() or True in partners:
+                    state[e] = False
+                elif None in partners or own["more"].iloc[0]:
+                    state[e] = None
+                else:
+                    state[e] = True
+            known = [(e, x) for e, x in state.items() if x is not None]
+            return pd.DataFrame({"e": np.array([e for e, _ in known], np.int64), "stays": np.array([x for _, x in known], bool)})
+
+        return rows.groupBy("_all").applyInPandas(decide, "e long, stays boolean")  # LAST records
+
+
 def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float = 0.80,
                      dim: int = 256) -> DataFrame:
     """Decide each fragment in ``ord`` order: fold into the most similar earlier record or insert.
 
     A fragment is folded as soon as any earlier record that stays (an existing node or an inserted
     fragment) reaches the threshold; it is inserted once every earlier similar fragment is known
-    to have been folded. Each round settles all fragments for which that is known. Similar pairs are never
+    to have been folded. Each round settles all fragments for which that is known, and the last ``LAST`` are settled in one task. Similar pairs are never
     listed in full: rounds work on the first few partners, and targets come from one search among the records that stay. Returns
     (id, ord, action, target, sim).
     """
@@ -150,6 +176,12 @@ def fold_assignments(fragments: DataFrame, nodes: DataFrame, threshold: float =
     stays = durable(heads.filter("_node").select(F.col("gid").alias("h")))
     before, left_over = -1, todo.count()
     while left_over:
+        if left_over <= LAST:
+            known = durable(partners.settled(todo, stays, again=left_over == before))
+            stays = durable(stays.unionByName(known.filter("stays").select(F.col("e").alias("h"))))
+            todo = durable(todo.join(known.select("e"), "e", "left_anti"))
+            before, left_over = left_over, todo.count()
+            continue
         near = partners.among(todo, stays, again=left_over == before)
         hit = near.filter("stays").select("e").distinct()
         waits = near.filter(~F.col("stays")).select("e").distinct()

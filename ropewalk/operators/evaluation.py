@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.parsing import rule_stats, rule_step, type_key
 from ..functions.scoring import success_rate, trials
 from ..functions.text import est_tokens, loaded_tokens, strip
-from .ordered import first_k, prefix, row_index
+from .ordered import first_k, prefix, range_rank, row_index
 
 
 # ---------------------------------------------------------------------------------- scoring
@@ -24,16 +24,32 @@ def score_on_split(results: DataFrame, split: DataFrame, missing: str = "exclude
 
 
 def attribute_routes(results: DataFrame, routes: DataFrame, ids: DataFrame,
-                     skills: DataFrame, count_visits: bool = False) -> DataFrame:
+                     skills: DataFrame, count_visits: bool = False, step: int | None = None) -> DataFrame:
     """Credit each routed record with the outcome of its task. Visits are only counted on
-    request, as attribution and the online loop differ in that."""
+    request, as attribution and the online loop differ in that. With the current ``step``, credited records were last used at it."""
     hits = (routes.join(ids.select("task_id"), "task_id", "left_semi")
             .join(results.select("task_id", "success"), "task_id")
             .join(skills.select("id"), "id", "left_semi"))
     out = hits.groupBy("id").agg(F.count_if("success").alias("success_add"),
                                  F.count_if(~F.col("success")).alias("failure_add"))
-    return out.withColumn("visit_add", F.col("success_add") + F.col("failure_add")
-                          if count_visits else F.lit(0).cast("long"))
+    return _used_at(out.withColumn("visit_add", F.col("success_add") + F.col("failure_add")
+                                   if count_visits else F.lit(0).cast("long")), step)
+
+
+def _used_at(credit: DataFrame, step: int | None) -> DataFrame:
+    return credit if step is None else credit.withColumn("last_used_step", F.lit(step).cast("long"))
+
+
+def credited(skills: DataFrame, credit: DataFrame) -> DataFrame:
+    """``skills`` with the counters of ``credit(id, success_add, failure_add, ...)`` added; ``visit_add`` and
+    ``last_used_step`` where the credit has them. Time never runs backwards."""
+    adds = {"success_count": "success_add", "failure_count": "failure_add", "n_visit": "visit_add"}
+    had = {c: a for c, a in adds.items() if a in credit.columns and c in skills.columns}
+    row = credit.select("id", *had.values(), *([F.col("last_used_step").alias("_step")] if "last_used_step" in credit.columns else []))
+    out = skills.join(row, "id", "left").withColumns({c: F.col(c) + F.coalesce(a, F.lit(0)) for c, a in had.items()})
+    if "_step" in out.columns:
+        out = out.withColumn("last_used_step", F.greatest("last_used_step", "_step"))  # null where not credited
+    return out.select(*skills.columns)
 
 
 def evidence_edges(traces: DataFrame, skills: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,15 +121,32 @@ def skill_listing(skills: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------- roll-ups
-def nav_attribution(nav: DataFrame, outcomes: DataFrame, skills: DataFrame) -> DataFrame:
+def nav_attribution(nav: DataFrame, outcomes: DataFrame, skills: DataFrame, step: int | None = None) -> DataFrame:
     """+1 success or failure per distinct visited record and run; ``nav(instance, action,
-    cursor)``, ``outcomes(instance, success)``."""
+    cursor)``, ``outcomes(instance, success)``. With the current ``step``, credited records were last used at it."""
     seen = (nav.filter(F.col("action").isin("locate", "step_to") & (F.length("cursor") > 0))
             .select("instance", F.col("cursor").alias("id")).distinct()
             .join(skills.select("id"), "id", "left_semi"))
-    return (seen.join(outcomes, "instance").groupBy("id")
-            .agg(F.count_if("success").alias("success_add"),
-                 F.count_if(~F.col("success")).alias("failure_add")))
+    return _used_at(seen.join(outcomes, "instance").groupBy("id")
+                    .agg(F.count_if("success").alias("success_add"),
+                         F.count_if(~F.col("success")).alias("failure_add")), step)
+
+
+def nav_evidence(nav: DataFrame, outcomes: DataFrame, skills: DataFrame, first: int = 0) -> dict[str, DataFrame]:
+    """One trace per run and visited record, in order of (instance, first visit), numbered from ``first`` (the traces there are
+    already): ``traces(id, task_id, task_type, success, used_skills)`` and ``edges(src, dst, type)``, fixed_by from the record to
+    the trace of a run that passed, caused_failure to that of one that failed. ``nav`` has a unique integer ``pos``."""
+    seen = (nav.filter(F.col("action").isin("locate", "step_to") & (F.length("cursor") > 0))
+            .groupBy("instance", F.col("cursor").alias("skill")).agg(F.min("pos").alias("_pos"))
+            .join(skills.select(F.col("id").alias("skill")), "skill", "left_semi").join(outcomes, "instance"))
+    at = range_rank(seen, [F.col("instance"), F.col("_pos")], "_n")
+    trace = F.concat(F.lit("trace_"), (F.col("_n") + first).cast("string"))
+    return {
+        "traces": at.select(trace.alias("id"), F.col("instance").alias("task_id"), F.lit("").alias("task_type"), "success",
+                            F.array("skill").alias("used_skills")),
+        "edges": at.select(F.col("skill").alias("src"), trace.alias("dst"),
+                           F.when(F.col("success"), "fixed_by").otherwise("caused_failure").alias("type")),
+    }
 
 
 def unique_visited(nav: DataFrame) -> DataFrame:
@@ -292,11 +325,11 @@ def attempt_evidence(attempts: DataFrame, max_retries: int = 2,
         fixed, "fixed_by").alias("evidence"))
 
 
-def attempt_counters(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("skill").agg(
+def attempt_counters(evidence: DataFrame, step: int | None = None) -> DataFrame:
+    return _used_at(evidence.groupBy("skill").agg(
         F.count_if("ok").alias("success_add"), F.count_if(~F.col("ok")).alias("failure_add"),
         F.count_if(F.col("evidence") == "fixed_by").alias("fixed_by"),
-        F.count_if(F.col("evidence") == "caused_failure").alias("caused_failure"))
+        F.count_if(F.col("evidence") == "caused_failure").alias("caused_failure")), step)
 
 
 def round_history(events: DataFrame, kinds: list[str]) -> DataFrame:

@@ -5,7 +5,9 @@ Every reader takes a path, a list of paths or a folder, fixes its schema, and re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.parsing import is_hard
 from ..functions.text import strip
@@ -65,9 +67,12 @@ def read_graph(spark: SparkSession, path, compat: bool = False) -> dict[str, Dat
 
 
 def read_graph_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The lossless Parquet form that ``sinks.write_graph`` makes."""
-    return {t: spark.read.parquet(f"{path}/{t}")
-            for t in ("skills", "edges", "rules", "rule_targets")}
+    """The last complete version that ``sinks.write_graph`` made, and its one-row ``stats``."""
+    last = spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).limit(1)
+    row = last.first()
+    tables = {t: spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/{row['folder']}/{t}")
+              for t, schema in row["schemas"].items()}
+    return {**tables, "stats": last.drop("folder", "schemas")}
 
 
 def read_chain_graph(spark: SparkSession, path) -> dict[str, DataFrame]:

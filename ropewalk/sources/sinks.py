@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scoring import success_rate
@@ -9,15 +12,46 @@ from ..operators.ordered import row_index
 from ..operators.routing import layer_of
 
 
+def graph_stats(skills: DataFrame, edges: DataFrame, rules: DataFrame, targets: DataFrame,
+                traces: DataFrame | None = None) -> DataFrame:
+    """One row: totals of the graph, records by status as a map."""
+    status = skills.groupBy("status").agg(F.count("*").alias("n"))
+    out = status.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("skills_total"),
+                     F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"))
+    for name, df in (("capability_edges", edges), ("trace_nodes", traces), ("governance_nodes", rules),
+                     ("governance_edges", targets)):
+        n = F.lit(0).cast("long").alias(name)
+        out = out.select("*", n) if df is None else out.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # one row
+    return out
+
+
 def write_graph(skills: DataFrame, edges: DataFrame, rules: DataFrame, targets: DataFrame,
-                path: str) -> None:
-    """Lossless Parquet tables; skills by status and edges by layer, the columns that get
-    filtered."""
-    skills.write.mode("overwrite").partitionBy("status").parquet(f"{path}/skills")
-    edges.withColumn("layer", layer_of("type")).write.mode("overwrite").partitionBy(
-        "layer").parquet(f"{path}/edges")
-    rules.write.mode("overwrite").parquet(f"{path}/rules")
-    targets.write.mode("overwrite").parquet(f"{path}/rule_targets")
+                path: str) -> int:
+    """Lossless Parquet tables as a new version; skills by status and edges by layer, the columns that get
+    filtered. Returns the version's number.
+
+    Tables go to a folder of their own, and the row in ``versions`` that names it, with the graph's statistics, is written last.
+    Readers take the last row, so a writer that is lost half way leaves the graph as it was, never tables of two versions.
+    Older folders stay until their owner removes them.
+    """
+    spark = skills.sparkSession
+    folder = f"graph-{uuid.uuid4().hex}"
+    tables = {"skills": (skills, ["status"]), "edges": (edges.withColumn("layer", layer_of("type")), ["layer"]),
+              "rules": (rules, []), "rule_targets": (targets, [])}
+    for name, (df, parts) in tables.items():
+        df.write.partitionBy(*parts).parquet(f"{path}/{folder}/{name}")
+    try:
+        number = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0] + 1
+    except AnalysisException:  # the first version
+        number = 0
+    # an empty table leaves no file to read a schema from
+    schemas = {name: df.schema.json() for name, (df, _) in tables.items()}
+    stored = [spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}") for name, (df, _) in tables.items()]
+    graph_stats(*stored).select(
+        F.lit(number).alias("version"), F.lit(folder).alias("folder"), "*",
+        F.create_map(*[F.lit(x) for pair in schemas.items() for x in pair]).alias("schemas")).coalesce(1).write.mode(
+        "append").parquet(f"{path}/versions")
+    return number
 
 
 def _shards(df: DataFrame, order: str, name: str, rows: int, value: Column) -> DataFrame:
@@ -34,10 +68,11 @@ def _shards(df: DataFrame, order: str, name: str, rows: int, value: Column) -> D
 
 def graph_documents(skills: DataFrame, edges: DataFrame, rules: DataFrame,
                     rows: int = 1000) -> DataFrame:
-    """(shard, value): graph documents of bounded size; together they are the graph.
+    """(shard, value): graph documents of at most ``rows`` records, edges and rules each; together they are the graph.
 
-    Each input has a unique integer ``ord``. One document for a small graph, more for a big one;
-    the reader takes a folder of them.
+    Each input has a unique integer ``ord``. Every document carries the statistics of the whole graph and the number of
+    documents as ``stats``, so a consumer of one of them knows what it lacks; the reader takes a folder of them. Raise ``rows``
+    for a graph that must be a single document.
     """
     def body(df):
         return F.struct(*[c for c in df.columns if c != "ord"])
@@ -46,8 +81,12 @@ def graph_documents(skills: DataFrame, edges: DataFrame, rules: DataFrame,
     e = _shards(edges, "ord", "capability_edges", rows, body(edges))
     r = _shards(rules, "ord", "governance", rows, body(rules))
     both = s.join(e, "shard", "full").join(r, "shard", "full")
-    return both.select("shard", F.to_json(F.struct("skills", "capability_edges", "governance"))
-                       .alias("value"))
+    targets = rules.select(F.explode("targets")) if "targets" in rules.columns else rules.limit(0)
+    most = F.greatest(*[F.col(c) for c in ("skills_total", "capability_edges", "governance_nodes")])
+    stats = graph_stats(skills, edges, rules, targets).select(F.struct(
+        "*", F.greatest(F.ceil(most / rows), F.lit(1)).cast("long").alias("documents")).alias("stats"))
+    return both.crossJoin(F.broadcast(stats)).select(  # one row
+        "shard", F.to_json(F.struct("skills", "capability_edges", "governance", "stats")).alias("value"))
 
 
 def write_documents(docs: DataFrame, path: str, key: str = "shard") -> None:

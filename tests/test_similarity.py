@@ -87,9 +87,10 @@ def greedy(data, threshold):
     return out
 
 
-@pytest.mark.parametrize("partners", [1, 2, 8])
-def test_folding_with_few_partners(make, monkeypatch, partners):
+@pytest.mark.parametrize("partners, last", [(1, 0), (2, 50), (8, 1000), (1, 1000)])
+def test_folding_with_few_partners(make, monkeypatch, partners, last):
     monkeypatch.setattr(curation, "PARTNERS", partners)
+    monkeypatch.setattr(curation, "LAST", last)
     monkeypatch.setattr(similarity, "TILE", 32)
     monkeypatch.setattr(similarity, "PLAIN", 0)
     data = clusters(4, 6, 20, noise=0.45)
