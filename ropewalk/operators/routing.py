@@ -16,7 +16,7 @@ from ..functions.text import loaded_tokens, vector_text
 from ..schema import EXEC_EDGES, GOVERNANCE_EDGES, TRACE_EDGES
 from ..session import durable
 from .bm25 import Bm25Index, Gain, block_search, bm25_scores
-from .ordered import first_k, row_index
+from .ordered import first_k, prefix, range_rank, row_index
 from .retrieval import bm25_search, pad_with_zero, topk_per_task, vector_scores, vector_search
 
 
@@ -261,7 +261,7 @@ def resolve_conflicts(activated: DataFrame, seeds: DataFrame, edges: DataFrame,
 
     For an edge src -> dst the loser is dst, unless dst is a seed and src is not, or dst has the
     higher success rate. An edge acts only while both ends are still there, so edges that touch
-    the same record are applied in (src, dst) order; an edge alone is decided at once.
+    the same record are applied in (src, dst) order.
     """
     rate = skills.select("id", success_rate().alias("_rate"))
     here = (activated.select("task_id", "id")
@@ -272,38 +272,70 @@ def resolve_conflicts(activated: DataFrame, seeds: DataFrame, edges: DataFrame,
                     F.col("_rate").alias("_ra"))
     b = here.select("task_id", F.col("id").alias("dst"), F.col("_seed").alias("_sb"),
                     F.col("_rate").alias("_rb"))
-    conflicts = edges.filter((F.col("type") == "conflicts_with")
-                             & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    conflicts = range_rank(edges.filter((F.col("type") == "conflicts_with") & (F.col("src") != F.col("dst")))
+                           .select("src", "dst").distinct(), [F.col("src"), F.col("dst")], "_n")
     live = a.join(conflicts, "src").join(b, ["task_id", "dst"])
     src_loses = (F.col("_sb") & ~F.col("_sa")) | (F.col("_rb") > F.col("_ra"))
     fights = durable(live.select(
-        "task_id", "src", "dst",
-        F.when(src_loses, F.col("src")).otherwise(F.col("dst")).alias("_loser")))
-    losers = _settle(fights)
-    return activated.join(losers.select("task_id", F.col("_loser").alias("id")),
-                          ["task_id", "id"], "left_anti")
+        "task_id", "src", "dst", "_n",
+        F.when(src_loses, F.col("src")).otherwise(F.col("dst")).alias("_loser")).distinct())
+    return activated.join(_settle(fights), ["task_id", "id"], "left_anti")
 
 
 def _settle(fights: DataFrame) -> DataFrame:
-    """Apply conflicts in (src, dst) order by rounds: an edge is decided once no undecided edge
-    of the same task that comes before it shares a record with it."""
-    lost, todo = fights.limit(0), fights
-    while not todo.isEmpty():
-        ends = todo.select("task_id", "src", "dst", "_loser",
-                           F.explode(F.array("src", "dst")).alias("_end"))
-        first = ends.groupBy("task_id", "_end").agg(F.min(F.struct("src", "dst")).alias("_f"))
-        ready = durable(
-            ends.join(first, ["task_id", "_end"])
-            .groupBy("task_id", "src", "dst", "_loser")
-            .agg(F.min((F.struct("src", "dst") == F.col("_f")).cast("int")).alias("_ok"))
-            .filter("_ok = 1").drop("_ok"))
-        lost = lost.unionByName(ready)
-        gone = ready.select("task_id", F.col("_loser").alias("_gone")).distinct()
-        todo = todo.join(ready, ["task_id", "src", "dst"], "left_anti")
-        for end in ("src", "dst"):
-            todo = todo.join(gone.withColumnRenamed("_gone", end), ["task_id", end], "left_anti")
-        todo = durable(todo.select("task_id", "src", "dst", "_loser"))
-    return lost
+    """(task_id, id) of the records that are gone once all conflicts were applied in the order ``_n``.
+
+    Let A(x, j) say that x is still there after the j-th conflict it would lose. With y the other end of that
+    conflict and k the number of conflicts that y would lose before it, A(x, j) = A(x, j - 1) and not A(y, k), and A(x, 0) is
+    true. So there is one condition of two inputs per conflict, however many conflicts meet in a record. A round puts known
+    inputs in and lets an input whose condition has one input left point past it, so chains halve with
+    each round; a round reads only what the one before left open.
+    """
+    ends = fights.select("task_id", "_n", "_loser", F.explode(F.array("src", "dst")).alias("_end"))
+    ends = ends.withColumn("_loses", F.col("_end") == F.col("_loser"))
+    placed = prefix(ends, ["task_id", "_end"], "_n", {"_k": ("sum", F.col("_loses").cast("long"))},
+                    levels=1, ranked=True)
+    here = F.struct(F.col("_end").alias("id"), F.col("_k").alias("at"))
+    both = placed.groupBy("task_id", "_n").agg(F.max(F.when(F.col("_loses"), here)).alias("_x"),
+                                               F.max(F.when(~F.col("_loses"), here)).alias("_y"))
+
+    def literal(end: str, no: bool) -> Column:
+        return F.struct(F.col(f"{end}.id").alias("id"), F.col(f"{end}.at").alias("at"), F.lit(no).alias("no"))
+
+    own = F.when(F.col("_x.at") > 0, F.array(literal("_x", False))).otherwise(F.array())
+    state = durable(both.select(
+        "task_id", F.col("_x.id").alias("id"), (F.col("_x.at") + 1).alias("at"),
+        F.concat(own, F.array(literal("_y", True))).alias("ins"),
+        F.when(F.col("_y.at") == 0, F.lit(False)).alias("value")))
+    lost = []
+    while True:
+        lost.append(state.filter(~F.col("value")).select("task_id", "id"))
+        todo = state.filter(F.col("value").isNull())
+        if todo.isEmpty():
+            return reduce(DataFrame.union, lost).distinct()
+        state = durable(_settle_round(state, todo))
+
+
+def _settle_round(state: DataFrame, todo: DataFrame) -> DataFrame:
+    on = ["task_id", "_i", "_a"]
+    known = state.select("task_id", F.col("id").alias("_i"), F.col("at").alias("_a"), F.col("value").alias("_v"),
+                         F.when(F.col("value").isNull() & (F.size("ins") == 1), F.get("ins", F.lit(0))).alias("_m"))
+    asked = todo.select("task_id", "id", "at", F.explode("ins").alias("_l")).select(
+        "task_id", "id", "at", F.col("_l.id").alias("_i"), F.col("_l.at").alias("_a"), F.col("_l.no").alias("_no"))
+    past = F.col("_m").isNotNull()
+    moved = asked.join(known, on).select(
+        "task_id", "id", "at", F.when(past, F.col("_m.id")).otherwise(F.col("_i")).alias("_i"),
+        F.when(past, F.col("_m.at")).otherwise(F.col("_a")).alias("_a"),
+        F.when(past, F.col("_no") != F.col("_m.no")).otherwise(F.col("_no")).alias("_no"))
+    # what was pointed to may be known by now, so no input is left that the next round would not find
+    met = moved.join(known.drop("_m"), on).withColumn("_is", F.col("_v") != F.col("_no"))
+    left = F.collect_set(F.when(F.col("_is").isNull(), F.struct(
+        F.col("_i").alias("id"), F.col("_a").alias("at"), F.col("_no").alias("no"))))
+    opposed = (F.size("ins") == 2) & (F.get("ins", F.lit(0))["id"] == F.get("ins", F.lit(1))["id"]) & (
+        F.get("ins", F.lit(0))["at"] == F.get("ins", F.lit(1))["at"])
+    return met.groupBy("task_id", "id", "at").agg(left.alias("ins"), F.bool_and("_is").alias("_all")).select(
+        "task_id", "id", "at", "ins",
+        F.when(~F.col("_all") | opposed, False).when(F.size("ins") == 0, True).alias("value"))
 
 
 def route_status_filter(activated: DataFrame, skills: DataFrame) -> DataFrame:

@@ -98,6 +98,39 @@ def test_conflict_chains_follow_edge_order(make):
         assert {x[0] for x in rows(got, "id")} == want, (trial, es, seeds, rates)
 
 
+def test_conflicts_of_many_tasks_and_hubs(make):
+    rnd = random.Random(11)
+    names = [f"n{i:02d}" for i in range(24)]
+    rates = {c: rnd.randint(0, 4) for c in names}
+    es = {tuple(rnd.sample(names, 2)) for _ in range(90)}
+    es |= {("n00", c) for c in names[1:]} | {(c, "n23") for c in names[:-1]} | {("n05", "n05")}
+    sk = make([skill(c, i, "x", ok=rates[c], bad=10 - rates[c]) for i, c in enumerate(names)], SKILL)
+    e = edges(make, [(s, d, "conflicts_with") for s, d in es])
+    active = {t: rnd.sample(names, rnd.randint(2, 24)) for t in range(40)}
+    seeds = {t: set(rnd.sample(a, min(len(a), 3))) for t, a in active.items()}
+    pairs = "task_id long, id string"
+    got = routing.resolve_conflicts(make([(t, c) for t, a in active.items() for c in a], pairs),
+                                    make([(t, c) for t, a in seeds.items() for c in a], pairs), e, sk)
+    want = []
+    for t, a in active.items():
+        here = {(s, d) for s, d in es if s != d and s in a and d in a}
+        want += [(t, c) for c in brute.settle(a, seeds[t], rates, here)]
+    assert rows(got, "task_id", "id") == sorted(want)
+
+
+def test_long_chain_of_conflicts_settles_in_few_rounds(make, monkeypatch):
+    n, rounds = 10_000, []
+    step = routing._settle_round
+    monkeypatch.setattr(routing, "_settle_round", lambda *a: rounds.append(1) or step(*a))
+    data = make([(i, 0, 0) for i in range(n)], "id long, success_count long, failure_count long")
+    e = edges(make, []).select(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), "type").union(
+        make([(i, i + 1, "conflicts_with") for i in range(n - 1)], "src long, dst long, type string"))
+    act = data.select(F.lit("t").alias("task_id"), "id")
+    got = {i for _, i in rows(routing.resolve_conflicts(act, act.limit(0), e, data), "task_id", "id")}
+    assert got == set(range(0, n, 2))
+    assert len(rounds) < 20
+
+
 def test_type_boost_reaches_unmatched_records(make):
     sk = make([skill("a", 0, "common word", types=["sheet"]), skill("b", 1, "other", types=["cell"]),
                skill("c", 2, "thing", types=["all"]), skill("d", 3, "more", types=["cell"])], SKILL)
