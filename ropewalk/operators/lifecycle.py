@@ -129,10 +129,12 @@ def deploy_cap(skills: DataFrame, cap: int, step: int,
             .filter(F.col("_at") < F.col("_over")).select("id", "utility"))
 
 
-def promotable(skills: DataFrame, step: int, cfg: HeatConfig = HeatConfig(),
+def promotable(skills: DataFrame, step: int | Column, cfg: HeatConfig = HeatConfig(),
                deploy_heat: float = 2.0) -> DataFrame:
+    """Validated records that are hot enough, or untried, at ``step`` (a number, or a column of the rows)."""
+    now = step if isinstance(step, Column) else F.lit(step)
     return skills.filter((F.col("status") == "validated")
-                         & ((skill_heat(F.lit(step), cfg) >= deploy_heat) | (trials() == 0)))
+                         & ((skill_heat(now, cfg) >= deploy_heat) | (trials() == 0)))
 
 
 def promote(skills: DataFrame, step: int, cfg: HeatConfig = HeatConfig(),

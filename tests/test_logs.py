@@ -1,4 +1,6 @@
+import datetime
 import json
+import math
 import random
 
 import pytest
@@ -209,6 +211,49 @@ def test_stream_lifecycle_steps_once_per_tick(spark, make, tmp_path, files):
         assert got == [(len(mine), sum(i % 3 == 0 for i in mine), mine[-1])]
 
 
+@pytest.mark.parametrize("every", [4, 7])
+def test_promotions_equal_a_run_cut_by_cut(spark, make, tmp_path, every):
+    rnd = random.Random(every)
+    log = [(rnd.choice(["a", "a", "b", "c", "d", None]), rnd.random() < 0.5, i) for i in range(90)]
+    log += [("late", True, 90 + i) for i in range(6)]
+    recs = [("a", "validated", 0), ("b", "validated", 2), ("c", "candidate", 9), ("d", "validated", 30), ("late", "validated", 0),
+            ("idle", "validated", 0), ("never", "retired", 0)]
+    live = {}
+    for now in range(every, len(log) + 1, every):
+        for i, status, cover in recs:
+            mine = [x for x in log[:now] if x[0] == i]
+            last = mine[-1][2] if mine else -1
+            heat = len(mine) + cover + (math.exp(-max(0, now - last) / 50) if mine else 0)
+            if status == "validated" and (heat >= 8 or not mine):
+                live.setdefault(i, (now, len(mine), sum(x[1] for x in mine), sum(not x[1] for x in mine), last))
+    schema = "skill string, success boolean, step long"
+    for lo, hi in ((0, 3), (3, 40), (40, 96)):  # batches that fill no cut, or many
+        make(log[lo:hi], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    skills = make(recs, "id string, status string, coverage long")
+    q = (jobs.stream_promotions(s, lambda: skills, str(tmp_path / "out"), every=every, deploy_heat=8.0)
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "promotions")).drop("batch")
+    assert rows(got) == sorted((i, *x) for i, x in live.items())
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, make, tmp_path):
+    schema = "ts timestamp_ntz, success boolean"
+    day = datetime.datetime(2024, 5, 1, 12)
+    for back in (0, 0, 2):  # the last arrival is two days behind
+        at = day - datetime.timedelta(days=back)
+        make([(at, True), (at, False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    s = s.withColumn("ts", F.col("ts").cast("timestamp"))
+    for late, days in (("1 hour", 1), ("3 days", 2)):
+        name = f"late_{days}"
+        q = (jobs.stream_success_windows(s, late=late).writeStream.outputMode("update").format("memory").queryName(name)
+             .option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert spark.table(name).select("start").distinct().count() == days
+
+
 def test_sample_is_stable(make):
     df = make([(f"i{i}",) for i in range(50)], "id string")
     a, b = (ev.sample_instances(df.repartition(n), 7, 10) for n in (1, 6))
