@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ropewalk.operators import curation as c
+from ropewalk.session import scratch_path
+from ropewalk.sources import readers, sinks
 
 from .registry import check
 
@@ -337,6 +339,19 @@ def j16(v):
     return c.link(first, later, v.parts.filter("status <> 'retired'"))
 
 
+@check("j16_link_stored", _E + """, u AS (SELECT * FROM one UNION ALL SELECT t.* FROM two t JOIN v_parts a ON a.id = t.src
+    JOIN v_parts b ON b.id = t.dst WHERE a.status <> 'retired' AND b.status <> 'retired')
+    --- SELECT 'capability' AS layer, src, dst, max_by(type, seq) AS type, max_by(weight, seq) AS weight,
+    max(seq) AS seq FROM u GROUP BY 2, 3""")
+def j16_stored(v):
+    first, later = _seq_edges(v)
+    live = v.parts.filter("status <> 'retired'")
+    path = scratch_path(v.spark, "edges")
+    sinks.store_buckets(c.latest_edges(first), path, ["src", "dst"], 64)
+    sinks.rewrite_buckets(later, path, lambda old, new: c.link(old, new, live))
+    return readers.read_buckets(v.spark, path)
+
+
 @check("j16_declared_links", """--- SELECT DISTINCT src AS id, CASE type WHEN 'depends_on' THEN 'dependencies'
     ELSE 'conflicts' END AS field, dst AS value FROM v_edges WHERE type IN ('depends_on', 'conflicts_with')""")
 def j16_lists(v):
@@ -363,6 +378,19 @@ def j17(v):
     return c.insert(have, new.unionByName(again))[0]
 
 
+@check("j17_insert_stored", """n AS (SELECT source AS id, min(doc_id) AS ord FROM documents GROUP BY 1)
+    --- SELECT id, ord, 'document' AS kind FROM n UNION ALL SELECT DISTINCT 'part ' || p_name, 0, 'part' FROM part""")
+def j17_stored(v):
+    have = v.table("part").select(F.concat(F.lit("part "), "p_name").alias("id"),
+                                  F.lit(0).cast("long").alias("ord"), F.lit("part").alias("kind")).distinct()
+    new = v.table("documents").select(F.col("source").alias("id"), F.col("doc_id").alias("ord"),
+                                      F.lit("document").alias("kind"))
+    path = scratch_path(v.spark, "inserted")
+    sinks.store_buckets(have, path, ["id"], 64)
+    sinks.rewrite_buckets(new, path, lambda old, rows: c.insert(old, rows)[0])
+    return readers.read_buckets(v.spark, path)
+
+
 @check("j17_insert_refused", """--- SELECT source AS id, doc_id AS ord FROM documents QUALIFY row_number() OVER
     (PARTITION BY source ORDER BY doc_id) > 1""")
 def j17_refused(v):

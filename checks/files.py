@@ -284,3 +284,13 @@ def s13(v):
 def s14(v):
     r = part_routes(v)
     return sk.render_route_text(r.tasks, r.bodies(), "Skills routed for this task", "AGENTS")
+
+
+@check("s14_route_text_parts", """b AS (SELECT task_id, string_agg(body, chr(10) || chr(10) ORDER BY id) AS t FROM v_route JOIN v_parts USING (id)
+    GROUP BY 1), w AS (SELECT DISTINCT s.task_id, coalesce('# AGENTS' || chr(10) || chr(10) || '## Skills routed for this task' || chr(10)
+    || chr(10) || t || chr(10), '') AS t FROM v_seeds s LEFT JOIN b ON b.task_id = s.task_id),
+    n AS (SELECT task_id, t, unnest(range(greatest(1, (length(t) + 255) // 256))) AS part FROM w)
+    --- SELECT task_id, part, substr(t, CAST(part * 256 + 1 AS BIGINT), 256) AS text FROM n""")
+def s14_parts(v):
+    r = part_routes(v)
+    return sk.render_route_parts(r.tasks, r.bodies(), "Skills routed for this task", "AGENTS", limit=1024)

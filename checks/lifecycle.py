@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ropewalk.operators import lifecycle as lc
 from ropewalk.operators import routing
 from ropewalk.plans.curate import lifecycle_step, validate_round
+from ropewalk.session import scratch_path
+from ropewalk.sources import readers, sinks
 
 from .registry import check
 
@@ -119,6 +121,20 @@ def p12_missing(v):
     return lc.update_fields(v.parts, c)[1]
 
 
+@check("p12_update_stored", """c AS (SELECT s_suppkey * 20 AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0
+    THEN 'from ' || s_nationkey END AS body FROM supplier)
+    --- SELECT p.id, coalesce(c.name, p.name) AS name, coalesce(c.body, p.body) AS body, p.status
+    FROM v_parts p LEFT JOIN c ON c.id = p.id""")
+def p12_stored(v):
+    c = v.table("supplier").select(
+        (F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("name"),
+        F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("from "), "s_nationkey")).alias("body"))
+    path = scratch_path(v.spark, "parts")
+    sinks.store_buckets(v.parts.select("id", "name", "body", "status"), path, ["id"], 64)
+    sinks.rewrite_buckets(c, path, lambda old, new: lc.update_fields(old, new)[0])
+    return readers.read_buckets(v.spark, path)
+
+
 @check("p18_retire_ids", """--- SELECT id, CASE WHEN id IN (SELECT s_suppkey * 20 FROM supplier) THEN 'retired'
     ELSE status END AS status FROM v_parts""")
 def p18(v):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..functions.parsing import is_hard
 from ..functions.text import strip
@@ -75,6 +75,19 @@ def read_graph_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {**tables, "stats": last.drop("folder", "schemas")}
 
 
+def last_buckets(spark: SparkSession, path: str) -> Row:
+    """The row of the last complete version of a table that ``sinks.store_buckets`` made."""
+    return spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).first()
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: set[int] | None = None) -> DataFrame:
+    """The last version of a table in buckets, or the rows of some of its buckets; each is read from the version that wrote it."""
+    row = last_buckets(spark, path)
+    schema = T.StructType.fromJson(json.loads(row.schema))
+    parts = [f"{path}/folder={f}/_bucket={b}" for b, f in sorted(row.folders.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
 def read_chain_graph(spark: SparkSession, path) -> dict[str, DataFrame]:
     doc = _json(spark, path, CHAIN_DOCUMENT)
     nodes = doc.select(F.explode("nodes").alias("key", "v")).select(

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from typing import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scoring import success_rate
-from ..operators.ordered import row_index
+from ..operators.ordered import prefix, row_index
 from ..operators.routing import layer_of
+from .readers import last_buckets, read_buckets
 
 
 def graph_stats(skills: DataFrame, edges: DataFrame, rules: DataFrame, targets: DataFrame,
@@ -133,6 +137,50 @@ def render_route_text(tasks: DataFrame, bodies: DataFrame,
         "task_id", F.coalesce(text, F.lit("")).alias("text"))
 
 
+def render_route_parts(tasks: DataFrame, bodies: DataFrame,
+                       header: str = "RELEVANT SKILL MODULES (routed for this task)",
+                       title: str | None = None, limit: int = 1 << 20) -> DataFrame:
+    """(task_id, part, text): the text of ``render_route_text`` in parts of at most ``limit`` bytes, from 0 upwards.
+
+    A part holds ``limit / 4`` code points, which is within the bound whatever the letters, so no character is cut and parts
+    joined in order are the whole text. Where a body begins follows from a running sum of lengths; bodies that cross
+    a border are sliced there, so neither a task nor the one body has to fit a value. An empty route is one empty part.
+    """
+    if limit < 4:
+        raise ValueError("a part must hold one code point")
+    width = limit // 4
+    head = ("" if title is None else f"# {title}\n\n") + f"## {header}\n\n"
+    bare = bodies.select("task_id", "rank", F.regexp_replace("body", r"(?U)^\s+|\s+$", "").alias("_b"))
+    sizes = bare.filter(F.col("_b").isNotNull()).select("task_id", "rank", F.length("_b").cast("long").alias("_n"))
+    before = prefix(sizes, ["task_id"], "rank", {"_c": ("sum", F.lit(1).cast("long")), "_l": ("sum", "_n")})
+    gap = F.when(F.col("_c") == 0, "").otherwise("\n\n")
+    blocks = bare.join(before, ["task_id", "rank"]).select(
+        "task_id", (F.lit(len(head)) + F.col("_l") + 2 * F.greatest(F.col("_c") - 1, F.lit(0))).alias("_at"),
+        F.concat(gap, "_b").alias("_t"))
+    whole = bodies.select("task_id").distinct().join(sizes.groupBy("task_id").agg(
+        F.sum("_n").alias("_l"), F.count("*").alias("_c")), "task_id", "left")
+    ends = [whole.select("task_id", F.lit(0).cast("long").alias("_at"), F.lit(head).alias("_t"))]
+    if title is not None:
+        ends.append(whole.select("task_id", (F.lit(len(head)) + F.coalesce("_l", F.lit(0)) + 2 * F.greatest(
+            F.coalesce("_c", F.lit(0)) - 1, F.lit(0))).alias("_at"), F.lit("\n").alias("_t")))
+    texts = reduce(DataFrame.unionByName, ends, blocks).filter(F.col("_t") != "")
+    end = F.col("_at") + F.length("_t")
+    cut = texts.select("*", F.explode(F.sequence(F.floor(F.col("_at") / width), F.floor((end - 1) / width))).alias("part"))
+    lo = F.greatest(F.col("_at"), F.col("part") * width)
+    hi = F.least(end, (F.col("part") + 1) * width)
+    slices = cut.select("task_id", "part", lo.alias("_at"), F.substring(
+        "_t", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("_t"))
+    parts = slices.groupBy("task_id", "part").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda e: e["_t"]), "").alias("text"))
+    return tasks.select("task_id").join(parts, "task_id", "left").select(
+        "task_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def parts_manifest(parts: DataFrame) -> DataFrame:
+    """(task_id, n_parts, n_bytes): what a reader of the parts has to find."""
+    return parts.groupBy("task_id").agg(F.count("*").alias("n_parts"), F.sum(F.octet_length("text")).alias("n_bytes"))
+
+
 def render_chain_procedure(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """(task_id, text): numbered steps with success share and run count, in path order."""
     n = nodes.select("id", "desc", "n_visit", F.round(F.lit(100) * success_rate(
@@ -147,3 +195,53 @@ def render_chain_procedure(paths: DataFrame, nodes: DataFrame) -> DataFrame:
         e["n_visit"].cast("string"), F.lit(" runs)_")))
     return rows.select("task_id", F.concat(F.lit("## Procedure\n"), F.array_join(lines, "\n"))
                        .alias("text"))
+
+
+# ---------------------------------------------------------------------------------- tables that change in part
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _add_version(spark, path: str, number: int, folders: dict[int, str], keys: list[str], buckets: int,
+                 schema: str, rewritten: int, touched: int) -> None:
+    row = (number, folders, keys, buckets, schema, rewritten, touched)
+    spark.createDataFrame([row], "version long, folders map<int,string>, keys array<string>, buckets int, schema string, "
+                          "rows_rewritten long, buckets_rewritten long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def _write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int) -> tuple[str, dict[int, int]]:
+    """Write ``df`` to a folder of its own; the folder and the rows per bucket (at most ``buckets`` numbers)."""
+    folder = uuid.uuid4().hex
+    df.withColumn("_bucket", _bucket(keys, buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(
+        f"{path}/folder={folder}")
+    back = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("_bucket", IntegerType())])).parquet(
+        f"{path}/folder={folder}")
+    return folder, {r[0]: r[1] for r in back.groupBy("_bucket").count().collect()}
+
+
+def store_buckets(df: DataFrame, path: str, keys: list[str], buckets: int = 256) -> None:
+    """Store ``df`` as version 0 of a table in ``buckets`` parts by a hash of ``keys``, for ``rewrite_buckets``."""
+    folder, sizes = _write_buckets(df, path, keys, buckets)
+    _add_version(df.sparkSession, path, 0, {b: folder for b in sizes}, keys, buckets, df.schema.json(),
+                 sum(sizes.values()), len(sizes))
+
+
+def rewrite_buckets(changes: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    """Apply ``changes`` to a stored table and write only the buckets whose keys they name. Returns the number of rows written.
+
+    ``merge(stored, changes)`` gets the stored rows of those buckets and returns what stands there afterwards; it may add, change and
+    remove rows of the changes' keys (updates, ``insert``, ``link``). Untouched buckets stay in the folders of earlier versions.
+    The new version counts once its row in ``versions`` is written, which comes last, so a lost writer changes nothing.
+    """
+    spark = changes.sparkSession
+    now = last_buckets(spark, path)
+    types = {f.name: f.dataType for f in read_buckets(spark, path).schema.fields}
+    typed = changes.withColumns({k: F.col(k).cast(types[k]) for k in now.keys})  # the hash depends on the type
+    touched = {r[0] for r in typed.select(_bucket(now.keys, now.buckets)).distinct().collect()}  # at most ``buckets``
+    merged = merge(read_buckets(spark, path, touched), typed).select(*types)
+    folder, sizes = _write_buckets(merged, path, now.keys, now.buckets)
+    if not sizes.keys() <= touched:
+        raise ValueError("merge returned rows of keys that the changes do not name")
+    folders = {b: f for b, f in now.folders.items() if b not in touched} | {b: folder for b in sizes}
+    _add_version(spark, path, now.version + 1, folders, now.keys, now.buckets, now.schema, sum(sizes.values()), len(touched))
+    return sum(sizes.values())

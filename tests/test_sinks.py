@@ -46,3 +46,54 @@ def test_an_empty_graph(spark, make, tmp_path):
     skills, edges, rules, targets = (df.limit(0) for df in graph(make, ["a", "b"]))
     sinks.write_graph(skills, edges, rules, targets, str(tmp_path))
     assert rd.read_graph_tables(spark, str(tmp_path))["stats"].first().skills_total == 0
+
+
+def test_route_parts_are_bounded_and_make_the_whole_text(make):
+    bodies = make([("a", 1, " first body "), ("a", 2, "ä" * 70 + "\U0001f600" * 9), ("a", 5, ""), ("a", 7, "z" * 33), ("b", 1, "x"),
+                   ("c", 3, None)], "task_id string, rank int, body string")
+    tasks = make([("a",), ("b",), ("c",), ("none",)], "task_id string")
+    for title in (None, "T"):
+        whole = dict(rows(sinks.render_route_text(tasks, bodies, "H", title), "task_id", "text"))
+        for limit in (4, 43, 64, 4000):
+            parts = sinks.render_route_parts(tasks, bodies, "H", title, limit)
+            got = {}
+            for task, part, text in rows(parts, "task_id", "part", "text"):
+                assert part == len(got.setdefault(task, [])) and len(text.encode()) <= limit
+                got[task].append(text)
+            assert {t: "".join(x) for t, x in got.items()} == whole
+        sizes = {t: (n, b) for t, n, b in rows(sinks.parts_manifest(parts))}
+        assert sizes == {t: (len(x), len("".join(x).encode())) for t, x in got.items()}
+
+
+def test_changes_rewrite_only_their_buckets(spark, make, tmp_path):
+    from ropewalk.operators.curation import insert
+    from ropewalk.operators.lifecycle import update_fields
+
+    path = str(tmp_path)
+    sinks.store_buckets(make([(i, i, f"n{i}") for i in range(600)], "id long, ord long, name string"), path, ["id"], 32)
+    assert rd.read_buckets(spark, path).count() == 600
+    changes = make([(3, "three"), (77, "x"), (9999, "nobody")], "id int, name string")
+    n = sinks.rewrite_buckets(changes, path, lambda old, new: update_fields(old, new)[0])
+    want = {i: f"n{i}" for i in range(600)} | {3: "three", 77: "x"}
+    assert dict(rows(rd.read_buckets(spark, path), "id", "name")) == want
+    last = rd.last_buckets(spark, path)
+    assert last.version == 1 and last.rows_rewritten == n < 120 and last.buckets_rewritten <= 3
+
+    new = make([(3, 700, "refused"), (601, 701, "new")], "id long, ord long, name string")
+    sinks.rewrite_buckets(new, path, lambda old, rows_: insert(old, rows_)[0])
+    want[601] = "new"
+    assert dict(rows(rd.read_buckets(spark, path), "id", "name")) == want
+
+    def lost(old, _):
+        return old.withColumn("name", F.expr("CASE WHEN id >= 0 THEN raise_error('lost') ELSE name END"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.rewrite_buckets(new, path, lost)
+    with pytest.raises(ValueError, match="do not name"):
+        sinks.rewrite_buckets(new.limit(1), path, lambda old, _: old.withColumn("id", F.col("id") + 1))
+    assert dict(rows(rd.read_buckets(spark, path), "id", "name")) == want
+
+    gone = make([(i,) for i in range(700)], "id long")
+    sinks.rewrite_buckets(gone, path, lambda old, ids: old.join(ids, "id", "left_anti"))
+    assert rd.read_buckets(spark, path).count() == 0
+    sinks.rewrite_buckets(new, path, lambda old, rows_: insert(old, rows_)[0])
+    assert rows(rd.read_buckets(spark, path), "id", "name") == [(3, "refused"), (601, "new")]
