@@ -74,6 +74,32 @@ def test_first_partners_and_best(make, monkeypatch):
     assert {a: sorted(x)[:2] for a, x in got.items()} == {a: sorted(x)[:2] for a, x in want.items()}
 
 
+@pytest.mark.parametrize("asked", [{"k": 3}, {"k": 3, "threshold": 0.5}, {"first": 2, "threshold": 0.8, "earlier_only": True},
+                                   {"threshold": 0.9, "earlier_only": True}])
+def test_tiles_are_not_copied_for_their_partners(make, asked):
+    """No shuffle between the stored tiles and the pairs: 25 pairs of tiles are formed by reading."""
+    data = clusters(6, 5, 16)
+    df = make(data, VEC)
+    got = similarity.similar(df, df, 16, same_table=True, tile=16, **asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Exchange hashpartitioning" not in plan and "Generate" not in plan
+    m = np.array([v for _, _, v in data])
+    sims = np.round(m @ m.T, 6)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.left_id, []).append((-r.sim, r.right_ord))
+    for x, (i, _, _) in enumerate(data):
+        want = [(-sims[x, y], y) for y in range(len(data)) if y != x and sims[x, y] >= asked.get("threshold", -2)
+                and (y < x or not asked.get("earlier_only"))]
+        have = found.get(i, [])
+        if "first" in asked:
+            want, have = sorted(want, key=lambda p: p[1])[:2], sorted(have, key=lambda p: p[1])[:2]
+        elif "k" in asked:
+            want, have = sorted(want)[:3], sorted(have)[:3]
+        assert [y for _, y in sorted(want)] == [y for _, y in sorted(have)]
+        assert np.allclose([s for s, _ in sorted(want)], [s for s, _ in sorted(have)], atol=2e-6)
+
+
 def greedy(data, threshold):
     """(id, action, target) one by one in ord order."""
     m, kept, out = np.array([v for _, _, v in data]), [], set()
