@@ -76,12 +76,21 @@ def test_first_partners_and_best(make, monkeypatch):
 
 @pytest.mark.parametrize("asked", [{"k": 3}, {"k": 3, "threshold": 0.5}, {"first": 2, "threshold": 0.8, "earlier_only": True},
                                    {"threshold": 0.9, "earlier_only": True}])
-def test_tiles_are_not_copied_for_their_partners(make, asked):
-    """No shuffle between the stored tiles and the pairs: 25 pairs of tiles are formed by reading."""
+def test_tiles_are_not_copied_for_their_partners(make, monkeypatch, asked):
+    """No shuffle between the stored tiles and the pairs: 25 pairs of tiles are formed by reading, a few at a time."""
+    plans = []
+    stored = similarity.durable
+
+    def seen(df):
+        plans.append((df._jdf.queryExecution().executedPlan().toString(),
+                      df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return stored(df)
+    monkeypatch.setattr(similarity, "durable", seen)
     data = clusters(6, 5, 16)
     df = make(data, VEC)
     got = similarity.similar(df, df, 16, same_table=True, tile=16, **asked)
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan, batch = plans[-1]
+    assert batch == "8" and got.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "8"
     assert "CoGroup" not in plan and "Exchange hashpartitioning" not in plan and "Generate" not in plan
     m = np.array([v for _, _, v in data])
     sims = np.round(m @ m.T, 6)
