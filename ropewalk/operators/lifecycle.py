@@ -183,7 +183,8 @@ def mint_checkpoints(skills: DataFrame, guarded_ids: DataFrame, step: int,
         slugify(F.concat(F.lit("checkpoint_"), sid, F.lit(f"_{step}"))).alias("id"),
         F.lit("checkpoint").alias("kind"),
         F.concat(F.lit("verify-loop guards '"), sid, F.lit("' (succ "),
-                 F.format_string("%.2f", F.round(success_rate(), 2)), F.lit(" over "),
+                 # hundredths of the rate as it is stored: rounding its shortest decimal would take 23/40 up
+                 F.format_string("%.2f", F.round(success_rate() * 100) / 100), F.lit(" over "),
                  trials().cast("string"), F.lit(" trials)")).alias("statement"),
         F.col("id").alias("target"),
         F.when(F.length(given) > 0, given).otherwise(default).alias("postcondition"),

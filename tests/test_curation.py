@@ -200,6 +200,13 @@ def test_checkpoints_are_minted_once(make):
     assert again.count() == 0
 
 
+def test_rate_of_a_checkpoint_is_rounded_as_it_is_stored(make):
+    """23/40 is below 0.575 as a double."""
+    sk = make([counted("a", ok=23, bad=17), counted("b", ok=11, bad=9)], COUNTED)
+    minted = lc.mint_checkpoints(sk, make([], "id string"), 2)
+    assert [s.split("(")[1][:9] for _, s in rows(minted, "id", "statement")] == ["succ 0.57", "succ 0.55"]
+
+
 def test_should_split(make):
     sk = make([counted("big", body="word " * 3000, types=["a", "b", "c"]),
                counted("small", body="short", types=["a"])], COUNTED)
