@@ -97,3 +97,12 @@ def test_changes_rewrite_only_their_buckets(spark, make, tmp_path):
     assert rd.read_buckets(spark, path).count() == 0
     sinks.rewrite_buckets(new, path, lambda old, rows_: insert(old, rows_)[0])
     assert rows(rd.read_buckets(spark, path), "id", "name") == [(3, "refused"), (601, "new")]
+
+
+def test_documents_are_written_by_many_tasks(spark, make, tmp_path):
+    """A small table that was shuffled is one partition; its files are made by several tasks, one file per key."""
+    one = make([(i, f"text {i}") for i in range(40)], "id long, value string").groupBy("id").agg(F.max("value").alias("value"))
+    sinks.write_documents(one, str(tmp_path / "d"), "id")
+    files = list((tmp_path / "d").glob("id=*/part-*.txt"))
+    assert sorted(f.read_text() for f in files) == sorted(f"text {i}\n" for i in range(40))
+    assert len({f.name.split("-")[1] for f in files}) > 4
