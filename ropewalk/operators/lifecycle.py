@@ -113,6 +113,11 @@ def retire_ids(skills: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
         skills.select("id"), "id", "left_anti")
 
 
+def deploy_ids(skills: DataFrame, ids: DataFrame) -> DataFrame:
+    """Deploy the given ids."""
+    return _set_status(skills, ids, "deployed")
+
+
 def deploy_cap(skills: DataFrame, cap: int, step: int,
                cfg: HeatConfig = HeatConfig()) -> DataFrame:
     """Ids to demote so that at most ``cap`` stay deployed: lowest utility first, earlier ord on

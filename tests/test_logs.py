@@ -211,6 +211,32 @@ def test_stream_lifecycle_steps_once_per_tick(spark, make, tmp_path, files):
         assert got == [(len(mine), sum(i % 3 == 0 for i in mine), mine[-1])]
 
 
+@pytest.mark.parametrize("every", [10, 7])
+def test_stream_lifecycle_by_record_calls_once_a_batch(spark, make, tmp_path, every):
+    log = [((None if i % 11 == 0 else i % 5), i % 3 == 0, i) for i in range(96)]
+    schema = "skill int, success boolean, step long"
+    for lo, hi in ((0, 3), (3, 40), (40, 96)):  # the first batch fills no cut, the others many
+        make(log[lo:hi], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    skills = make([(0, "validated"), (3, "validated"), (9, "candidate")], "id long, status string")
+    q = (jobs.stream_lifecycle(s, lambda: skills, lambda d, now: seen.append(rows(d.select(
+        "id", now.alias("now"), "n_visit", "success_count", "failure_count", "last_used_step"))),
+        str(tmp_path / "batches"), every=every, by_record=True)
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(seen) == 2
+    for got, done, n in zip(seen, (3, 40), (40, 96)):
+        cuts, want = [c for c in range(every, n + 1, every) if c > done], set()
+        for i in (0, 3, 9):
+            for c in cuts:
+                mine = [x for x in log[:c] if x[0] == i]
+                if c in (cuts[0], cuts[-1]) or any(x[0] == i for x in log[c - every:c]):
+                    ok = sum(x[1] for x in mine)
+                    want.add((i, c, len(mine), ok, len(mine) - ok, mine[-1][2] if mine else -1))
+        assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("every", [4, 7])
 def test_promotions_equal_a_run_cut_by_cut(spark, make, tmp_path, every):
     rnd = random.Random(every)
