@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import est_tokens, slugify
+from ..session import durable, sized_tasks
 from .ordered import first_k
 from .pairs import member_pairs
 
 # Evidence weights of successful and failed runs.
 W_SUCCESS, W_FAIL = 2.0, 0.5
+PAIRS = 1_000_000  # pairs that a task makes
 
 
 def heat_counters(invocations: DataFrame) -> DataFrame:
@@ -37,11 +39,20 @@ def type_entropy(invocations: DataFrame) -> DataFrame:
 
 def cooccurrence(trace_atoms: DataFrame, w_ok: float = W_SUCCESS,
                  w_fail: float = W_FAIL) -> DataFrame:
-    """Weighted co-occurrence (a < b) over ``trace_atoms(trace, atom, success)``."""
-    members = trace_atoms.groupBy("trace", "atom").agg(F.max("success").alias("success"))
+    """Weighted co-occurrence (a < b) over ``trace_atoms(trace, atom, success)``.
+
+    Stored. The rows, then the pairs, are counted first, and tasks are cut by that. The input is computed for its count, so
+    it should be a table.
+    """
+    spark = trace_atoms.sparkSession
+    with sized_tasks(spark, trace_atoms.count()):
+        members = durable(trace_atoms.groupBy("trace", "atom").agg(F.max("success").alias("success")))
+        n = F.col("n").cast("double")
+        load = members.groupBy("trace").agg(F.count("*").alias("n")).agg(F.sum(n * (n + 1) / 2).alias("n")).first()["n"]
     weight = F.when(F.col("success"), F.lit(w_ok)).otherwise(F.lit(w_fail))
-    return (member_pairs(members, "trace", "atom", ["success"])
-            .groupBy("a", "b").agg(F.sum(weight).alias("weight")))
+    with sized_tasks(spark, int(load or 0), PAIRS):
+        return durable(member_pairs(members, "trace", "atom", ["success"])
+                       .groupBy("a", "b").agg(F.sum(weight).alias("weight")))
 
 
 def atom_evidence(trace_bodies: DataFrame) -> DataFrame:

@@ -211,6 +211,18 @@ def test_stream_lifecycle_steps_once_per_tick(spark, make, tmp_path, files):
         assert got == [(len(mine), sum(i % 3 == 0 for i in mine), mine[-1])]
 
 
+def test_cooccurrence_cuts_tasks_by_pairs(spark, make, monkeypatch):
+    data = [(t, a, t % 2 == 0) for t in range(40) for a in range(10)] + [(0, 3, False)]
+    monkeypatch.setattr(m, "PAIRS", 50)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    got = m.cooccurrence(make(data, "trace long, atom long, success boolean"))
+    assert rows(got, "a", "b", "weight") == [(a, b, 50.0) for a in range(10) for b in range(a + 1, 10)]
+    # 40 traces of 55 pairs: each task makes about 50, so the 45 sums come out of more tasks than cores
+    assert len(got.inputFiles()) > 12
+    assert [spark.conf.get(n) for n in names] == before
+
+
 @pytest.mark.parametrize("every", [10, 7])
 def test_stream_lifecycle_by_record_calls_once_a_batch(spark, make, tmp_path, every):
     log = [((None if i % 11 == 0 else i % 5), i % 3 == 0, i) for i in range(96)]
