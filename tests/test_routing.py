@@ -264,3 +264,24 @@ def test_null_description_can_be_found(make):
     df = make([("n", None, "red fox")], "name string, description string, body string")
     assert df.select(bm25_text("name", "description", "body"), vector_text("name", "description", "body")).first()[:] == (
         "n  red fox", "n.  red fox")
+
+
+def _shuffled(spark):
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+    stages = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords()
+            for i in range(stages.size())}
+
+
+def test_closure_sets_out_from_the_last_hop_only(spark, make):
+    n = 40
+    edges = make([(i, i - 1, "depends_on") for i in range(1, n)] + [(0, 5, "depends_on")], "src long, dst long, type string")
+    skills = make([(i,) for i in range(n)], "id long")
+    seeds = make([(i, i) for i in range(n)], "task_id long, id long")
+    before = _shuffled(spark)
+    got = rows(routing.dependency_closure(seeds, edges, skills), "task_id", "id")
+    assert got == sorted({(i, j) for i in range(n) for j in range(max(i, 5) + 1)})
+    after = _shuffled(spark)
+    moved = sum(v - before.get(k, 0) for k, v in after.items())
+    assert moved < 14 * len(got)
