@@ -243,6 +243,18 @@ def index_of(docs: DataFrame, surveyed: DataFrame, kinds: DataFrame, k: int, per
     return durable(rows.join(kinds.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("tok", "uid", "n", "l", "pos"))
 
 
+def unsettled(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(tok, uid, n, l, pos, root) of the shingles that several of the components made by ``found`` have."""
+    part = graph.components(found).withColumnRenamed("node", "uid")
+    rest = index.join(part, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    return shared(rest, "root").select("tok", "uid", "n", "l", "pos", "root")
+
+
+def early(percent: int) -> Column:
+    """The first shingle two sets share stands early in both: each has as many after it as the pair must share."""
+    return (F.col("pos") <= F.col("n") - overlap(percent)) & (F.col("_pos") <= F.col("_n") - overlap(percent))
+
+
 def connect(index: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent: int, prefix: bool = True) -> DataFrame:
     """Verified links (a, b) of classes that share a ``tok``, enough of them to connect all that link. With ``prefix``
     the toks are prefix shingles and a pair must share as many as its sizes demand."""
@@ -255,26 +267,24 @@ def connect(index: DataFrame, docs: DataFrame, kinds: DataFrame, k: int, percent
         F.col("_uid").alias("a"), F.col("uid").alias("b")))
     found = verified(tried, docs, kinds, k, percent)
 
-    part = graph.components(found).withColumnRenamed("node", "uid")
-    rest = index.join(part, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    rest = shared(rest, "root").select("tok", "uid", "n", "l", "pos", "root")
+    rest = unsettled(index, found)
     if prefix:
         rest = rest.join(rest.groupBy("uid").agg(F.count("*").alias("c")), "uid")
     rest = durable(rest)
-    left = rest.select("tok", *[F.col(c).alias(f"_{c}") for c in rest.columns if c != "tok"])
-    fits = (rest["tok"] == left["tok"]) & (F.col("uid") < F.col("_uid")) & (F.col("root") != F.col("_root")) & near_sizes(percent)
+    # the bitmaps go into the join, so that it makes rows of the pairs they leave only
+    known = rest.join(mine.select("uid", "bits"), "uid")
+    left = known.select("tok", *[F.col(c).alias(f"_{c}") for c in known.columns if c != "tok"])
+    fits = (known["tok"] == left["tok"]) & (F.col("uid") < F.col("_uid")) & (F.col("root") != F.col("_root"))
     if prefix:
-        # the first shingle two sets share stands early in both, and each has as many as the pair must share
-        fits = fits & (F.col("pos") <= F.col("n") - overlap(percent)) & (F.col("_pos") <= F.col("_n") - overlap(percent)) & (
-            demand(percent) <= F.least("c", "_c"))
-    pairs = rest.join(left, fits).select("uid", "_uid").distinct()
-    # stored before the pairs already tried leave, so that these are looked up once per pair, not per shared shingle
-    more = durable(pairs.join(mine, "uid").join(other, "_uid").filter(can_link(percent)).select("uid", "_uid"))
+        # each has as many shingles as the pair must share
+        fits = fits & early(percent) & (demand(percent) <= F.least("c", "_c"))
+    more = known.join(left, fits & can_link(percent)).select("uid", "_uid").distinct()
     more = more.join(tried.select(F.col("a").alias("uid"), F.col("b").alias("_uid")), ["uid", "_uid"], "left_anti")
     if prefix:
-        own = rest.select("uid", "tok", "n", "l")
-        both = more.join(own, "uid").join(left.select("_uid", "tok", "_n", "_l"), ["_uid", "tok"])
-        more = durable(both.groupBy("uid", "_uid").agg(F.count("*").alias("m"), F.first(demand(percent)).alias("d")).filter("m >= d"))
+        # a row per pair, not one per shingle it shares
+        own = rest.groupBy("uid").agg(F.collect_set("tok").alias("toks"), F.first("n").alias("n"), F.first("l").alias("l"))
+        both = more.join(own, "uid").join(own.select(*[F.col(c).alias(f"_{c}") for c in own.columns]), "_uid")
+        more = durable(both.filter(F.size(F.array_intersect("toks", "_toks")) >= demand(percent)).select("uid", "_uid"))
     more = more.select(F.col("uid").alias("a"), F.col("_uid").alias("b"))
     return found.union(verified(more, docs, kinds, k, percent))
 

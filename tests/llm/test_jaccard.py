@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -24,6 +26,18 @@ def test_large_group_of_near_copies(docs_of):
     assert {r.doc_id: r.component_id for r in got} == jaccard_roots(rows, 5, 80)
 
 
+def test_pairs_are_compared_in_a_row_each(docs_of, monkeypatch):
+    plans, plain = [], jaccard.durable
+    monkeypatch.setattr(jaccard, "durable", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    rows = copied_texts(160, seed=4, noise=0.05)
+    got = jaccard.components_of(docs_of([(i, t, "en", "s") for i, t in rows]), 3, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == jaccard_roots(rows, 3, 80)
+    joins = [line for p in plans for line in p.splitlines() if "Join Inner" in line]
+    # no row per shingle of a pair, and bitmaps decide where pairs are proposed
+    assert not [j for j in joins if re.search(r"\(_uid#\d+L = _uid#\d+L\)", j) and "tok#" in j]
+    assert [j for j in joins if "pos#" in j and "bit_count" in j]
+
+
 def test_odd_rows(docs_of):
     got = jaccard.components_of(docs_of(ODD), 3, 90).collect()
     assert len(got) == len(ODD)
