@@ -223,6 +223,17 @@ def test_cooccurrence_cuts_tasks_by_pairs(spark, make, monkeypatch):
     assert [spark.conf.get(n) for n in names] == before
 
 
+def test_stream_cooccurrence_deals_traces_to_tasks(spark, make, tmp_path):
+    data = make([([f"a{i % 3}", f"a{3 + i % 2}", "z"], i % 2 == 0) for i in range(40)], "atoms array<string>, success boolean")
+    data.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    dealt = jobs.stream_cooccurrence(s, tasks=7)
+    # before the pairs are made
+    assert "Repartition 7" in dealt._jdf.queryExecution().logical().toString()
+    plain = rows(jobs.stream_cooccurrence(data), "a", "b", "weight")
+    assert rows(jobs.stream_cooccurrence(data, tasks=7), "a", "b", "weight") == plain and len(plain) == 11
+
+
 @pytest.mark.parametrize("every", [10, 7])
 def test_stream_lifecycle_by_record_calls_once_a_batch(spark, make, tmp_path, every):
     log = [((None if i % 11 == 0 else i % 5), i % 3 == 0, i) for i in range(96)]
