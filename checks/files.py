@@ -121,8 +121,7 @@ def nav_folder(v):
     lines = n.select("user", "pos", F.explode(F.array(
         rec, F.when(F.col("pos") % 4 == 0, "").otherwise("{not json"))).alias("value"))
     path = scratch_path(v.spark, "nav")
-    (lines.repartition("user").sortWithinPartitions("user", "pos").select("user", "value")
-     .write.partitionBy("user").text(path))
+    sk.write_documents(lines, path, "user", ("pos",))
     return path
 
 

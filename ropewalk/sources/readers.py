@@ -13,13 +13,21 @@ from ..functions.parsing import is_hard
 from ..functions.text import strip
 from ..schema import (CHAIN_DOCUMENT, EVAL_DOCUMENT, GRAPH_DOCUMENT, HISTORY, NAV_RECORD,
                       ROUTE_DUMP)
+from ..session import listed_by_cores
 
 _COUNTERS = ("success_count", "failure_count", "n_visit", "coverage", "token_cost")
 
 
 def _json(spark: SparkSession, path, schema, multi: bool = True) -> DataFrame:
-    return (spark.read.schema(schema).option("multiLine", multi)
-            .option("recursiveFileLookup", True).json(path))
+    with listed_by_cores(spark):
+        return (spark.read.schema(schema).option("multiLine", multi)
+                .option("recursiveFileLookup", True).json(path))
+
+
+def _text(spark: SparkSession, path, **options) -> DataFrame:
+    """Text files of a folder and the folders in it."""
+    with listed_by_cores(spark):
+        return spark.read.text(path, recursiveFileLookup=True, **options)
 
 
 def read_graph(spark: SparkSession, path, compat: bool = False) -> dict[str, DataFrame]:
@@ -125,9 +133,7 @@ def read_nav_log(spark: SparkSession, path, instance=None) -> DataFrame:
     Text files are read in order within a split, and the increasing id orders splits of one file.
     """
     name = _file_stem(F.input_file_name()) if instance is None else instance
-    lines = (spark.read.option("recursiveFileLookup", True).text(path)
-             .select("value", name.alias("instance"),
-                     F.monotonically_increasing_id().alias("line")))
+    lines = _text(spark, path).select("value", name.alias("instance"), F.monotonically_increasing_id().alias("line"))
     return nav_records(lines)
 
 
@@ -152,8 +158,7 @@ def _conversation_text(messages: F.col) -> F.col:
 
 def read_trajectories(spark: SparkSession, path) -> DataFrame:
     """(run, trace) from one conversation.json per run folder."""
-    raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-           .select("value", F.input_file_name().alias("_f")))
+    raw = _text(spark, path, wholetext=True).select("value", F.input_file_name().alias("_f"))
     run = folder_key(F.col("_f"))
     msgs = F.from_json("value", "array<struct<role:string,content:string>>")
     return raw.select(run.alias("run"), msgs.alias("m")).filter(F.col("m").isNotNull()).select(
@@ -162,8 +167,7 @@ def read_trajectories(spark: SparkSession, path) -> DataFrame:
 
 def read_step_logs(spark: SparkSession, path) -> DataFrame:
     """(run, trace) from step logs: one line per step with thought, action and feedback."""
-    raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-           .select("value", F.input_file_name().alias("_f")))
+    raw = _text(spark, path, wholetext=True).select("value", F.input_file_name().alias("_f"))
     steps = F.from_json("value", "array<struct<step:string,action:string,reasoning:string,"
                                  "env_feedback:string,done:boolean>>")
 
@@ -199,8 +203,9 @@ def read_result_lines(spark: SparkSession, path) -> DataFrame:
 def read_routes(spark: SparkSession, path, multi: bool = True) -> DataFrame:
     """(task_id, pos, id, guarded) from route dumps, one per file or, with ``multi=False``, one
     per line; unreadable dumps are skipped."""
-    raw = (spark.read.schema(ROUTE_DUMP).option("mode", "DROPMALFORMED")
-           .option("multiLine", multi).option("recursiveFileLookup", True).json(path))
+    with listed_by_cores(spark):
+        raw = (spark.read.schema(ROUTE_DUMP).option("mode", "DROPMALFORMED")
+               .option("multiLine", multi).option("recursiveFileLookup", True).json(path))
     return raw.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("task_id"), F.coalesce("guarded", F.lit(False)).alias("guarded"),
         F.posexplode("nodes").alias("pos", "id"))
@@ -228,9 +233,7 @@ def parse_skill_docs(docs: DataFrame) -> DataFrame:
 
 
 def read_skill_docs(spark: SparkSession, path: str, files: str = "SKILL.md") -> DataFrame:
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files)
-           .text(path, wholetext=True)
-           .select("value", folder_key().alias("path")))
+    raw = _text(spark, path, wholetext=True, pathGlobFilter=files).select("value", folder_key().alias("path"))
     return parse_skill_docs(raw)
 
 
@@ -253,6 +256,6 @@ def read_capability_manifest(rows: DataFrame, docs: DataFrame) -> dict[str, Data
 
 
 def read_history(spark: SparkSession, path, run=None) -> DataFrame:
-    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    raw = _text(spark, path, wholetext=True)
     name = _file_stem(F.input_file_name()) if run is None else run
     return raw.select(name.alias("run"), "value").select("run", F.inline(F.from_json("value", HISTORY)))

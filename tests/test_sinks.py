@@ -106,3 +106,25 @@ def test_documents_are_written_by_many_tasks(spark, make, tmp_path):
     files = list((tmp_path / "d").glob("id=*/part-*.txt"))
     assert sorted(f.read_text() for f in files) == sorted(f"text {i}\n" for i in range(40))
     assert len({f.name.split("-")[1] for f in files}) > 4
+
+
+def test_rows_of_a_file_are_in_order(spark, make, tmp_path):
+    lines = make([(i % 3, -i, f"line {i}") for i in range(30)], "id long, pos long, value string").repartition(5)
+    sinks.write_documents(lines, str(tmp_path / "d"), "id", ("pos",))
+    for key in range(3):
+        file, = (tmp_path / "d" / f"id={key}").glob("part-*.txt")
+        assert file.read_text().split("\n")[:-1] == [f"line {i}" for i in reversed(range(30)) if i % 3 == key]
+
+
+def test_folders_are_listed_by_a_few_tasks(spark, make, tmp_path):
+    """Not by a task for every folder."""
+    folders = 80
+    sinks.write_documents(make([(i, f"text {i}") for i in range(folders)], "id long, value string"), str(tmp_path / "d"), "id")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "")
+    nav = rd.read_nav_log(spark, str(tmp_path / "d"), rd.folder_key())
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    seen = sc.statusTracker()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism < folders
+    assert len(nav.inputFiles()) == folders
