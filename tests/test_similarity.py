@@ -148,3 +148,29 @@ def test_a_large_family_costs_its_size(make, monkeypatch):
     got = curation.fold_assignments(make(data, VEC), make([], VEC), 0.9, 8)
     assert got.groupBy("action").count().orderBy("action").collect()[0][:] == ("insert", 1) and got.count() == 5000
     assert sum(seen) <= curation.PARTNERS * 5000
+
+
+def test_float_vectors_are_stored_as_given(make):
+    """Vectors given in single precision are not stored and sent in double precision."""
+    rows_ = [(i, i, [float(i), 1.0, 0.5], 0) for i in range(7)]
+    for kind, size in (("float", 4), ("double", 8)):
+        r = similarity._packed(make(rows_, f"id long, ord long, vec array<{kind}>, _tile int"), 3, "l").first()
+        assert (len(r.ldata), np.dtype(r.lkind)) == (7 * 3 * size, np.dtype(f"f{size}"))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_best_k_with_copies_and_ties(make, kind):
+    """Tiles are wide enough for the bound on the k-th best; copies tie, and ties go to the smaller ord."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2, 3, (60, 6)).astype(float)
+    m = np.concatenate([base, base, base[:30], rng.standard_normal((150, 6))]).astype(np.float32).astype(float)
+    df = make([(i, 3 * i, v.tolist()) for i, v in enumerate(m)], f"id long, ord long, vec array<{kind}>")
+    found = similarity.similar(df, df, 6, k=2, same_table=True, tile=64).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.left_id, []).append((-r.sim, r.right_ord, r.right_id))
+    for i, v in enumerate(m):
+        want = sorted((-round(float(v @ w), 6) + 0.0, 3 * j, j) for j, w in enumerate(m) if j != i)[:2]
+        mine = sorted(got[i])[:2]
+        assert [x[1:] for x in mine] == [x[1:] for x in want]
+        assert [x[0] for x in mine] == pytest.approx([x[0] for x in want], abs=1e-6)
