@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from conftest import rows
 from ropewalk.operators import containment, curation as c
 from test_curation import NODE, _edits
@@ -49,3 +51,16 @@ def test_contained_bodies_are_not_appended_and_large_records_split(make):
     assert [k.body.split()[-1] for k in kids] == ["inside", "first", "paragraph"]
     assert {r[0] for r in rows(out["parents"], "parent")} == {"s"}
     assert len(rows(out["child_evidence"])) == 3 * len([x for x in rows(out["evidence"], "id", "task_id") if x[0] == "s"])
+
+
+def test_anchors_leave_a_task_in_bounded_pieces():
+    """Every byte of a text may be an anchor: those of a whole batch of texts are never held at once."""
+    rnd = random.Random(7)
+    bodies = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz é") for _ in range(800)) for _ in range(1000)] + [None, ""]
+    sizes = [None if b is None else len(b.encode()) for b in bodies]
+    batch = pa.RecordBatch.from_arrays([pa.array(["r"] * len(bodies)), pa.array(range(len(bodies)), pa.int64()),
+                                        pa.array(sizes, pa.int64()), pa.array(bodies)], ["id", "seq", "size", "body"])
+    out = list(containment.list_anchors(iter([batch]), 3, 1))
+    assert max(b.num_rows for b in out) <= containment.PIECE < sum(b.num_rows for b in out)
+    got = sorted((s, g) for b in out for s, g in zip(b.column("seq").to_pylist(), b.column("gram").to_pylist()))
+    assert got == sorted((i, g) for i, b in enumerate(bodies) for g in containment.anchors((b or "").encode(), 3, 1).tolist())
