@@ -174,3 +174,20 @@ def test_best_k_with_copies_and_ties(make, kind):
         mine = sorted(got[i])[:2]
         assert [x[1:] for x in mine] == [x[1:] for x in want]
         assert [x[0] for x in mine] == pytest.approx([x[0] for x in want], abs=1e-6)
+
+
+def test_listed_partners_are_not_searched_again(make, monkeypatch):
+    """A record with few partners takes its target from the list of them; early targets are asked before all others."""
+    monkeypatch.setattr(curation, "HEAD", 8)
+    asked = []
+    similar = curation.similar
+
+    def counted(left, right, dim, threshold, k=None, **kw):
+        asked.append((k, kw.get("first"), left.count()))
+        return similar(left, right, dim, threshold, k, **kw)
+    monkeypatch.setattr(curation, "similar", counted)
+    data = clusters(6, 12, 4, noise=0.4)
+    got = curation.fold_assignments(make(data, VEC), make([], VEC), 0.85, 16)
+    assert set(rows(got, "id", "action", "target")) == greedy(data, 0.85)
+    assert [n for k, _, n in asked if k == 1] == [0]
+    assert [n for _, first, n in asked if first][:2] == [len(data), len(data) - 8]
