@@ -277,3 +277,21 @@ def test_split_gives_every_child_an_id_of_its_own(make):
     kids = split(skills, propose_children(skills.filter("ord < 3")), 1)["children"].orderBy("ord").collect()
     assert [k.parent for k in kids] == ["s0", "s0", "s1", "s1", "s2", "s2"]
     assert [k.id for k in kids] == ["p_for_t1", "p_for_t2", "p_for_t1_s1-2", "p_for_t2_s1", "p_for_t1_s2", "p_for_t2_s2"]
+
+
+def test_absorbing_looks_at_first_edits_only(make, monkeypatch):
+    """Once a slug has a record its later edits ask for nothing, and only edits that went elsewhere search for a target."""
+    monkeypatch.setattr(c, "FRONT", 2)
+    asked, ask, similar = [], c.EarlierPartners._ask, c.similar
+    monkeypatch.setattr(c.EarlierPartners, "_ask", lambda self, a, t: (asked.append(a.count()), ask(self, a, t))[1])
+    searched = []
+    monkeypatch.setattr(c, "similar", lambda left, *a, **kw: (searched.append((kw.get("first"), left.count())), similar(left, *a, **kw))[1])
+    data = [("alpha", f"a{i} b{i} c{i}") for i in range(12)]
+    # the edits of a slug that stays near another record until its fourth one, and copies of the third later on
+    data += [("beta", "a0 b0 c0 a0 b0 c0"), ("beta", "a0 b0 c0 a0 b0"), ("beta", "a0 b0 c0 c0"), ("beta", "q r s"), ("beta", "a0 b0 c0 c0")]
+    known = [("n0", "a0 b0 c0 a0 b0 c0 a0 b0 c0")]
+    nodes = make([(i, n, i, "", t, "deployed") for n, (i, t) in enumerate(known)], NODE)
+    out = c.absorb_edits(_edits(make, data), nodes)
+    got = {r["seq"] >> 20: r["id"] for r in out["assigned"].collect()}
+    assert got == {**{i: "alpha" for i in range(1, 12)}, 0: got[0], 12: "n0", 13: "n0", 14: "n0", 15: "beta", 16: "beta"}
+    assert asked == [4, 2] and [n for first, n in searched if first is None] == [3 + (got[0] == "n0"), 0]
