@@ -128,3 +128,19 @@ def test_folders_are_listed_by_a_few_tasks(spark, make, tmp_path):
     stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(j).stageIds]
     assert 0 < max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism < folders
     assert len(nav.inputFiles()) == folders
+
+
+def test_files_of_a_local_folder_are_written_without_companions(spark, make, tmp_path):
+    """One file per key and nothing beside it; folders are named as Spark names them; a folder that is there is replaced."""
+    data = [("a/b=c", "x"), ("a/b=c", "ä"), ("", "empty"), (None, "none"), ("%q \n[z]", None)]
+    docs = make([(k, v, i) for i, (k, v) in enumerate(data)], "k string, value string, n long")
+    sinks.write_documents(docs, str(tmp_path / "own"), "k", ("n",))
+    docs.select("k", "value").repartition(1).write.partitionBy("k").text(str(tmp_path / "spark"))
+    folders = {d.name for d in (tmp_path / "own").iterdir() if d.is_dir()}
+    assert folders == {d.name for d in (tmp_path / "spark").iterdir() if d.is_dir()} and len(folders) == 3
+    for d in (tmp_path / "own").iterdir():
+        assert not d.is_dir() or len(list(d.iterdir())) == (2 if "HIVE" in d.name else 1)
+    back = sorted(r.value for r in spark.read.text(str(tmp_path / "own"), recursiveFileLookup=True).collect())
+    assert back == sorted(["x", "ä", "empty", "none", ""])
+    sinks.write_documents(docs.filter("n = 0"), str(tmp_path / "own"), "k", ("n",))
+    assert [r.value for r in spark.read.text(str(tmp_path / "own"), recursiveFileLookup=True).collect()] == ["x"]
