@@ -72,10 +72,10 @@ def trace_contains(trace_atoms: DataFrame, skills: DataFrame) -> DataFrame:
 
 def cooccurring(seeds: DataFrame, cooc: DataFrame, exclude: DataFrame | None = None,
                 top_m: int = 3, min_weight: float = 2.0) -> DataFrame:
-    """Per task the partners of its seeds that are not seeds themselves, best ``top_m``."""
+    """Per task the partners of its seeds that are not seeds themselves, best ``top_m``. The seeds are stored, as they are read twice."""
     both = cooc.select(F.col("a").alias("id"), F.col("b").alias("partner"), "weight").unionByName(
         cooc.select(F.col("b").alias("id"), F.col("a").alias("partner"), "weight"))
-    s = seeds.select("task_id", "id").distinct()
+    s = durable(seeds.select("task_id", "id").distinct())
     support = (s.join(both, "id").groupBy("task_id", "partner")
                .agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= min_weight))
     drop = s if exclude is None else s.unionByName(exclude.select("task_id", "id"))

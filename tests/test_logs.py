@@ -322,3 +322,13 @@ def test_traces_of_white_space_only_are_not_seen(make):
 
     df = make([("\n\t",), ("  x y\r\n",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == ["", "x y", "", None]
+
+
+def test_seeds_of_cooccurring_are_computed_once(make):
+    """The search for partners and the exclusion of seeds read stored seeds, not their plan twice."""
+    from ropewalk.operators.mining import cooccurring
+    seeds = make([("t", "a"), ("t", "b"), ("t", "marker")], "task_id string, id string").filter("id <> 'marker'")
+    cooc = make([("a", "b", 9.0), ("a", "c", 2.0), ("b", "c", 1.0), ("b", "d", 1.5)], "a string, b string, weight double")
+    got = cooccurring(seeds, cooc)
+    assert [tuple(r) for r in got.select("partner", "weight", "rank").collect()] == [("c", 3.0, 1)]
+    assert "marker" not in got._jdf.queryExecution().optimizedPlan().toString()
